@@ -130,7 +130,7 @@ def b_dam_d(spark, d):
     return (
         read(spark, d, "orders")
         .groupBy(F.col("o_orderdate").cast("date").alias("d"))
-        .agg((exact_mean(F.col("o_totalprice")) / 1000).alias("dam"))
+        .agg((exact_mean(F.col("o_totalprice")) / 997).alias("dam"))
     )
 
 
@@ -143,12 +143,12 @@ def _line(spark, d):
 
 
 def b_rtm_d(spark, d):
-    return _line(spark, d).groupBy("point", "d").agg((exact_mean(F.col("l_extendedprice")) / 1000).alias("rtm"))
+    return _line(spark, d).groupBy("point", "d").agg((exact_mean(F.col("l_extendedprice")) / 997).alias("rtm"))
 
 
 def b_sys_d(spark, d):
     """One system-wide daily series: day-ahead and real-time value of the same day."""
-    rtm = _line(spark, d).groupBy("d").agg((exact_mean(F.col("l_extendedprice")) / 1000).alias("rtm"))
+    rtm = _line(spark, d).groupBy("d").agg((exact_mean(F.col("l_extendedprice")) / 997).alias("rtm"))
     return b_dam_d(spark, d).join(rtm, "d")
 
 
@@ -159,7 +159,7 @@ def b_asmcpc_d(spark, d):
         *[
             F.try_divide(
                 F.sum(F.when(F.col("o_orderpriority") == p, price).cast("decimal(18,2)")).cast("double"),
-                F.count(F.when(F.col("o_orderpriority") == p, price)) * 1000,
+                F.count(F.when(F.col("o_orderpriority") == p, price)) * 997,
             ).alias(s)
             for p, s in SERVICES.items()
         ]
@@ -233,15 +233,15 @@ CTES = {
         CASE WHEN min(k) > 5 THEN min(price) END AS adder FROM b_ev GROUP BY 1""",
     "b_gen": f"""SELECT date_trunc('hour', ts) AS t, {_sum('price')} * 10 AS gen, {_sum('k')} * 10 AS stwpf
         FROM b_ev GROUP BY 1""",
-    "b_dam_d": f"SELECT CAST(o_orderdate AS DATE) AS d, {_mean('o_totalprice')} / 1000 AS dam FROM orders GROUP BY 1",
-    "b_rtm_d": f"""SELECT l_returnflag AS point, CAST(l_shipdate AS DATE) AS d, {_mean('l_extendedprice')} / 1000 AS rtm
+    "b_dam_d": f"SELECT CAST(o_orderdate AS DATE) AS d, {_mean('o_totalprice')} / 997 AS dam FROM orders GROUP BY 1",
+    "b_rtm_d": f"""SELECT l_returnflag AS point, CAST(l_shipdate AS DATE) AS d, {_mean('l_extendedprice')} / 997 AS rtm
         FROM lineitem GROUP BY 1, 2""",
     "b_sys_d": f"""SELECT d, dam, rtm FROM b_dam_d JOIN (SELECT CAST(l_shipdate AS DATE) AS d,
-        {_mean('l_extendedprice')} / 1000 AS rtm FROM lineitem GROUP BY 1) AS r USING (d)""",
+        {_mean('l_extendedprice')} / 997 AS rtm FROM lineitem GROUP BY 1) AS r USING (d)""",
     "b_asmcpc_d": "SELECT CAST(o_orderdate AS DATE) AS d, "
     + ", ".join(
         f"CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderpriority = '{p}') AS DOUBLE)"
-        f" / (nullif(count(*) FILTER (o_orderpriority = '{p}'), 0) * 1000) AS {s}"
+        f" / (nullif(count(*) FILTER (o_orderpriority = '{p}'), 0) * 997) AS {s}"
         for p, s in SERVICES.items()
     )
     + " FROM orders GROUP BY 1",

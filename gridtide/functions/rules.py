@@ -210,3 +210,9 @@ def zone_station(points: DataFrame, stations: DataFrame, point: str, fallback: s
     """Station of a point from a lookup table keyed by point; unknown points get ``fallback``."""
     looked = points.join(stations, point, "left")
     return looked.withColumn("station", F.coalesce("station", F.lit(fallback)))
+
+
+def hour_probability(df: DataFrame, train: DataFrame, hour: str, label: str, missing: float = 0.0) -> DataFrame:
+    """Training rate of the label per hour looked up for every row (24 lookup rows at most)."""
+    rates = train.groupBy(hour).agg(F.avg(F.col(label).cast("double")).alias("hour_spike_prob"))
+    return df.join(F.broadcast(rates), hour, "left").na.fill(missing, subset=["hour_spike_prob"])

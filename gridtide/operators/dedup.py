@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def keep_last(df: DataFrame, keys: list[str], order: list[Column], count: str | None = None) -> DataFrame:
+    """The newest row per key in ``order``; optionally with the number of rows the key had."""
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    aggs = [F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")]
+    if count:
+        aggs.append(F.count("*").alias(count))
+    kept = [F.col(f"_row.{c}").alias(c) for c in rest]
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *kept, *([count] if count else []))
 
 
 def keep_last_non_null(df: DataFrame, keys: list[str], order: Column, cols: list[str]) -> DataFrame:

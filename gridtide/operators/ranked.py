@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .fill import with_one_row
+
 
 def prefix_scan(
     df: DataFrame,
@@ -103,3 +105,22 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     """Top-k rows per key. The rank filter is pushed below the shuffle (WindowGroupLimit)."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def ordered_splits(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[Column], ratio: float = 0.8, folds: int = 5
+) -> DataFrame:
+    """First ``ratio`` of the rows as train, and ``folds`` contiguous blocks (sizes as ntile), from chunked row numbers."""
+    numbered = row_index(df, keys, chunk, order)
+    if keys:
+        sized = numbered.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    else:
+        sized = with_one_row(numbered, df.agg(F.count("*").alias("_n")))
+    n, rn = F.col("_n"), F.col("rn")
+    small, extra = F.floor(n / folds), n % folds
+    fold = F.when(rn <= extra * (small + 1), F.floor((rn - 1) / (small + 1))).otherwise(
+        extra + F.floor(F.try_divide(rn - 1 - extra * (small + 1), small))
+    )
+    return sized.withColumns(
+        {"ratio_split": F.when(rn <= F.floor(n * ratio), "train").otherwise("test"), "fold": (fold + 1).cast("int")}
+    ).drop("_n", "rn")

@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "STRING_MAP": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """Schema of "name TYPE, name TYPE" without needing a running session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RTM_HIST = schema(
@@ -39,7 +52,7 @@ SPIKE_LABELS = schema(
 )
 PREDICTIONS = schema(
     "model STRING, settlement_point STRING, target_time STRING, horizon STRING, predicted_value DOUBLE, unit STRING,"
-    " metadata MAP<STRING, STRING>, generated_at STRING"
+    " metadata STRING_MAP, generated_at STRING"
 )
 ACTUALS = schema("market STRING, settlement_point STRING, target_time STRING, actual_value DOUBLE")
 DAILY_PNL = schema(

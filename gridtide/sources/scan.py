@@ -62,10 +62,11 @@ def interval_matrix(df: DataFrame, id_cols: list[str], value: str = "generation_
 
 
 def split_combined_key(df: DataFrame, col: str, date_format: str = "MM/dd/yy") -> DataFrame:
-    """A "MM/DD/YY_Fuel" column to delivery_date and fuel."""
+    """A "MM/DD/YY_Fuel" column to delivery_date and fuel; two-digit years 69-99 are of the last century."""
+    day = F.to_date(F.regexp_extract(col, r"^([^_]+)_", 1), date_format)
     return df.withColumns(
         {
-            "delivery_date": F.to_date(F.regexp_extract(col, r"^([^_]+)_", 1), date_format),
+            "delivery_date": F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day),
             "fuel": F.regexp_extract(col, r"^[^_]+_(.*)$", 1),
         }
     ).drop(col)

@@ -1,12 +1,11 @@
 """Run named queries and compare them with their SQL statement in an in-process DuckDB.
 
-Usage: python tools/check.py [--sf DIR] [--module NAME] [key ...]
+Usage: python tools/check.py [--sf DIR] [--of MODULES] [key ...]
 """
 
 from __future__ import annotations
 
 import argparse
-import importlib
 import math
 import os
 import sys
@@ -62,22 +61,18 @@ def compare(spark, con, query, sf_dir):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
-    ap.add_argument("--module")
+    ap.add_argument("--of", help="only keys defined in these catalog modules")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
     from gridtide.session import build_session
 
-    if args.module:
-        from gridtide.catalog import registry
+    from gridtide.catalog import REGISTRY as registered
 
-        for name in args.module.split(","):
-            importlib.import_module(f"gridtide.catalog.{name}")
-        registered = registry.REGISTRY
-    else:
-        from gridtide.catalog import REGISTRY as registered
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
+    if args.of:
+        args.keys = [k for k, q in registered.items() if q.build.__module__.rsplit(".", 1)[1] in args.of.split(",")]
     bad = 0
     for key in args.keys or list(registered):
         start = time.time()
