@@ -453,7 +453,7 @@ def battery_signals(spark, d):
 @query(
     "daily_battery_pnl", text="point", dates="d", nums="charge_cost discharge_revenue cycles degradation_cost actual_revenue net_pnl",
     sql=f"""{BATTERY}, p AS (SELECT b.point, b.d, b.action, abs(b.power_mw) AS mw, coalesce(h.hub, b.price) AS ap FROM b LEFT JOIN (SELECT CAST(t AS DATE) AS d,
-      hour(t) AS hour, hub FROM b_hub1h WHERE hub > 45) h ON h.d = b.d AND h.hour = b.hour) SELECT *, discharge_revenue * CAST(0.9 AS DOUBLE) - charge_cost AS actual_revenue,
+      hour(t) AS hour, hub / 7 AS hub FROM b_hub1h WHERE hub > 45) h ON h.d = b.d AND h.hour = b.hour) SELECT *, discharge_revenue * CAST(0.9 AS DOUBLE) - charge_cost AS actual_revenue,
       discharge_revenue * CAST(0.9 AS DOUBLE) - charge_cost AS net_pnl FROM (SELECT point, d, coalesce(sum(ap * mw) FILTER (action = 'charge'), 0) AS charge_cost,
       coalesce(sum(ap * mw) FILTER (action = 'discharge'), 0) AS discharge_revenue, least(coalesce(sum(mw) FILTER (action = 'charge'), 0),
       coalesce(sum(mw) FILTER (action = 'discharge'), 0)) / 10 AS cycles, 2 * coalesce(sum(mw) FILTER (action = 'discharge'), 0) AS degradation_cost FROM p GROUP BY 1, 2)""",
@@ -461,16 +461,16 @@ def battery_signals(spark, d):
 def daily_battery_pnl(spark, d):
     days = dispatch_days(spark, d)
     sched = dispatch.battery_rule_schedule(days, ["point", "d"], "hour", "price").withColumnRenamed("price", "dam_price")
-    hub = base.b_hub1h(spark, d).filter("hub > 45").select(F.col("t").cast("date").alias("d"), F.hour("t").alias("hour"), F.col("hub").alias("actual_price"))
+    hub = base.b_hub1h(spark, d).filter("hub > 45").select(F.col("t").cast("date").alias("d"), F.hour("t").alias("hour"), (F.col("hub") / 7).alias("actual_price"))
     actual = days.select("point", "d", "hour").join(hub, ["d", "hour"])
     return backtest.daily_battery_pnl(sched, actual, ["point", "d"], "hour")
 
 
 @query(
     "interpolate_hourly_5min", dates="d", ints="slot", nums="price",
-    sql="""SELECT d, h * 12 + k AS slot, hub + (coalesce(nx, hub) - hub) * k / 12 AS price FROM (SELECT CAST(t AS DATE) AS d, hour(t) AS h, hub,
-      lead(hub) OVER (PARTITION BY CAST(t AS DATE) ORDER BY t) AS nx FROM b_hub1h), range(12) AS r(k)""",
+    sql="""SELECT d, h * 12 + k AS slot, hub + (coalesce(nx, hub) - hub) * k / 12 AS price FROM (SELECT CAST(t AS DATE) AS d, hour(t) AS h, hub / 7 AS hub,
+      lead(hub / 7) OVER (PARTITION BY CAST(t AS DATE) ORDER BY t) AS nx FROM b_hub1h), range(12) AS r(k)""",
 )
 def interpolate_hourly_5min(spark, d):
-    h = base.b_hub1h(spark, d).select(F.col("t").cast("date").alias("d"), F.hour("t").alias("hour"), F.col("hub").alias("price"))
+    h = base.b_hub1h(spark, d).select(F.col("t").cast("date").alias("d"), F.hour("t").alias("hour"), (F.col("hub") / 7).alias("price"))
     return dispatch.interpolate_to_5min(h, ["d"], "hour", "price")
