@@ -255,6 +255,14 @@ CTES = {
         AS t FROM orders""",
     "b_pnl": f"""SELECT point, CAST(ts AS DATE) AS d, {_sum('price - 50.0')} / 10 AS pnl FROM b_ev GROUP BY 1, 2""",
 }
+
+
+def add_cte(name: str, sql: str) -> None:
+    """Register a derived expression; it may use those registered before it."""
+    _DEPENDS[name] = [m for m in CTES if re.search(rf"\b{m}\b", sql)]
+    CTES[name] = sql
+
+
 _DEPENDS = {n: [m for m in CTES if m != n and re.search(rf"\b{m}\b", body)] for n, body in CTES.items()}
 
 

@@ -161,22 +161,22 @@ def gradient_acceleration(spark, d):
 @query(
     "true_time_rolling", text="point", times="t", nums="price_mean_6h price_mean_24h",
     sql="SELECT point, t, " + ", ".join(
-        f"avg(price) OVER (PARTITION BY point ORDER BY t RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS price_mean_{h}h"
+        f"avg(price / 7) OVER (PARTITION BY point ORDER BY t RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS price_mean_{h}h"
         for h in (6, 24)) + " FROM b_rtm15",
 )
 def true_time_rolling(spark, d):
-    return generation.true_time_rolling(base.b_rtm15(spark, d), ["point"], "price", [6, 24])
+    return generation.true_time_rolling(base.b_rtm15(spark, d).withColumn("price", F.col("price") / 7), ["point"], "price", [6, 24])
 
 
 # --- events --------------------------------------------------------------------------------------------
 
-SESS = """SELECT *, sum(st) OVER (PARTITION BY point ORDER BY ts ROWS UNBOUNDED PRECEDING) AS event_id FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
+SESS = """SELECT *, sum(st) OVER (PARTITION BY point ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sess FROM (SELECT *, CASE WHEN ts - lag(ts) OVER
    (PARTITION BY point ORDER BY ts) <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS st FROM b_ev WHERE price > 60)"""
 
 
 @query(
     "event_sessions", text="point", ints="n_events events_detected", nums="event_recall",
-    sql=f"""SELECT point, count(*) AS n_events, sum(hit) AS events_detected, avg(hit) AS event_recall FROM (SELECT point, event_id,
+    sql=f"""SELECT point, count(*) AS n_events, sum(hit) AS events_detected, avg(hit) AS event_recall FROM (SELECT point, sess,
       max(CASE WHEN k >= 80 THEN 1 ELSE 0 END) AS hit FROM ({SESS}) GROUP BY 1, 2) GROUP BY 1""",
 )
 def event_sessions(spark, d):
@@ -226,28 +226,27 @@ def ramp_events(spark, d):
 
 
 def _ramp_pairs(spark, d):
-    """True and predicted ramp events over thresholds and directions."""
+    """Ramp events of actual and predicted series over thresholds and directions, found in one pass."""
     e = base.b_err(spark, d)
-    w = series("point")
-    e = e.withColumn("pred", F.coalesce(F.lag("actual").over(w), F.col("actual")) * 0.8 + F.col("pred") * 0.2)
+    guess = F.coalesce(F.lag("actual").over(series("point")), F.col("actual")) * 0.8 + F.col("pred") * 0.2
+    sides = F.array(F.struct(F.lit(1).alias("is_true"), F.col("actual").alias("v")), F.struct(F.lit(0).alias("is_true"), F.col("guess").alias("v")))
     combos = F.array(*[F.struct(F.lit(float(x)).alias("threshold"), F.lit(y).alias("direction")) for x in (30, 45) for y in ("up", "down", "both")])
-    e = e.withColumn("_c", F.explode(combos)).select("point", "t", "actual", "pred", "_c.threshold", "_c.direction")
+    e = e.withColumn("guess", guess).withColumn("_s", F.explode(sides)).withColumn("_c", F.explode(combos))
+    e = e.select("point", "t", "_s.is_true", "_s.v", "_c.threshold", "_c.direction")
     keys = ["point", "threshold", "direction"]
-    true = events.ramp_events(e, keys, "actual", "threshold", direction="direction")
-    pred = events.ramp_events(e, keys, "pred", "threshold", direction="direction")
-    return true, pred, keys
+    return events.ramp_events(e, [*keys, "is_true"], "v", "threshold", direction="direction"), keys
 
 
 @query("event_match_tolerance", text="point direction", nums="threshold", ints="hits misses false_alarms")
 def event_match_tolerance(spark, d):
-    true, pred, keys = _ramp_pairs(spark, d)
-    return events.match_events(true, pred, keys)
+    found, keys = _ramp_pairs(spark, d)
+    return events.match_events(found, keys)
 
 
 @query("ramp_score", text="point direction", nums="threshold pod far csi bias miss_rate", ints="hits misses false_alarms")
 def ramp_score(spark, d):
-    true, pred, keys = _ramp_pairs(spark, d)
-    return events.ramp_scores(events.match_events(true, pred, keys))
+    found, keys = _ramp_pairs(spark, d)
+    return events.ramp_scores(events.match_events(found, keys))
 
 
 # --- sequences, intervals, splits ------------------------------------------------------------------------

@@ -64,22 +64,22 @@ def ramp_candidates(df: DataFrame, keys: list[str], value: str, threshold: Colum
     """Rows whose change over ``window`` rows reaches the threshold, with the end of the monotone extension."""
     w = series(keys)
     v = F.col(value)
-    s = df.withColumns({"i": F.row_number().over(w) - 1, "_step": v - F.lag(value).over(w), "_from": F.lag(value, window).over(w)})
-    sign = F.signum("_step")
-    change = F.coalesce((sign != F.lag(sign).over(w)).cast("int"), F.lit(1))
-    s = s.withColumn("_sg", sign).withColumn("_chg", change)
-    s = s.withColumn("_run", F.sum("_chg").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    s = s.withColumn("_run_end", F.max("i").over(W.partitionBy(*keys, "_run")))
-    nxt_sign, nxt_end = F.lead("_sg").over(w), F.lead("_run_end").over(w)
-    up, down = v - F.col("_from") >= threshold, v - F.col("_from") <= -threshold
-    s = s.withColumns({"_up": up, "_down": down, "_ns": nxt_sign, "_ne": nxt_end})
+    s = df.withColumns({"i": F.row_number().over(w) - 1, "_sg": F.signum(v - F.lag(value).over(w))})
+    change = F.coalesce((F.col("_sg") != F.lag("_sg").over(w)).cast("int"), F.lit(1))
+    s = s.withColumn("_chg", change).withColumn("_run", F.sum("_chg").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    here = F.struct(F.col("i"), F.col("t"), v.alias("v"))
+    s = s.withColumns({"_here": here, "_run_end": F.max(here).over(W.partitionBy(*keys, "_run"))})
+    s = s.withColumns({"_from": F.lag("_here", window).over(w), "_ns": F.lead("_sg").over(w), "_ne": F.lead("_run_end").over(w)})
+    change = v - F.col("_from.v")
+    up, down = change >= threshold, change <= -threshold
     # an extension follows the direction of the ramp while the next steps keep its sign
-    extends = (F.col("_down") & (F.col("_ns") < 0)) | (F.col("_up") & (F.col("_ns") > 0))
-    wanted = F.when(direction == "up", F.col("_up")).when(direction == "down", F.col("_down")).otherwise(F.col("_up") | F.col("_down"))
-    s = s.withColumn("end_i", F.when(extends, F.col("_ne")).otherwise(F.col("i")))
-    return s.filter(wanted & F.col("_from").isNotNull()).withColumn("start_i", F.col("i") - window).drop(
-        "_step", "_from", "_sg", "_chg", "_run", "_run_end", "_up", "_down", "_ns", "_ne"
-    )
+    extends = (down & (F.col("_ns") < 0)) | (up & (F.col("_ns") > 0))
+    wanted = F.when(direction == "up", up).when(direction == "down", down).otherwise(up | down)
+    end = F.when(extends, F.col("_ne")).otherwise(F.col("_here"))
+    return s.filter(wanted).withColumn("_end", end).select(
+        *keys, F.col("i"), F.col("_from.i").alias("start_i"), F.col("_end.i").alias("end_i"), F.col("_from.t").alias("start_time"),
+        F.col("_end.t").alias("end_time"), (F.col("_end.v") - F.col("_from.v")).alias("magnitude"),
+    )
 
 
 def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,27 +102,20 @@ def ramp_events(df: DataFrame, keys: list[str], value: str, threshold: float | s
     """
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
     way = F.col(direction) if direction in df.columns else F.lit(direction)
-    numbered = df.withColumn("_i", F.row_number().over(series(keys)) - 1)
-    cand = ramp_candidates(df, keys, value, limit, window, way).select(*keys, "i", "start_i", "end_i")
-    schema = cand.schema
-    events = cand.groupBy(*keys).applyInPandas(_first_fit, schema)
-    at = numbered.select(*keys, F.col("_i"), F.col("t"), F.col(value).alias("_v"))
-    start = at.select(*keys, F.col("_i").alias("start_i"), F.col("t").alias("start_time"), F.col("_v").alias("_a"))
-    end = at.select(*keys, F.col("_i").alias("end_i"), F.col("t").alias("end_time"), F.col("_v").alias("_b"))
-    out = events.join(start, [*keys, "start_i"]).join(end, [*keys, "end_i"])
-    out = out.withColumns({"magnitude": F.col("_b") - F.col("_a"), "duration": F.col("end_i") - F.col("start_i")}).drop("_a", "_b", "i")
+    cand = ramp_candidates(df, keys, value, limit, window, way)
+    out = cand.groupBy(*keys).applyInPandas(_first_fit, cand.schema).drop("i")
+    out = out.withColumn("duration", F.col("end_i") - F.col("start_i"))
     return out.withColumns({"rate": F.try_divide(F.col("magnitude"), F.col("duration")), "is_ramp_down": F.col("magnitude") < 0})
 
 
-def match_events(true: DataFrame, pred: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
-    """Greedy one-to-one matching in time order: same direction, starts at most ``tolerance`` rows apart.
+def match_events(events: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
+    """Greedy one-to-one matching of predicted (is_true = 0) to true events in time order: same direction, starts at most ``tolerance`` rows apart.
 
     Events of a series are few (non-overlapping runs on its slot grid); they are
     cut at gaps wider than the tolerance, so a group is one cluster of
     neighbouring events and not a whole series.
     """
-    cols = [*keys, "start_i", "is_ramp_down"]
-    both = true.select(*cols, F.lit(1).alias("is_true")).unionByName(pred.select(*cols, F.lit(0).alias("is_true")))
+    both = events.select(*keys, "start_i", "is_ramp_down", "is_true")
     w = W.partitionBy(*keys).orderBy("start_i", "is_true")
     apart = F.coalesce((F.col("start_i") - F.lag("start_i").over(w) > tolerance).cast("int"), F.lit(1))
     clustered = both.withColumn("_new", apart).withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
@@ -142,7 +135,7 @@ def match_events(true: DataFrame, pred: DataFrame, keys: list[str], tolerance: i
         head["hits"], head["misses"], head["false_alarms"] = hits, len(truth) - hits, len(guess) - hits
         return head
 
-    fields = ", ".join(f"{c} {true.schema[c].dataType.simpleString()}" for c in keys)
+    fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
     per = clustered.groupBy(*keys, "cluster").applyInPandas(greedy, f"{fields}, hits bigint, misses bigint, false_alarms bigint")
     return per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "false_alarms")])
 
