@@ -22,6 +22,7 @@ def _as_hours(df, day="d"):
     return out.drop(day)
 
 
+UNIT = 0.7071067811865476
 HOUR = "DATE '2024-01-01' + CAST((d - DATE '1995-01-01') // 24 AS INTEGER) AS delivery_date, (d - DATE '1995-01-01') % 24 + 1 AS hour_ending"
 LINE_FUEL = {1: "gas", 2: "gas_cc", 3: "coal", 4: "nuclear", 5: "solar", 6: "wind", 7: "hydro"}
 
@@ -169,14 +170,15 @@ def unified_features(spark, d):
 
 
 RTM24 = f"SELECT point, t, price, {columns({'rtm_lag_1h': lag('price', 1), 'rtm_lag_4h': lag('price', 4), 'rtm_lag_24h': lag('price', 24)})}, " + ", ".join(
-    f"{roll(SQLF[s], 'price', 24, 1)} AS rtm_roll_24h_{s}" for s in SQLF) + " FROM b_rtm1h"
+    f"{roll(SQLF[s], 'price', 24, 1)} AS rtm_roll_24h_{s}" for s in SQLF) + " FROM (SELECT point, t, price * 0.7071067811865476 AS price FROM b_rtm1h)"
 
 
 def _rtm24(spark, d):
     w = series("point")
     cols = unified.price_lag_columns(w, {"rtm": "price"}) | unified.price_rolling_columns(w, {"rtm": "price"})
     keep = [c for c in cols if "168" not in c]
-    return base.b_rtm1h(spark, d).select("point", "t", "price", *[cols[c].alias(c) for c in keep])
+    r = base.b_rtm1h(spark, d).withColumn("price", F.col("price") * UNIT)
+    return r.select("point", "t", "price", *[cols[c].alias(c) for c in keep])
 
 
 @query(
@@ -228,19 +230,19 @@ def _weather_sql(t, v, p="point"):
     }
 
 
-# prices are scaled by a third so that no mean ends exactly halfway between two printed values
-S15 = "SELECT point, t, lmp / 3 AS lmp, hub / 3 AS hub, spread / 3 AS spread FROM (" + J15 + ")"
+# values are in another unit so that no mean ends exactly halfway between two printed values
+S15 = "SELECT point, t, lmp * 0.7071067811865476 AS lmp, hub * 0.7071067811865476 AS hub, spread * 0.7071067811865476 AS spread FROM (" + J15 + ")"
 
 
 def s15(spark, d):
     from .sequences import j15
 
-    return j15(spark, d).withColumns({c: F.col(c) / 3 for c in ("lmp", "hub", "spread")})
+    return j15(spark, d).withColumns({c: F.col(c) * UNIT for c in ("lmp", "hub", "spread")})
 
 
 @query("spike_price_features", text="point", times="t", nums=" ".join(spike.PRICE), sql=f"SELECT point, t, {columns(_price_sql('lmp'))} FROM ({S15})")
 def spike_price_features(spark, d):
-    r = base.b_rtm15(spark, d).withColumn("lmp", F.col("price") / 3)
+    r = base.b_rtm15(spark, d).withColumn("lmp", F.col("price") * UNIT)
     return r.select("point", "t", *[c.alias(n) for n, c in spike.price_columns(series("point")).items()])
 
 
@@ -250,9 +252,9 @@ def spike_spread_features(spark, d):
 
 
 @query("spike_weather_features", text="station", times="t", nums=" ".join(spike.WEATHER),
-       sql=f"SELECT station, t, {columns(_weather_sql('temp', 'wind', 'station'))} FROM (SELECT station, t, temp / 3 AS temp, wind FROM b_wx)")
+       sql=f"SELECT station, t, {columns(_weather_sql('temp', 'wind', 'station'))} FROM (SELECT station, t, temp * 0.7071067811865476 AS temp, wind FROM b_wx)")
 def spike_weather_features(spark, d):
-    wx = base.b_wx(spark, d).withColumn("temp", F.col("temp") / 3)
+    wx = base.b_wx(spark, d).withColumn("temp", F.col("temp") * UNIT)
     return wx.select("station", "t", *[c.alias(n) for n, c in spike.weather_columns(series("station")).items()])
 
 
@@ -260,8 +262,8 @@ STATION = "CASE point WHEN 'click' THEN 'view' WHEN 'view' THEN 'click' ELSE 'er
 MATRIX = f"""SELECT b.point, b.t, l.spike_event, l.lead_spike_60, l.regime, l.spread, b.lmp, dm.dam, w.temp, w.wind, r.prc, r.lam, r.adder, g.gen, g.stwpf
    FROM (SELECT *, {STATION} AS station FROM ({S15})) b LEFT JOIN (SELECT point, t, spread, lmp > 30 AS spike_event, lmp > 25 AS lead_spike_60,
    CASE WHEN lmp > 30 THEN 'Scarcity' ELSE 'Normal' END AS regime FROM ({S15}) WHERE lmp > 4) l ON l.point = b.point AND l.t = b.t
-   ASOF LEFT JOIN (SELECT point, t, price / 3 AS dam FROM b_rtm1h) dm ON dm.point = b.point AND b.t >= dm.t
-   ASOF LEFT JOIN (SELECT station, t + INTERVAL 1 HOUR AS t, temp / 3 AS temp, wind FROM b_wx) w ON w.station = b.station AND b.t >= w.t
+   ASOF LEFT JOIN (SELECT point, t, price * 0.7071067811865476 AS dam FROM b_rtm1h) dm ON dm.point = b.point AND b.t >= dm.t
+   ASOF LEFT JOIN (SELECT station, t + INTERVAL 1 HOUR AS t, temp * 0.7071067811865476 AS temp, wind FROM b_wx) w ON w.station = b.station AND b.t >= w.t
    ASOF LEFT JOIN ({RES15}) r ON b.t >= r.t ASOF LEFT JOIN b_gen g ON b.t >= g.t"""
 _FILL = spike.WEATHER + spike.RESERVE + spike.WIND
 _MX = _price_sql("lmp") | _spread_sql("spread") | {"dam_lmp_current_hour": "dam", "dam_rtm_gap": lag("(dam - lmp)")} | _weather_sql("temp", "wind")
@@ -286,8 +288,8 @@ def spike_feature_matrix(spark, d):
         "point", "t", "spread", (lmp > 30).alias("spike_event"), (lmp > 25).alias("lead_spike_60"), F.when(lmp > 30, "Scarcity").otherwise("Normal").alias("regime")
     )
     stations = spark.createDataFrame([("click", "view"), ("view", "click"), ("error", "error"), ("purchase", "error"), ("signup", "error")], "point STRING, station STRING")
-    dam = base.b_rtm1h(spark, d).select("point", "t", (F.col("price") / 3).alias("dam"))
-    wx = base.b_wx(spark, d).withColumn("temp", F.col("temp") / 3)
+    dam = base.b_rtm1h(spark, d).select("point", "t", (F.col("price") * UNIT).alias("dam"))
+    wx = base.b_wx(spark, d).withColumn("temp", F.col("temp") * UNIT)
     return spike.feature_matrix(s.select("point", "t", "lmp"), labels, dam, wx, stations, base.b_res(spark, d), base.b_gen(spark, d))
 
 
@@ -303,11 +305,11 @@ _ZW = {
 @query(
     "zone_weather_features", text="station", times="t", nums="t_anom delta_t_1h delta_t_3h wind_chill", ints="cold_front",
     sql="SELECT station, t, " + ", ".join(f"{lag(c, p='station')} AS {c}" for c in _ZW) + f""" FROM (SELECT station, t, {columns(_ZW)} FROM (SELECT g.station, g.t,
-      temp / 3 AS temp, wind, wdir FROM (SELECT station, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM b_wx GROUP BY 1) g
+      temp * 0.7071067811865476 AS temp, wind, wdir FROM (SELECT station, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM b_wx GROUP BY 1) g
       LEFT JOIN b_wx USING (station, t)))""",
 )
 def zone_weather_features(spark, d):
-    return spike.zone_weather(base.b_wx(spark, d).withColumn("temp", F.col("temp") / 3))
+    return spike.zone_weather(base.b_wx(spark, d).withColumn("temp", F.col("temp") * UNIT))
 
 
 @query(
@@ -357,11 +359,11 @@ def supply_demand_features(spark, d):
 
 # --- intraday ---------------------------------------------------------------------------------------------
 
-P15 = "SELECT point, t, price / 3 AS price FROM b_rtm15"
+P15 = "SELECT point, t, price * 0.7071067811865476 AS price FROM b_rtm15"
 
 
 def p15(spark, d):
-    return base.b_rtm15(spark, d).withColumn("price", F.col("price") / 3)
+    return base.b_rtm15(spark, d).withColumn("price", F.col("price") * UNIT)
 
 
 _L15 = {f"price_lag_{n}": lag("price", n) for n in (1, 2, 3, 4, 96, 672)} | {
@@ -486,18 +488,18 @@ _DT = {
 @query(
     "dam_target_features", text="point", times="t", nums=" ".join(_DT), ints="dam_target_above_100 dam_target_above_200",
     sql=f"""SELECT point, t, {columns(_DT)}, coalesce(g > 100, false) AS dam_target_above_100, coalesce(g > 200, false) AS dam_target_above_200 FROM (
-      SELECT p.*, a.hub / 3 AS c, b.hub / 3 AS g, price - a.hub / 3 AS sp FROM ({P15}) p LEFT JOIN b_hub1h a ON a.t = date_trunc('hour', p.t)
+      SELECT p.*, a.hub * 0.7071067811865476 AS c, b.hub * 0.7071067811865476 AS g, price - a.hub * 0.7071067811865476 AS sp FROM ({P15}) p LEFT JOIN b_hub1h a ON a.t = date_trunc('hour', p.t)
       LEFT JOIN b_hub1h b ON b.t = date_trunc('hour', p.t + INTERVAL 60 MINUTE))""",
 )
 def dam_target_features(spark, d):
-    dam = base.b_hub1h(spark, d).select("t", (F.col("hub") / 3).alias("dam"))
+    dam = base.b_hub1h(spark, d).select("t", (F.col("hub") * UNIT).alias("dam"))
     return intraday.dam_context(p15(spark, d), dam, ["point"], 4)
 
 
 # --- spread and day-ahead samples ---------------------------------------------------------------------------
 
-HOURLY = """SELECT point, h AS t, CAST(h AS DATE) AS d, hour(h) AS hour, rtm_mean, rtm_max, rtm_std, hub / 3 AS dam_price, rtm_mean - hub / 3 AS spread, rtm_last - hub / 3 AS spread_last
-   FROM (SELECT point, date_trunc('hour', t) AS h, avg(price / 3) AS rtm_mean, max(price / 3) AS rtm_max, stddev_samp(price / 3) AS rtm_std, arg_max(price / 3, t) AS rtm_last
+HOURLY = """SELECT point, h AS t, CAST(h AS DATE) AS d, hour(h) AS hour, rtm_mean, rtm_max, rtm_std, hub * 0.7071067811865476 AS dam_price, rtm_mean - hub * 0.7071067811865476 AS spread, rtm_last - hub * 0.7071067811865476 AS spread_last
+   FROM (SELECT point, date_trunc('hour', t) AS h, avg(price * 0.7071067811865476) AS rtm_mean, max(price * 0.7071067811865476) AS rtm_max, stddev_samp(price * 0.7071067811865476) AS rtm_std, arg_max(price * 0.7071067811865476, t) AS rtm_last
    FROM b_rtm15 GROUP BY 1, 2) JOIN b_hub1h ON b_hub1h.t = h"""
 
 
@@ -506,7 +508,7 @@ def hourly(spark, d):
     h = q.groupBy("point", F.date_trunc("hour", "t").alias("t")).agg(
         F.avg("price").alias("rtm_mean"), F.max("price").alias("rtm_max"), F.stddev_samp("price").alias("rtm_std"), F.max_by("price", "t").alias("rtm_last")
     )
-    h = h.join(base.b_hub1h(spark, d).select("t", (F.col("hub") / 3).alias("dam_price")), "t")
+    h = h.join(base.b_hub1h(spark, d).select("t", (F.col("hub") * UNIT).alias("dam_price")), "t")
     return h.withColumns(
         {
             "d": F.col("t").cast("date"), "hour": F.hour("t"), "spread": F.col("rtm_mean") - F.col("dam_price"), "spread_last": F.col("rtm_last") - F.col("dam_price"),
@@ -560,7 +562,7 @@ def delta_samples(spark, d):
     return delta.samples(hourly(spark, d), ["point"])
 
 
-PX = """SELECT point, CAST(t AS DATE) AS d, hour(t) + 1 AS h, price / 3 AS price FROM b_rtm1h UNION ALL SELECT 'HUB', CAST(t AS DATE), hour(t) + 1, hub / 3 FROM b_hub1h"""
+PX = """SELECT point, CAST(t AS DATE) AS d, hour(t) + 1 AS h, price * 0.7071067811865476 AS price FROM b_rtm1h UNION ALL SELECT 'HUB', CAST(t AS DATE), hour(t) + 1, hub * 0.7071067811865476 FROM b_hub1h"""
 _DINT = [
     "hour", "day_of_week", "day_of_month", "month", "quarter", "week_of_year", "is_weekend", "is_holiday", "is_peak_hour", "is_summer",
     "dam_d1_spike_count", "dam_7d_spike_count", "dam_d1_had_spike", "dam_lag_24h_is_spike", "dam_d1_max_hour",
@@ -593,15 +595,15 @@ _DNUM = [c for c in daily.FEATURES if c not in _DINT]
       LEFT JOIN fw ON fw.point = t.point AND fw.i = t.i AND fw.h = t.h WHERE t.i > 8""",
 )
 def dam_daily_features(spark, d):
-    r = base.b_rtm1h(spark, d).select("point", "t", (F.col("price") / 3).alias("price"))
-    hub = base.b_hub1h(spark, d).select(F.lit("HUB").alias("point"), "t", (F.col("hub") / 3).alias("price"))
+    r = base.b_rtm1h(spark, d).select("point", "t", (F.col("price") * UNIT).alias("price"))
+    hub = base.b_hub1h(spark, d).select(F.lit("HUB").alias("point"), "t", (F.col("hub") * UNIT).alias("price"))
     x = r.unionByName(hub).select("point", F.col("t").cast("date").alias("d"), (F.hour("t") + 1).alias("h"), "price")
     return daily.daily_features(x, ["point"], "d", "h", "price", min_history=8, spike=25.0)
 
 
 # --- wind and load ----------------------------------------------------------------------------------------------
 
-G3 = "SELECT 'all' AS point, t, gen / 3 AS gen FROM b_gen"
+G3 = "SELECT 'all' AS point, t, gen * 0.7071067811865476 AS gen FROM b_gen"
 
 
 def _lag_roll_sql(prefix, lags, windows, changes, floor):
@@ -619,7 +621,7 @@ _LL = _lag_roll_sql("load", [1, 2, 3, 6, 12, 24, 48, 168], [6, 12, 24, 168], [1,
 
 
 def _g3(spark, d):
-    return base.b_gen(spark, d).select(F.lit("all").alias("point"), "t", (F.col("gen") / 3).alias("gen"))
+    return base.b_gen(spark, d).select(F.lit("all").alias("point"), "t", (F.col("gen") * UNIT).alias("gen"))
 
 
 @query(

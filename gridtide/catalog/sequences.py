@@ -161,11 +161,11 @@ def gradient_acceleration(spark, d):
 @query(
     "true_time_rolling", text="point", times="t", nums="price_mean_6h price_mean_24h",
     sql="SELECT point, t, " + ", ".join(
-        f"avg(price / 7) OVER (PARTITION BY point ORDER BY t RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS price_mean_{h}h"
+        f"avg(price * 0.7071067811865476) OVER (PARTITION BY point ORDER BY t RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS price_mean_{h}h"
         for h in (6, 24)) + " FROM b_rtm15",
 )
 def true_time_rolling(spark, d):
-    return generation.true_time_rolling(base.b_rtm15(spark, d).withColumn("price", F.col("price") / 7), ["point"], "price", [6, 24])
+    return generation.true_time_rolling(base.b_rtm15(spark, d).withColumn("price", F.col("price") * 0.7071067811865476), ["point"], "price", [6, 24])
 
 
 # --- events --------------------------------------------------------------------------------------------

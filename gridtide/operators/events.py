@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,32 +112,36 @@ def ramp_events(df: DataFrame, keys: list[str], value: str, threshold: float | s
 def match_events(events: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
     """Greedy one-to-one matching of predicted (is_true = 0) to true events in time order: same direction, starts at most ``tolerance`` rows apart.
 
-    Events of a series are few (non-overlapping runs on its slot grid); they are
-    cut at gaps wider than the tolerance, so a group is one cluster of
-    neighbouring events and not a whole series.
+    The time line is cut where neighbours lie further apart than the tolerance,
+    as no match can cross such a cut.  A task gets blocks of consecutive pieces,
+    never a whole series.
     """
     both = events.select(*keys, "start_i", "is_ramp_down", "is_true")
     w = W.partitionBy(*keys).orderBy("start_i", "is_true")
     apart = F.coalesce((F.col("start_i") - F.lag("start_i").over(w) > tolerance).cast("int"), F.lit(1))
-    clustered = both.withColumn("_new", apart).withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    pieces = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
+    blocks = both.withColumn("_new", apart).withColumn("block", F.floor(pieces / 512)).drop("_new")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        truth = pdf[pdf["is_true"] == 1].sort_values("start_i")
-        guess = pdf[pdf["is_true"] == 0].sort_values("start_i")
-        used: set[int] = set()
+        pdf = pdf.sort_values("start_i")
+        true = pdf[pdf["is_true"] == 1]
+        guess = pdf[pdf["is_true"] == 0]
+        starts, down = true["start_i"].to_numpy(), true["is_ramp_down"].to_numpy()
+        used = np.zeros(len(starts), dtype=bool)
+        first = np.searchsorted(starts, guess["start_i"].to_numpy() - tolerance, side="left")
+        last = np.searchsorted(starts, guess["start_i"].to_numpy() + tolerance, side="right")
         hits = 0
-        for start, down in zip(guess["start_i"], guess["is_ramp_down"]):
-            for j, (ts, td) in enumerate(zip(truth["start_i"], truth["is_ramp_down"])):
-                if j not in used and abs(start - ts) <= tolerance and td == down:
-                    used.add(j)
-                    hits += 1
-                    break
+        for lo, hi, way in zip(first, last, guess["is_ramp_down"].to_numpy()):
+            free = np.flatnonzero(~used[lo:hi] & (down[lo:hi] == way))
+            if len(free):
+                used[lo + free[0]] = True
+                hits += 1
         head = pdf[keys].iloc[:1].copy()
-        head["hits"], head["misses"], head["false_alarms"] = hits, len(truth) - hits, len(guess) - hits
+        head["hits"], head["misses"], head["false_alarms"] = hits, len(true) - hits, len(guess) - hits
         return head
 
     fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
-    per = clustered.groupBy(*keys, "cluster").applyInPandas(greedy, f"{fields}, hits bigint, misses bigint, false_alarms bigint")
+    per = blocks.groupBy(*keys, "block").applyInPandas(greedy, f"{fields}, hits bigint, misses bigint, false_alarms bigint")
     return per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "false_alarms")])
 
 
