@@ -73,9 +73,9 @@ def stream_dedup(spark, d):
 
 @query(
     "stream_alert_cooldown", text="point", ints="event_id",
-    sql="""WITH RECURSIVE c AS (SELECT point, ts, event_id FROM b_ev WHERE price / 120 >= 0.7), n AS (SELECT c.*, x.event_id AS nxt FROM (SELECT *, ts + INTERVAL 30 MINUTE AS due FROM c) c
-      ASOF LEFT JOIN c x ON x.point = c.point AND c.due <= x.ts), r AS (SELECT point, arg_min(event_id, ts) AS event_id FROM c GROUP BY 1
-      UNION ALL SELECT n.point, n.nxt FROM r JOIN n ON n.event_id = r.event_id WHERE n.nxt IS NOT NULL) SELECT point, event_id FROM r""",
+    sql="""WITH RECURSIVE c AS (SELECT point, ts, event_id FROM b_ev WHERE price / 120 >= 0.7), n AS (SELECT c.*, (SELECT min(x.ts) FROM c x WHERE x.point = c.point
+      AND x.ts >= c.ts + INTERVAL 30 MINUTE) AS nxt FROM c), r AS (SELECT point, min(ts) AS ts FROM c GROUP BY 1
+      UNION ALL SELECT n.point, n.nxt FROM r JOIN n ON n.point = r.point AND n.ts = r.ts WHERE n.nxt IS NOT NULL) SELECT point, event_id FROM r JOIN c USING (point, ts)""",
 )
 def stream_alert_cooldown(spark, d):
     f = feed(spark, d).withColumn("p", F.col("price") / 120)
