@@ -47,6 +47,29 @@ def rolling(
     return F.when(F.count(c).over(frame) >= need, value)
 
 
+def _frame_total(c: Column, w: WindowSpec, rows: int) -> Column:
+    """Sum over the last ``rows`` rows as a difference of two running sums: linear, not rows x frame."""
+    upto = F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0))
+    before = F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -rows))
+    return F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))
+
+
+def long_mean(col: str, w: WindowSpec, rows: int, min_periods: int) -> Column:
+    """Mean of a long frame (thousands of rows) by running sums."""
+    c = F.col(col)
+    n = _frame_total(c.isNotNull().cast("long"), w, rows)
+    return F.when(n >= min_periods, F.try_divide(_frame_total(c, w, rows), n))
+
+
+def long_std(col: str, w: WindowSpec, rows: int, min_periods: int) -> Column:
+    """Sample deviation of a long frame; pass a column shifted close to zero, as it works on squares."""
+    c = F.col(col)
+    n = _frame_total(c.isNotNull().cast("long"), w, rows)
+    s, q = _frame_total(c, w, rows), _frame_total(c * c, w, rows)
+    var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
+    return F.when((n >= min_periods) & (n > 1), F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
 def quantile(p: float) -> Callable[[Column], Column]:
     return lambda c: F.percentile(c, p)
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .ranked import prefix_scan
+from pyspark.sql.window import Window as W
 
 
 def apply_strategies(df: DataFrame, signals: dict[str, Column], spread: str) -> DataFrame:
@@ -16,10 +15,26 @@ def apply_strategies(df: DataFrame, signals: dict[str, Column], spread: str) ->
 
 
 def running_drawdown(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: str) -> DataFrame:
-    """Cumulative sum, its running maximum and the difference, by chunked scans (no task per key)."""
-    cum = prefix_scan(df, keys, chunk, order, sums={"cumulative": F.col(value)})
-    top = prefix_scan(cum, keys, chunk, order, maxes={"running_max": F.col("cumulative")})
-    return top.withColumn("drawdown", F.col("cumulative") - F.col("running_max"))
+    """Cumulative sum, its running maximum and the difference (no task per key).
+
+    Each chunk reports its sum and its highest inner total; both carry forward
+    over the small chunk table, so the rows are read for one join only.
+    """
+    src = df.withColumn("_chunk", chunk)
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    src = src.withColumn("_in", F.sum(value).over(inside))
+    chunks = src.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"), F.max("_in").alias("_top"))
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    chunks = chunks.withColumn("_peak", F.max(F.col("_off") + F.col("_top")).over(earlier)).drop("_sum", "_top")
+    out = src.withColumn("_inmax", F.max("_in").over(inside)).join(chunks, [*keys, "_chunk"])
+    out = out.withColumns(
+        {
+            "cumulative": F.col("_in") + F.col("_off"),
+            "running_max": F.greatest(F.col("_peak"), F.col("_inmax") + F.col("_off")),
+        }
+    )
+    return out.withColumn("drawdown", F.col("cumulative") - F.col("running_max")).drop("_chunk", "_in", "_inmax", "_off", "_peak")
 
 
 def backtest_metrics(trades: DataFrame, key: str, day: str, chunk: Column, order: list[Column]) -> DataFrame:

@@ -16,18 +16,17 @@ from .ranked import prefix_scan
 def sessions(df: DataFrame, keys: list[str], t: str, gap_minutes: float, chunk: Column) -> DataFrame:
     """Add ``event_id``: rows closer than (or exactly) the gap belong to one event.
 
-    Works on raw rows: the previous time and the running count both come from
-    chunked scans, so a busy key is not one task.
+    Works on raw rows. The previous time comes from the row's own chunk or from
+    the last row of the chunk before; the running count is a chunked scan, so a
+    busy key is not one task.
     """
-    scanned = prefix_scan(df, keys, chunk, [F.col(t)], lasts={"_seen": F.col(t)}, sums={"_rn": F.lit(1).cast("long")})
+    src = df.withColumn("_ck", chunk)
+    tails = src.groupBy(*keys, "_ck").agg(F.max(t).alias("_tail"))
+    carried = tails.select(*keys, "_ck", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_ck")).alias("_before"))
     inside = W.partitionBy(*keys, "_ck").orderBy(t)
-    scanned = scanned.withColumn("_ck", chunk)
-    tails = scanned.groupBy(*keys, "_ck").agg(F.max(t).alias("_tail"))
-    carried = tails.select(*keys, "_ck", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_ck")).alias("_prev_chunk"))
-    prev = scanned.withColumn("_prev", F.lag(t).over(inside)).join(carried, [*keys, "_ck"])
-    before = F.coalesce("_prev", "_prev_chunk")
-    gap = (F.unix_micros(t) - F.unix_micros(before)) > int(gap_minutes * 60_000_000)
-    starts = prev.withColumn("_start", F.coalesce(gap, F.lit(True)).cast("long")).drop("_prev", "_prev_chunk", "_ck", "_seen", "_rn")
+    prev = src.withColumn("_prev", F.lag(t).over(inside)).join(carried, [*keys, "_ck"])
+    gap = (F.unix_micros(t) - F.unix_micros(F.coalesce("_prev", "_before"))) > int(gap_minutes * 60_000_000)
+    starts = prev.withColumn("_start", F.coalesce(gap, F.lit(True)).cast("long")).drop("_prev", "_before", "_ck")
     return prefix_scan(starts, keys, chunk, [F.col(t)], sums={"event_id": F.col("_start")}).drop("_start")
 
 

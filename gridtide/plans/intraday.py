@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import calendar as cal
-from ..functions.frames import ratio, rolling, sample_skew, series
+from ..functions.frames import long_mean, long_std, ratio, rolling, sample_skew, series
 from .spike import sorted_quantile
 
 EPS = 1e-6
@@ -44,13 +44,16 @@ def rolling_stats(df: DataFrame, keys: list[str], c: str = "price") -> DataFrame
         ("1h", 4, 1, ("mean", "std", "max", "min")),
         ("3h", 12, 4, ("mean", "std")),
         ("24h", 96, 24, ("mean", "std", "max", "min")),
-        ("7d", 672, 168, ("mean", "std")),
     ]
+    first = F.first(c).over(w.rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumns({"_x0": first, "_x": F.col(c) - first})
     fns = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
     cols = {f"price_{s}_{n}": rolling(fns[s], c, w, rows, 0, need) for n, rows, need, stats in spec for s in stats}
     frame = w.rowsBetween(-95, 0)
     cols["price_skew_24h"] = F.when(F.count(c).over(frame) >= 24, sample_skew(F.col(c), frame))
-    return df.withColumns(cols)
+    cols["price_mean_7d"] = F.col("_x0") + long_mean("_x", w, 672, 168)
+    cols["price_std_7d"] = long_std("_x", w, 672, 168)
+    return df.withColumns(cols).drop("_x0", "_x")
 
 
 def horizon_rolling(df: DataFrame, keys: list[str], horizon: int, names: list[str], c: str = "price") -> DataFrame:

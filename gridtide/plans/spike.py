@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules
-from ..functions.calendar import floor_time, to_local
-from ..functions.frames import ratio, rolling, series
+from ..functions.calendar import floor_time, plus_hours, to_local
+from ..functions.frames import long_mean, long_std, ratio, rolling, series
 from ..operators import align, dedup, fill
+from ..operators.ranked import own_rows, with_halo
 
 PRICE = ["lmp_lag1", "lmp_lag4", "lmp_lag96", "lmp_mean_4", "lmp_mean_96", "lmp_std_96", "lmp_max_96", "lmp_ramp_1h", "lmp_ramp_4h"]
 SPREAD = ["spread_lag1", "spread_mean_4", "spread_max_96", "spread_ramp_1h"]
@@ -50,7 +51,7 @@ def weather_columns(w, temp: str = "temp", wind: str = "wind") -> dict[str, Colu
     return {
         "temp_2m": t,
         "wind_speed_10m": v,
-        "temp_anomaly": t - rolling(F.avg, temp, w, 96 * 30, 0, 96),
+        "temp_anomaly": t - long_mean(temp, w, 96 * 30, 96),
         "temp_delta_1h": t - F.lag(temp, 4).over(w),
         "wind_chill": rules.wind_chill_metric(t, v),
     }
@@ -80,14 +81,17 @@ def feature_matrix(
     (point, station), reserves (t, prc, lam, adder), wind (t, gen, stwpf).
     """
     base = rtm.join(labels.select("point", "t", "spread", *LABELS), ["point", "t"], "left")
-    base = align.asof_backward(base, dam, ["point"], "t", ["dam"])
+    base = align.asof_grid(base, [(dam, ["dam"])], ["point"], "t")
     base = rules.zone_station(base, F.broadcast(stations), "point")
-    base = align.asof_backward(base, weather, ["station"], "t", ["temp", "wind"], shift_hours=1)
+    # system-wide and per-station sources are aligned once per slot, then joined by key
     r15 = dedup.keep_last_non_null(
         reserves.withColumn("q", floor_time(F.col("t"), 15)), ["q"], F.col("t"), ["prc", "lam", "adder"]
     ).withColumnRenamed("q", "t")
-    base = align.asof_backward(base, r15, [], "t", ["prc", "lam", "adder"])
-    base = align.asof_backward(base, wind, [], "t", ["gen", "stwpf"])
+    slots = rtm.select("t").distinct()
+    system = align.asof_grid(slots, [(r15, ["prc", "lam", "adder"]), (wind, ["gen", "stwpf"])], [], "t")
+    late = weather.withColumn("t", plus_hours(F.col("t"), 1))
+    local_weather = align.asof_grid(base.select("station", "t").distinct(), [(late, ["temp", "wind"])], ["station"], "t")
+    base = base.join(local_weather, ["station", "t"]).join(system, "t")
     w = series("point")
     local = to_local(F.col("t"))
     cols = price_columns(w) | spread_columns(w) | weather_columns(w) | reserve_columns(w) | wind_columns(w)
@@ -225,17 +229,15 @@ def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_row
     """Stress features from load, wind, solar, gas, coal, esr (5-minute rows)."""
     w = series(keys)
     diff = lambda c, n=1: F.col(c) - F.lag(c, n).over(w)
-    out = df.withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
-    frame = F.array_sort(F.collect_list("gas").over(w.rowsBetween(-(gas_rows - 1), 0)))
+    out = _gas_reference(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
+    out = out.withColumn("_wind0", F.col("wind") - F.first("wind").over(w.rowsBetween(W.unboundedPreceding, 0)))
     out = out.withColumns(
         {
             "net_load_ramp_5m": diff("net_load"),
             "net_load_ramp_15m": diff("net_load", 3),
-            "wind_anomaly": (F.col("wind") - rolling(F.avg, "wind", w, wind_rows, 0, 1))
-            / (rolling(F.stddev_samp, "wind", w, wind_rows, 0, 1) + 1e-6),
+            "wind_anomaly": (F.col("_wind0") - long_mean("_wind0", w, wind_rows, 1)) / (long_std("_wind0", w, wind_rows, 1) + 1e-6),
             "wind_ramp": diff("wind"),
             "wind_ramp_15m": diff("wind", 3),
-            "_gas": frame,
             "coal_ramp": diff("coal"),
             "esr_is_charging": (F.col("esr") < 0).cast("int"),
             "esr_is_discharging": (F.col("esr") > 0).cast("int"),
@@ -247,19 +249,31 @@ def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_row
     return out.withColumns(
         {
             "net_load_accel": diff("net_load_ramp_5m"),
-            "gas_saturation": F.col("gas") / (sorted_quantile(F.col("_gas"), 0.95) + 1e-6),
+            "gas_saturation": F.col("gas") / (F.col("_gas") + 1e-6),
             "coal_stress": F.coalesce((F.col("coal_ramp") > 0) & night, F.lit(False)).cast("int"),
         }
-    ).drop("_gas")
+    ).drop("_gas", "_wind0")
+
+
+def _gas_reference(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Rolling 95 % quantile of gas. A system-wide series has one key, so it is cut into
+    blocks with a halo of the frame's length and the sorts run in parallel."""
+    blocks, w = with_halo(df, keys, F.date_trunc("day", "t"), [F.col("t")], before=rows - 1, rows=rows)
+    sorted_frame = F.array_sort(F.collect_list("gas").over(w.rowsBetween(-(rows - 1), 0)))
+    return own_rows(blocks.withColumn("_gas", sorted_quantile(sorted_frame, 0.95)))
 
 
 def sorted_quantile(a: Column, p: float) -> Column:
-    """Linear quantile of a sorted array column."""
-    h = (F.size(a) - 1) * F.lit(p)
-    k = F.floor(h).cast("int")
-    low = F.try_element_at(a, k + 1)
-    high = F.coalesce(F.try_element_at(a, k + 2), low)
-    return low + (high - low) * (h - k)
+    """Linear quantile of a sorted array; the array expression is bound once, not repeated."""
+
+    def pick(x: Column) -> Column:
+        h = (F.size(x) - 1) * F.lit(p)
+        k = F.floor(h).cast("int")
+        low = F.try_element_at(x, k + 1)
+        high = F.coalesce(F.try_element_at(x, k + 2), low)
+        return low + (high - low) * (h - k)
+
+    return F.transform(F.array(a), pick)[0]
 
 
 def zone_weather(df: DataFrame, key: str = "station") -> DataFrame:

@@ -81,7 +81,7 @@ def main() -> int:
         except Exception as exc:  # report and go on with the next key
             ok, msg = False, f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += not ok
-        if not ok or "EMPTY" in msg or time.time() - start > 4:
+        if not ok or "EMPTY" in msg or time.time() - start > 8:
             print(f"{'ok  ' if ok else 'FAIL'} {key} {time.time() - start:.1f}s {msg}", flush=True)
     print(f"checked {len(args.keys or registered)} failed {bad}")
     return bad
