@@ -80,7 +80,10 @@ def market_parts_to_utc(date: Column, hour: Column, interval: Column | None = No
 
 
 def market_hour_start(date: Column, hour_ending: Column) -> Column:
-    """(date, hour ending) to the UTC interval start; ambiguous = daylight, missing = NULL."""
+    """(date, hour ending) to the UTC interval start; ambiguous = daylight, missing = NULL.
+
+    Hour 24 is read as the midnight that opens the date, so it sorts before hour 1.
+    """
     end_local = F.timestamp_seconds(F.unix_timestamp(date.cast("timestamp")) + F.pmod(hour_ending, F.lit(24)) * 3600)
     end = local_to_utc(end_local, ambiguous="daylight", nonexistent="null")
     return F.timestamp_seconds(F.unix_timestamp(end) - 3600)

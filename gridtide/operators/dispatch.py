@@ -80,7 +80,7 @@ def battery_rule_schedule(
     )
     zero = F.struct(
         F.lit(float(soc_0)).alias("soc"),
-        F.array().cast("array<struct<s:bigint,p:double,ch:double,dis:double,soc:double>>").alias("out"),
+        F.array().cast("array<struct<_s:bigint,_p:double,ch:double,dis:double,soc:double>>").alias("out"),
     )
 
     def step(acc, x):
@@ -93,12 +93,12 @@ def battery_rule_schedule(
         dis = F.when(discharging, F.least(F.lit(p_max), room_out * eta)).otherwise(0.0)
         nxt = F.least(F.greatest(soc + ch * eta / e_max - dis / (eta * e_max), F.lit(soc_min)), F.lit(soc_max))
         row = F.struct(
-            x["s"].cast("bigint").alias("s"), p.alias("p"), ch.alias("ch"), dis.alias("dis"), nxt.alias("soc")
+            x["s"].cast("bigint").alias("_s"), p.alias("_p"), ch.alias("ch"), dis.alias("dis"), nxt.alias("soc")
         )
         return F.struct(nxt.alias("soc"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     rows = day.select(*keys, F.inline(F.aggregate("_d", zero, step)["out"]))
-    rows = rows.select(*keys, F.col("s").alias(slot), F.col("p").alias(price), "ch", "dis", "soc")
+    rows = rows.select(*keys, F.col("_s").alias(slot), F.col("_p").alias(price), "ch", "dis", "soc")
     net = F.col("dis") - F.col("ch")
     w = W.partitionBy(*keys).orderBy(slot)
     rows = rows.withColumns({"power_mw": net, "_step": F.coalesce(F.abs(net - F.lag(net).over(w)), F.lit(0.0))})
