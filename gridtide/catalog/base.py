@@ -158,7 +158,7 @@ def b_asmcpc_d(spark, d):
     return by_service.agg(
         *[
             F.try_divide(
-                F.sum(F.when(F.col("o_orderpriority") == p, price).cast("decimal(18,2)")).cast("double"),
+                exact_sum(F.when(F.col("o_orderpriority") == p, price)),
                 F.count(F.when(F.col("o_orderpriority") == p, price)) * 997,
             ).alias(s)
             for p, s in SERVICES.items()

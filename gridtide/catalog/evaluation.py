@@ -263,7 +263,7 @@ def best_strategy(spark, d):
 )
 def running_drawdown(spark, d):
     e = base.b_ev(spark, d).withColumn("x", F.col("price") - 50)
-    return backtest.running_drawdown(e, ["point"], F.date_trunc("hour", "ts"), [F.col("ts")], "x")
+    return backtest.running_drawdown(e, ["point"], F.date_trunc("minute", "ts"), [F.col("ts")], "x")
 
 
 @query(

@@ -181,7 +181,7 @@ SESS = """SELECT *, sum(st) OVER (PARTITION BY point ORDER BY ts ROWS UNBOUNDED
 )
 def event_sessions(spark, d):
     pos = base.b_ev(spark, d).filter("price > 60")
-    s = events.sessions(pos, ["point"], "ts", 60, F.date_trunc("day", "ts"))
+    s = events.sessions(pos, ["point"], "ts", 60, F.date_trunc("minute", "ts"))
     return events.event_recall(s, ["point"], "k", 80)
 
 

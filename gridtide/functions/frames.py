@@ -96,10 +96,15 @@ def clamp(c: Column, low: float | Column, high: float | Column) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, low), high))
 
 
-def exact_mean(c: Column, scale: int = 2) -> Column:
-    """Mean through a decimal sum: the same bits whatever the partitioning or merge order."""
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double") / F.count(c)
+def _units(c: Column, scale: int) -> Column:
+    return F.rint(c * 10**scale).cast("long")
 
 
 def exact_sum(c: Column, scale: int = 2) -> Column:
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
+    """Sum of values with ``scale`` decimals as whole units: the same bits whatever the partitioning
+    or merge order, on primitive longs."""
+    return F.sum(_units(c, scale)).cast("double") / float(10**scale)
+
+
+def exact_mean(c: Column, scale: int = 2) -> Column:
+    return exact_sum(c, scale) / F.count(c)

@@ -9,6 +9,7 @@ from ..functions import calendar as cal
 from ..functions import rules
 from .align import two_decimals
 from .fill import slot_grid, with_one_row
+from .ranked import exact_quantiles
 
 
 def hourly_average(df: DataFrame, keys: list[str], t: str, price: str) -> DataFrame:
@@ -100,14 +101,12 @@ def unpivot_regions(df: DataFrame, keys: list[str], regions: list[str], measures
 
 
 def price_statistics(df: DataFrame, keys: list[str], price: str) -> DataFrame:
-    """Exact statistics per key; percentiles are merged from value counts, not from gathered rows."""
-    q = F.percentile(price, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
+    """Exact statistics per key; quantiles come from a chunked scan over distinct values."""
     s = df.groupBy(*keys).agg(
-        F.avg(price).alias("mean"), F.stddev_pop(price).alias("std"), F.min(price).alias("min"), F.max(price).alias("max"), q
+        F.avg(price).alias("mean"), F.stddev_pop(price).alias("std"), F.min(price).alias("min"), F.max(price).alias("max")
     )
-    return s.withColumns(
-        {"q25": F.col("_q")[0], "median": F.col("_q")[1], "q75": F.col("_q")[2], "range": F.col("max") - F.col("min")}
-    ).drop("_q")
+    q = exact_quantiles(df, keys, price, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return s.join(q, keys).withColumn("range", F.col("max") - F.col("min"))
 
 
 def threshold_stats(df: DataFrame, keys: list[str], price: str, limit: float = 60.0, per_hour: int = 12) -> DataFrame:

@@ -12,7 +12,7 @@ from .ranked import prefix_scan
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list[str], shift_hours: int = 0, chunk_minutes: int = 1440
+    left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list[str], shift_hours: int = 0, chunk_minutes: int = 60
 ) -> DataFrame:
     """For every left row the newest right row at or before its time, per key.
 

@@ -38,5 +38,6 @@ def day_grid(df: DataFrame, keys: list[str], day: str) -> DataFrame:
 
 
 def with_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a global aggregate (exactly one row, hence safe to broadcast) to every row."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach a global aggregate (one row) to every row as a scalar subquery: no join at all."""
+    one = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("_s")).scalar()
+    return df.select("*", one.alias("_one")).select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in stats.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import clamp
 from .fill import with_one_row
-from .ranked import prefix_scan, row_index
+from .ranked import exact_quantiles, prefix_scan, row_index
 
 
 def _zero_div(num: Column, den: Column) -> Column:
@@ -61,11 +61,10 @@ def interval_metrics(df: DataFrame, keys: list[str], y: str, low: str, high: str
 
 
 def residual_quantiles(df: DataFrame, keys: list[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
-    r = F.col(actual) - F.col(pred)
-    names = ["p5", "p25", "median", "p75", "p95"]
-    q = F.percentile(r, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("_q")
-    m = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), q)
-    return m.withColumns({n: F.col("_q")[i] for i, n in enumerate(names)}).drop("_q")
+    r = df.withColumn("_r", F.col(actual) - F.col(pred))
+    m = r.groupBy(*keys).agg(F.avg("_r").alias("mean"), F.stddev_pop("_r").alias("std"))
+    ps = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    return m.join(exact_quantiles(r, keys, "_r", ps), keys)
 
 
 def confusion(df: DataFrame, keys: list[str], y: str, yhat: str) -> DataFrame:
@@ -104,7 +103,7 @@ def _score_curve(df: DataFrame, keys: list[str], y: str, score: str, buckets: in
         sums={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending=True,
     )
     totals = ties.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.join(F.broadcast(totals), keys) if keys else with_one_row(cum, totals)
+    return cum.join(totals, keys) if keys else with_one_row(cum, totals)
 
 
 def roc_pr_auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:

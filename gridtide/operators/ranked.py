@@ -124,3 +124,29 @@ def ordered_splits(
     return sized.withColumns(
         {"ratio_split": F.when(rn <= F.floor(n * ratio), "train").otherwise("test"), "fold": (fold + 1).cast("int")}
     ).drop("_n", "rn")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float], bucket_width: float = 1.0) -> DataFrame:
+    """Exact linear quantiles per key without holding a key's values in one task.
+
+    Equal values are merged by a partial aggregate, ranked by a scan in value
+    buckets, and the two order statistics of each quantile picked by a last
+    aggregate.
+    """
+    x = F.col("_x")
+    ties = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_x")).agg(F.count("*").alias("_n"))
+    cum = prefix_scan(ties, keys, F.floor(x / bucket_width), [x], sums={"_cum": F.col("_n")})
+    total = ties.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
+    j = cum.join(total, keys) if keys else with_one_row(cum, total)
+    picks = []
+    for name, p in ps.items():
+        k = F.floor((F.col("_tot") - 1) * F.lit(p))
+        for side, at in (("lo", k), ("hi", F.least(k + 1, F.col("_tot") - 1))):
+            picks.append(F.max(F.when((at >= F.col("_cum") - F.col("_n")) & (at < F.col("_cum")), x)).alias(f"_{side}_{name}"))
+    agg = j.groupBy(*keys).agg(F.first("_tot").alias("_tot"), *picks)
+
+    def value(name: str, p: float) -> Column:
+        h = (F.col("_tot") - 1) * F.lit(p)
+        return F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (h - F.floor(h))
+
+    return agg.select(*keys, *[value(n, p).alias(n) for n, p in ps.items()])

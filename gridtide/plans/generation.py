@@ -67,7 +67,7 @@ def conformal(df: DataFrame, keys: list[str], is_val: Column, actual: str, pred:
     stats = df.filter(is_val).groupBy(*keys).agg(
         F.avg(r).alias("_bias"), F.percentile(F.abs(r), p).alias("_half"), F.percentile(r, F.array(F.lit(0.1), F.lit(0.9))).alias("_q")
     )
-    j = df.filter(~is_val).join(F.broadcast(stats), keys)
+    j = df.filter(~is_val).join(stats, keys)
     out = j.withColumns(
         {
             "corrected": F.col(pred) + F.col("_bias"),

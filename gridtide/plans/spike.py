@@ -82,7 +82,7 @@ def feature_matrix(
     """
     base = rtm.join(labels.select("point", "t", "spread", *LABELS), ["point", "t"], "left")
     base = align.asof_grid(base, [(dam, ["dam"])], ["point"], "t")
-    base = rules.zone_station(base, F.broadcast(stations), "point")
+    base = rules.zone_station(base, stations, "point")
     # system-wide and per-station sources are aligned once per slot, then joined by key
     r15 = dedup.keep_last_non_null(
         reserves.withColumn("q", floor_time(F.col("t"), 15)), ["q"], F.col("t"), ["prc", "lam", "adder"]

@@ -30,7 +30,7 @@ def upsert_parquet(spark: SparkSession, path: str, batch: DataFrame, keys: list[
     """
     if path_exists(spark, path):
         touched = batch.select(partition).distinct()
-        base = spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi")
+        base = spark.read.parquet(path).join(touched, partition, "left_semi")
         merged = cut_lineage(upsert(base.select(batch.columns), batch, keys, seq))
     else:
         merged = keep_last(batch, keys, [F.col(seq)])

@@ -73,3 +73,10 @@ def test_drawdown(spark, skewed):
     cum = skewed.groupby("key")["v"].cumsum()
     top = cum.groupby(skewed["key"]).cummax()
     np.testing.assert_allclose(out["drawdown"], (cum - top).to_numpy(), atol=1e-9)
+
+
+def test_exact_quantiles(spark, skewed):
+    ps = {"a": 0.05, "b": 0.5, "c": 0.99, "d": 1.0}
+    got = ranked.exact_quantiles(frame(spark, skewed), ["key"], "v", ps).toPandas().set_index("key")
+    want = skewed.groupby("key")["v"].quantile(list(ps.values())).unstack()
+    np.testing.assert_allclose(got.loc[want.index, list(ps)].to_numpy(), want.to_numpy(), atol=1e-9)
