@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import base
 
@@ -30,12 +29,12 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         df = self.build(spark, sf_dir)
-        cols = [F.col(c).cast("string").alias(c) for c in self.text]
-        cols += [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in self.times]
-        cols += [F.date_format(c, "yyyy-MM-dd").alias(c) for c in self.dates]
-        cols += [F.col(c).cast("bigint").alias(c) for c in self.ints]
-        cols += [(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in self.nums]
-        return df.select(*cols) if cols else df
+        cols = [f"CAST(`{c}` AS STRING) AS `{c}`" for c in self.text]
+        cols += [f"date_format(`{c}`, 'yyyy-MM-dd HH:mm:ss') AS `{c}`" for c in self.times]
+        cols += [f"date_format(`{c}`, 'yyyy-MM-dd') AS `{c}`" for c in self.dates]
+        cols += [f"CAST(`{c}` AS BIGINT) AS `{c}`" for c in self.ints]
+        cols += [f"round(CAST(`{c}` AS DOUBLE), 6) + 0.0D AS `{c}`" for c in self.nums]
+        return df.selectExpr(*cols) if cols else df
 
     def statement(self) -> str | None:
         if self.sql is None:

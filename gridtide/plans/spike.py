@@ -229,7 +229,7 @@ def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_row
     """Stress features from load, wind, solar, gas, coal, esr (5-minute rows)."""
     w = series(keys)
     diff = lambda c, n=1: F.col(c) - F.lag(c, n).over(w)
-    out = _gas_reference(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
+    out = _gas_capacity(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
     out = out.withColumn("_wind0", F.col("wind") - F.first("wind").over(w.rowsBetween(W.unboundedPreceding, 0)))
     out = out.withColumns(
         {
@@ -255,7 +255,7 @@ def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_row
     ).drop("_gas", "_wind0")
 
 
-def _gas_reference(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+def _gas_capacity(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Rolling 95 % quantile of gas. A system-wide series has one key, so it is cut into
     blocks with a halo of the frame's length and the sorts run in parallel."""
     blocks, w = with_halo(df, keys, F.date_trunc("day", "t"), [F.col("t")], before=rows - 1, rows=rows)

@@ -6,7 +6,7 @@ from gridtide.operators import backtest, dispatch, metrics
 
 
 def greedy_off(hours, loss, forced, cost, need):
-    """Reference scan written out: blocks of adjacent free hours, best end per start."""
+    """The scan written out: blocks of adjacent free hours, best end per start."""
     free, off, i = [h for h in hours if h not in forced], set(forced), 0
     while i < len(free):
         if loss[free[i]] <= 0:
