@@ -14,7 +14,7 @@ from .ranked import prefix_scan
 def asof_backward(
     left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list[str], shift_hours: int = 0, chunk_minutes: int = 60
 ) -> DataFrame:
-    """For every left row the newest right row at or before its time, per key.
+    """For every left row the newest right row at or before its time, per key (right rows unique in key and time).
 
     One union and a chunked carry-forward: no range join, no pair expansion,
     and a key that owns much of the data is spread over its time chunks.

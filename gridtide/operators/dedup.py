@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column], count: str | None = None) -> DataFrame:
-    """The newest row per key in ``order``; optionally with the number of rows the key had."""
+    """The newest row per key in ``order`` (never NULL, unique inside a key); optionally with the key's row count."""
     rest = [c for c in df.columns if c not in keys]
-    aggs = [F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")]
+    by = order[0] if len(order) == 1 else F.struct(*order)
+    aggs = [F.max_by(F.struct(*rest), by).alias("_row")]
     if count:
         aggs.append(F.count("*").alias(count))
     kept = [F.col(f"_row.{c}").alias(c) for c in rest]

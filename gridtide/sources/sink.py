@@ -60,8 +60,9 @@ def floor_5min_ingest(df: DataFrame, seq: str, names: dict[str, list[str]]) -> D
 
 
 def export_partitioned(df: DataFrame, path: str, by: list[str], salt: Column | None = None, parts: int = 8) -> None:
-    """One folder per partition value. Rows of one value are spread over ``parts`` writers so a big one has no single task."""
-    spread = F.pmod(F.hash(salt if salt is not None else F.monotonically_increasing_id()), F.lit(parts))
+    """One folder per partition value. Rows of one value are spread over ``parts`` writers, so a big one has no
+    single task; the spread is a hash of the row, hence the same when a lost task runs again."""
+    spread = F.pmod(F.xxhash64(salt) if salt is not None else F.xxhash64(*df.columns), F.lit(parts))
     df.repartition(*by, spread).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
