@@ -25,13 +25,22 @@ def build_session(master: str | None = None, app: str = "gridtide", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only where none is set."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    Where it is unset, a session in one process (local master) gets a scratch folder of its own; on a cluster that is an error, since executors
+    do not see each other's local folders.
+    """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="gridtide-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
+        return configured
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridtide-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
