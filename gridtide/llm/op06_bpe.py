@@ -197,13 +197,14 @@ def _in_workers(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[
     return get
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with ids (array<int>) in place of text.
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
+    """docs with ids (array<int>) in place of text; with digests also n_tokens and decoded_sha256 (of the bytes that the ids decode to).
 
     A NULL or empty text has no ids. Each row is encoded on its own: repeated rows give equal ids. Other columns stay.
     """
     get = _in_workers(docs.sparkSession, ranks_path, pattern)
-    others = [c for c in docs.columns if c not in ("text", "ids")]
+    made = ["ids", *["n_tokens", "decoded_sha256"] * digests]
+    others = [c for c in docs.columns if c not in ("text", *made)]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +215,13 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = [bpe.encode(t.as_py()) for t in part.column(len(others))]
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], lists], names=[*others, "ids"])
+                arrays = [*part.columns[: len(others)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
+                if digests:
+                    decoded = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+                    arrays += [pa.array([len(x) for x in ids], pa.int64()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*others, *made])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *["n_tokens long, decoded_sha256 string"] * digests])
     return docs.select(*others, "text").mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ SAMPLE_DOCS = 2500
 TRAIN_WINDOWS = 3000
 EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 5, 64, 0.01
 #: Least probability of each character of an added span.
-CONFIDENCE = 0.9
+CONFIDENCE = 0.6
 #: Windows decoded at once.
 DECODED_AT_ONCE = 512
 
@@ -409,6 +409,34 @@ def fit(docs: DataFrame) -> bytes:
     return bytes(found[0]) if found else b""
 
 
+def _decoded(tagger: Tagger, texts: dict[int, str]) -> dict[int, list[tuple[int, int, str, float]]]:
+    """Candidate spans of each text; windows of several texts are decoded together, at most DECODED_AT_ONCE at a time."""
+    found: dict[int, list] = {i: [] for i in texts}
+    waiting: list[tuple[int, list[int], np.ndarray]] = []
+
+    def flush() -> None:
+        tags, marginals = tagger.decode(np.concatenate([w[2] for w in waiting]))
+        at = 0
+        for i, starts, x in waiting:
+            found[i] += candidates(starts, tags[at : at + len(x)], marginals[at : at + len(x)], len(texts[i]))
+            at += len(x)
+        waiting.clear()
+
+    count = 0
+    for i, text in texts.items():
+        starts = window_starts(text)
+        for k in range(0, len(starts), DECODED_AT_ONCE):
+            part = starts[k : k + DECODED_AT_ONCE]
+            if count + len(part) > DECODED_AT_ONCE and waiting:
+                flush()
+                count = 0
+            waiting.append((i, part, _window_symbols(text[part[0] : part[-1] + WINDOW], [s - part[0] for s in part])))
+            count += len(part)
+    if waiting:
+        flush()
+    return found
+
+
 def find(docs: DataFrame, model: bytes, carried: list[str]) -> DataFrame:
     """The carried columns and spans (array of kind, start, end, base) of each row: base spans by kind and start, then those that the model adds.
 
@@ -425,18 +453,12 @@ def find(docs: DataFrame, model: bytes, carried: list[str]) -> DataFrame:
             column = batch.column(len(carried))
             for first, rows, data, offsets in shared.text_slices(column):
                 anchors = np.flatnonzero((data == 64) | ((data >= 48) & (data <= 57)))
-                holds = np.unique(shared.per_row(offsets, anchors)) if len(anchors) else []
-                for i in holds:
-                    text = column[first + int(i)].as_py()
+                texts = {int(i): column[first + int(i)].as_py() for i in (np.unique(shared.per_row(offsets, anchors)) if len(anchors) else [])}
+                decoded = _decoded(tagger, texts) if tagger else {}
+                for i, text in texts.items():
                     base = base_spans(text)
-                    decoded = []
-                    starts = window_starts(text) if tagger else []
-                    for k in range(0, len(starts), DECODED_AT_ONCE):
-                        part = starts[k : k + DECODED_AT_ONCE]
-                        tags, marginals = tagger.decode(_window_symbols(text[part[0] : part[-1] + WINDOW], [s - part[0] for s in part]))
-                        decoded += candidates(part, tags, marginals, len(text))
-                    more = added_spans(text, base, decoded)
-                    spans[first + int(i)] = [{"kind": k, "start": a, "end": b, "base": c} for s, c in ((base, True), (more, False)) for k, a, b in s]
+                    more = added_spans(text, base, decoded.get(i, []))
+                    spans[first + i] = [{"kind": k, "start": a, "end": b, "base": c} for s, c in ((base, True), (more, False)) for k, a, b in s]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(spans, pa.list_(span))], names=[*carried, "spans"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "spans array<struct<kind: string, start: int, end: int, base: boolean>>"])
@@ -470,6 +492,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind"))))
         return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op02_lines, op03_simhash, op04_toxicity, op07_quality
+from . import op01_topk, op02_lines, op03_simhash, op04_toxicity, op05_mixing, op06_bpe, op07_quality, op08_merkle, op09_chat, op10_pii
 
 QUERIES = {
     "op1_exact_topk": op01_topk.op1_exact_topk,
     "op2_line_dedup": op02_lines.op2_line_dedup,
     "op3_simhash_near_dedup": op03_simhash.op3_simhash_near_dedup,
     "op4_toxicity": op04_toxicity.op4_toxicity,
+    "op5_source_mixing": op05_mixing.op5_source_mixing,
+    "op6_byte_bpe": op06_bpe.op6_byte_bpe,
     "op7_quality": op07_quality.op7_quality,
+    "op8_merkle_fingerprint": op08_merkle.op8_merkle_fingerprint,
+    "op9_preference_format": op09_chat.op9_preference_format,
+    "op10_pii": op10_pii.op10_pii,
 }
 
-STATEMENTS = {**op01_topk.SQL}
+STATEMENTS = {**op01_topk.SQL, **op09_chat.SQL}
