@@ -33,8 +33,8 @@ def unified_sources(spark, d):
     rtm = _as_hours(base.b_rtm_d(spark, d)).withColumnRenamed("rtm", "lmp")
     price, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     comp = line.groupBy("point", "d").agg(
-        (exact_mean(price) / 997).alias("lmp"), (exact_mean(price * (1 - disc), 4) / 997).alias("energy"),
-        (exact_mean(price * disc * 4, 4) / 997).alias("congestion"), (exact_mean(price * tax, 4) / 997).alias("loss"),
+        (exact_mean(price) / 997).alias("lmp"), (exact_mean(price * (1 - disc)) / 997).alias("energy"),
+        (exact_mean(price * disc * 4) / 997).alias("congestion"), (exact_mean(price * tax) / 997).alias("loss"),
     )
     mw = {f: F.coalesce(F.sum(F.when(F.col("l_linenumber") == n, F.col("l_quantity"))), F.lit(0.0)) for n, f in LINE_FUEL.items()}
     by_fuel = line.groupBy("d").agg(*[c.alias(f"{f}_gen_mw") for f, c in mw.items()], F.lit(0.0).alias("biomass_gen_mw"))

@@ -180,7 +180,10 @@ def upsert_last_write(spark, d):
     ts = base.b_ev(spark, d)
     old = ts.filter(F.col("ts") < cut).select(e.columns)
     new = ts.filter(F.col("ts") >= cut).select(e.columns)
-    return dedup.upsert(old, new, ["point", "user_id"], "event_id")
+    path, keys = sink.scratch_path(spark, "latest"), ["point", "user_id"]
+    for batch in (old, new):
+        sink.upsert_parquet(spark, path, batch, keys, "point", "event_id")
+    return spark.read.schema(old.schema).parquet(path)
 
 
 @query(

@@ -15,10 +15,15 @@ from .registry import query
 FEATURES = ["rtm_lag_1h", "rtm_lag_4h", "rtm_lag_24h", "rtm_roll_24h_mean", "rtm_roll_24h_std", "rtm_roll_24h_min", "rtm_roll_24h_max", "hour", "dow"]
 
 
+HORIZONS = [1, 4, 24]
+#: Boosting rounds at most; the validation rows stop them early.
+ROUNDS = 20
+
+
 def table(spark, d):
     """Hourly features of every point with targets at 1, 4 and 24 rows and a time split."""
     x = _rtm24(spark, d).withColumns({"hour": F.hour("t"), "dow": F.weekday("t")})
-    x = intraday.multi_horizon(x, ["point"], [1, 4, 24])
+    x = intraday.multi_horizon(learning.as_doubles(x, FEATURES), ["point"], HORIZONS)
     return x.withColumn("split", learning.split_column("t", "2024-01-18", "2024-01-24"))
 
 
@@ -26,26 +31,28 @@ def table(spark, d):
 def ml_regressor_per_point(spark, d):
     x = table(spark, d)
     out = None
-    for h in (1, 4):
-        model = learning.fit_regressor(x, FEATURES, f"target_{h}", max_iter=10)
+    for h in HORIZONS:
+        model = learning.fit_regressor(x, FEATURES, f"target_{h}", max_iter=ROUNDS)
         scored = learning.predict_with_bounds(model, x.filter(F.col(f"target_{h}").isNotNull()), f"target_{h}", ["point"])
         one = scored.select("point", "t", F.lit(h).alias("horizon"), "covered", F.col(f"target_{h}").alias("actual"), "pred", "low", "high")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("ml_spike_classifier", text="point", times="t", ints="y", nums="probability")
+@query("ml_spike_classifier", text="point", times="t", ints="y alarm", nums="probability threshold")
 def ml_spike_classifier(spark, d):
     x = table(spark, d).withColumn("y", next_hour_spike("price", ["point"], fixed=45.0, multiple=1.2).cast("double"))
-    model = learning.fit_spike_classifier(x, FEATURES, "y", max_iter=8)
-    return learning.positive_probability(model.transform(x.filter("split = 'test'")))
+    model = learning.fit_spike_classifier(x, FEATURES, "y", max_iter=ROUNDS)
+    scored = learning.positive_probability(model.transform(x.filter("split <> 'train'")))
+    cut = learning.best_threshold(scored.filter("split = 'val'"), "y")
+    return scored.filter("split = 'test'").withColumns({"threshold": F.lit(cut), "alarm": F.col("probability") >= cut})
 
 
 @query("ml_multiclass_spread", text="point", times="t", ints="cls pred_class")
 def ml_multiclass_spread(spark, d):
     x = table(spark, d).join(base.b_hub1h(spark, d), "t")
     x = x.withColumn("cls", rules.spread_class(F.col("price") - F.col("hub") * 0.7071067811865476).cast("double"))
-    model = learning.fit_multiclass(x, FEATURES, "cls", trees=20)
+    model = learning.fit_multiclass(x, FEATURES, "cls")
     return model.transform(x.filter("split = 'test'"))
 
 
@@ -58,14 +65,16 @@ def ml_tuning(spark, d):
 @query("ml_ensemble", text="point", times="t", nums="target_1 tree linear weighted stack")
 def ml_ensemble(spark, d):
     x = table(spark, d)
-    members = {"tree": learning.fit_regressor(x, FEATURES, "target_1", max_iter=8), "linear": learning.fit_linear(x, FEATURES, "target_1")}
+    members = {"tree": learning.fit_regressor(x, FEATURES, "target_1", max_iter=ROUNDS), "linear": learning.fit_linear(x, FEATURES, "target_1")}
     return learning.stacked(x, members, "target_1", ["point", "t"])
 
 
 @query("ml_batch_score", text="model point", times="target_time", nums="predicted_value")
 def ml_batch_score(spark, d):
     x = table(spark, d).withColumn("day", F.col("t").cast("date"))
-    model = learning.fit_regressor(x, FEATURES, "target_1", max_iter=8)
+    stored = sink.scratch_path(spark, "model")
+    learning.save_model(learning.fit_regressor(x, FEATURES, "target_1", max_iter=ROUNDS), stored)
+    model = learning.load_model(stored)
     newest = learning.latest_day(x, ["point"], "day", "hour", need=20)
     rows = model.transform(newest).select(
         F.lit("rtm_1h").alias("model"), "point", F.timestamp_seconds(F.unix_timestamp("t") + 3600).alias("target_time"),

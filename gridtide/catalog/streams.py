@@ -13,8 +13,7 @@ UNIT = 0.7071067811865476
 
 
 def feed(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = jobs.file_stream(spark, d, "events.parquet", schema)
+    raw = jobs.table_stream(spark, f"{d}/events.parquet")
     return raw.select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("point"), F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("k"),

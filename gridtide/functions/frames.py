@@ -54,16 +54,24 @@ def _frame_total(c: Column, w: WindowSpec, rows: int) -> Column:
     return F.coalesce(upto, F.lit(0)) - F.coalesce(before, F.lit(0))
 
 
+def _levelled(col: str, w: WindowSpec) -> tuple[Column, Column]:
+    """(values less the mean of their series, that mean). Running sums of the differences keep their digits whatever the level of the series.
+    NaN counts as missing, so it does not stay in the sums of later rows."""
+    c = F.when(~F.isnan(col), F.col(col).cast("double"))
+    level = F.avg(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return c - level, level
+
+
 def long_mean(col: str, w: WindowSpec, rows: int, min_periods: int) -> Column:
     """Mean of a long frame (thousands of rows) by running sums."""
-    c = F.col(col)
+    c, level = _levelled(col, w)
     n = _frame_total(c.isNotNull().cast("long"), w, rows)
-    return F.when(n >= min_periods, F.try_divide(_frame_total(c, w, rows), n))
+    return F.when(n >= min_periods, level + F.try_divide(_frame_total(c, w, rows), n))
 
 
 def long_std(col: str, w: WindowSpec, rows: int, min_periods: int) -> Column:
-    """Sample deviation of a long frame; pass a column shifted close to zero, as it works on squares."""
-    c = F.col(col)
+    """Sample deviation of a long frame."""
+    c, _ = _levelled(col, w)
     n = _frame_total(c.isNotNull().cast("long"), w, rows)
     s, q = _frame_total(c, w, rows), _frame_total(c * c, w, rows)
     var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
@@ -96,15 +104,10 @@ def clamp(c: Column, low: float | Column, high: float | Column) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, low), high))
 
 
-def _units(c: Column, scale: int) -> Column:
-    return F.rint(c * 10**scale).cast("long")
-
-
-def exact_sum(c: Column, scale: int = 2) -> Column:
-    """Sum of values with ``scale`` decimals as whole units: the same bits whatever the partitioning
-    or merge order, on primitive longs."""
-    return F.sum(_units(c, scale)).cast("double") / float(10**scale)
+def exact_sum(c: Column) -> Column:
+    """Decimal sum of values with up to six decimals: the same bits whatever the partitioning or merge order."""
+    return F.sum(c.cast("decimal(18,6)")).cast("double")
 
 
-def exact_mean(c: Column, scale: int = 2) -> Column:
-    return exact_sum(c, scale) / F.count(c)
+def exact_mean(c: Column) -> Column:
+    return exact_sum(c) / F.count(c)

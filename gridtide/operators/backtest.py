@@ -75,7 +75,7 @@ def trade_log_metrics(trades: DataFrame, key: str, t: str, chunk: Column, order:
     sharpe = F.when(std > 0, F.try_divide(F.col("avg_pnl"), std) * F.sqrt(per_year)).otherwise(0.0)
     dd = running_drawdown(net, [key], chunk, order, "net").withColumn("_d", -F.col("drawdown"))
     # the peak is taken where the deepest drawdown is first reached
-    worst = dd.groupBy(key).agg(F.max("_d").alias("max_drawdown"), F.max_by("running_max", F.struct("_d", "running_max")).alias("_peak"))
+    worst = dd.groupBy(key).agg(F.max("_d").alias("max_drawdown"), F.max_by("running_max", F.struct("_d", -F.col("running_max"))).alias("_peak"))
     pct = F.when(F.col("_peak") > 0, F.try_divide(F.col("max_drawdown"), F.col("_peak")) * 100).otherwise(0.0)
     return m.withColumn("sharpe", sharpe).join(worst, key).withColumn("max_drawdown_pct", pct).drop("_s", "_h", "_peak")
 

@@ -33,15 +33,19 @@ def _std(a: Column) -> Column:
     return F.sqrt(F.try_divide(F.aggregate(p, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(p)))
 
 
-def day_arrays(df: DataFrame, keys: list[str], date: str, hour: str, price: str) -> DataFrame:
-    """One row per (keys, date) with the 24 hourly prices; ``hour`` is 1-24."""
-    cells = [F.max(F.when(F.col(hour) == h, F.col(price))) for h in range(1, 25)]
+def day_arrays(df: DataFrame, keys: list[str], date: str, hour: str, price: str, order: str | None = None) -> DataFrame:
+    """One row per (keys, date) with the 24 hourly prices; ``hour`` is 1-24.
+
+    An hour that comes twice (autumn change) keeps its first price by ``order``; without that column, the smaller price.
+    """
+    at = lambda h, c: F.when((F.col(hour) == h) & F.col(price).isNotNull(), F.col(c))
+    cells = [F.min_by(at(h, price), at(h, order)) if order else F.min(at(h, price)) for h in range(1, 25)]
     return df.groupBy(*keys, date).agg(F.array(*cells).alias("p"))
 
 
-def daily_features(df: DataFrame, keys: list[str], date: str, hour: str, price: str, min_history: int = 28, spike: float = 100.0) -> DataFrame:
+def daily_features(df: DataFrame, keys: list[str], date: str, hour: str, price: str, min_history: int = 28, spike: float = 100.0, order: str | None = None) -> DataFrame:
     """35 features. Offsets count available dates; day D-1 and D-7 must be complete."""
-    days = day_arrays(df, keys, date, hour, price)
+    days = day_arrays(df, keys, date, hour, price, order)
     w = W.partitionBy(*keys).orderBy(date)
     wanted = [*range(1, 8), 14, 21, 28]
     days = days.withColumns({f"d{k}": F.lag("p", k).over(w) for k in wanted} | {"_i": F.row_number().over(w)})

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
@@ -37,7 +37,49 @@ def _prepare(features: list[str], point: str | None) -> list:
     if point:
         stages.append(StringIndexer(inputCol=point, outputCol="_point", handleInvalid="keep"))
         inputs.append("_point")
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")]
+    # a missing feature is filled with its median of the fitted rows, so no row is left out; the assembler fails on anything else
+    filled = [f"_filled_{f}" for f in features]
+    fill = Imputer(inputCols=features, outputCols=filled, strategy="median")
+    names = [*filled, *inputs[len(features) :]]
+    return [*stages, fill, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")]
+
+
+def as_doubles(df: DataFrame, features: list[str]) -> DataFrame:
+    """Features as DOUBLE, NaN as missing."""
+    return df.withColumns({f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features})
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Store a fitted model in a shared folder, in place of an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def importances(model: PipelineModel, spark) -> DataFrame:
+    """feature, importance of a fitted tree model, in the order of its inputs."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    names = [n.removeprefix("_filled_") for n in assembler.getInputCols()]
+    return spark.createDataFrame([*zip(names, map(float, model.stages[-1].featureImportances.toArray()))], "feature STRING, importance DOUBLE")
+
+
+def best_threshold(scored: DataFrame, label: str, probability: str = "probability", steps: int = 100) -> float:
+    """Probability cut with the best F1 on the given (validation) rows, on a grid of equal steps; the higher cut wins ties, 0.5 without positives.
+
+    One aggregate by grid step; the driver sees at most steps + 1 rows.
+    """
+    step = F.least(F.floor(F.col(probability) * steps), F.lit(steps)).cast("int").alias("s")
+    table = scored.where(F.col(label).isNotNull()).groupBy(step).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n")).collect()
+    positives = sum(r.p for r in table)
+    best, cut, tp, flagged = 0.0, 0.5, 0, 0
+    for r in sorted(table, key=lambda r: -r.s):
+        tp, flagged = tp + r.p, flagged + r.n
+        f1 = 2 * tp / (flagged + positives) if positives else 0.0
+        if f1 > best:
+            best, cut = f1, r.s / steps
+    return cut
 
 
 def split_column(t: str, train_end: str, val_end: str) -> Column:
@@ -50,7 +92,7 @@ def fit_regressor(df: DataFrame, features: list[str], label: str, point: str | N
     rows = df.filter("split <> 'test'").filter(F.col(label).isNotNull()).withColumn("is_val", F.col("split") == "val")
     booster = GBTRegressor(
         featuresCol="features", labelCol=label, predictionCol="pred", validationIndicatorCol="is_val", seed=SEED,
-        maxIter=params.get("max_iter", 20), maxDepth=params.get("max_depth", 4), stepSize=params.get("step", 0.1),
+        maxIter=params.get("max_iter", 100), maxDepth=params.get("max_depth", 4), stepSize=params.get("step", 0.1),
     )
     with kept(rows) as r:
         return Pipeline(stages=[*_prepare(features, point), booster]).fit(r)
@@ -63,14 +105,14 @@ def fit_linear(df: DataFrame, features: list[str], label: str, reg: float = 0.01
         return Pipeline(stages=[*_prepare(features, None), lr]).fit(r)
 
 
-def fit_spike_classifier(df: DataFrame, features: list[str], label: str, point: str | None = "point", max_iter: int = 15) -> PipelineModel:
-    """Boosted classifier with positives weighted by neg / pos."""
-    rows = df.filter("split = 'train'").filter(F.col(label).isNotNull())
+def fit_spike_classifier(df: DataFrame, features: list[str], label: str, point: str | None = "point", max_iter: int = 60) -> PipelineModel:
+    """Boosted classifier with positives weighted by neg / pos; rows of split "val" stop the boosting early."""
+    rows = df.filter("split <> 'test'").filter(F.col(label).isNotNull()).withColumn("is_val", F.col("split") == "val")
     with kept(rows) as r:
-        balance = r.agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("n")).first()
+        balance = r.filter("NOT is_val").agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("n")).first()
         weight = (balance.n - balance.p) / max(balance.p, 1)
         weighted = r.withColumn("w", F.when(F.col(label) == 1, float(weight)).otherwise(1.0))
-        gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="w", maxIter=max_iter, maxDepth=4, seed=SEED)
+        gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="w", validationIndicatorCol="is_val", maxIter=max_iter, maxDepth=4, seed=SEED)
         return Pipeline(stages=[*_prepare(features, point), gbt]).fit(weighted)
 
 
@@ -118,9 +160,9 @@ def stacked(df: DataFrame, members: dict[str, PipelineModel], label: str, keys:
 
     out = df
     for name, model in members.items():
-        drop = [c for c in ("features", "_point") if c in out.columns]
+        drop = [c for c in out.columns if c in ("features", "_point") or c.startswith("_filled_")]
         out = model.transform(out.drop(*drop)).withColumnRenamed("pred", name)
-    out = out.drop("features", "_point")
+    out = out.drop(*[c for c in out.columns if c in ("features", "_point") or c.startswith("_filled_")])
     names = list(members)
     val = out.filter("split = 'val'").filter(F.col(label).isNotNull())
     weights = inverse_error_weights(val, label, names)

@@ -17,30 +17,52 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of one output file, about.
+ROWS_PER_FILE = 1_000_000
+
+
+def _status(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _status(spark, path) is not None
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    status = _status(spark, path)
+    return status is not None and status.isDirectory()
+
+
+def _spread(df: DataFrame, by: list[str], salt: Column) -> DataFrame:
+    """Rows dealt by the columns `by` and, where one value has more than ROWS_PER_FILE rows, over several writers by a hash of salt."""
+    writers = df.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(ROWS_PER_FILE)).alias("_writers")).where("_writers > 1")
+    same = None
+    for c in by:
+        term = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        same = term if same is None else same & term
+    joined = df.withColumn("_salt", salt).alias("l").join(writers.alias("r"), same, "left")
+    slot = F.pmod("l._salt", F.coalesce("r._writers", F.lit(1)))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], slot.alias("_slot")).repartition(*by, "_slot").drop("_slot")
 
 
 def upsert_parquet(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], partition: str, seq: str) -> None:
     """Merge a batch into a partitioned Parquet table; only touched partitions are read and rewritten.
 
-    Re-running the same batch leaves the same rows.
+    Re-running the same batch leaves the same rows, also after a first write that did not end. The stored table is read with the batch's
+    schema, so a partition value keeps its type (text such as 0017 stays text).
     """
     if path_exists(spark, path):
         touched = batch.select(partition).distinct()
-        base = spark.read.parquet(path).join(touched, partition, "left_semi")
-        merged = cut_lineage(upsert(base.select(batch.columns), batch, keys, seq))
+        base = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
+        merged = upsert(base.select(batch.columns), batch, keys, seq)
     else:
         merged = keep_last(batch, keys, [F.col(seq)])
-    (
-        merged.repartition(partition, F.pmod(F.hash(*keys), F.lit(16)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    merged = cut_lineage(merged)
+    out = _spread(merged, [partition], F.xxhash64(*keys))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def floor_5min_ingest(df: DataFrame, seq: str, names: dict[str, list[str]]) -> DataFrame:
@@ -59,11 +81,11 @@ def floor_5min_ingest(df: DataFrame, seq: str, names: dict[str, list[str]]) -> D
     return keep_last(rows, ["time", "settlement_point"], [F.col(seq)])
 
 
-def export_partitioned(df: DataFrame, path: str, by: list[str], salt: Column | None = None, parts: int = 8) -> None:
-    """One folder per partition value. Rows of one value are spread over ``parts`` writers, so a big one has no
-    single task; the spread is a hash of the row, hence the same when a lost task runs again."""
-    spread = F.pmod(F.xxhash64(salt) if salt is not None else F.xxhash64(*df.columns), F.lit(parts))
-    df.repartition(*by, spread).write.mode("overwrite").partitionBy(*by).parquet(path)
+def export_partitioned(df: DataFrame, path: str, by: list[str], salt: Column | None = None) -> None:
+    """One folder per partition value. Rows of a large value are spread over writers, one for each ROWS_PER_FILE rows; the spread is a
+    hash of the row, hence the same when a lost task runs again."""
+    hashed = F.xxhash64(salt) if salt is not None else F.xxhash64(*df.columns)
+    _spread(df, by, hashed).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def export_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:

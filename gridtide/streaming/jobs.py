@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.calendar import floor_time
-from ..sources.sink import scratch_path, upsert_parquet
+from ..sources.sink import is_folder, scratch_path, upsert_parquet
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,10 +36,22 @@ def file_stream(spark: SparkSession, folder: str, name_glob: str, schema, files_
     )
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a Parquet folder and read it back."""
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of part files."""
+    schema = spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return file_stream(spark, path, "*.parquet", schema, files_per_trigger)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, name, schema, files_per_trigger)
+
+
+def drain(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over everything available now into a Parquet folder and read it back.
+
+    With a folder (shared, of this stream alone) a later call goes on from its checkpoint; without one, each call starts anew.
+    """
     spark = df.sparkSession
-    out = scratch_path(spark, "stream")
+    out = folder or scratch_path(spark, "stream")
     query = (
         df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -58,7 +70,11 @@ def ingest_upsert(feed: DataFrame, path: str, checkpoint: str, keys: list[str],
     """Keyed last-write-wins per micro-batch; replaying a batch leaves the same table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert_parquet(batch.sparkSession, path, batch, keys, partition, seq)
+        kept = batch.persist()  # read twice: touched partitions, then rows
+        try:
+            upsert_parquet(batch.sparkSession, path, kept, keys, partition, seq)
+        finally:
+            kept.unpersist()
 
     return each_batch(feed, write, checkpoint)
 
