@@ -2,10 +2,11 @@
 
 1. Texts are split at newlines. A line's normal form is its words in lower case (A-Z) with digits as 0, joined by single spaces. Lines under
    MIN_WORDS words take no part and always stay.
-2. Equal normal forms fall together by a 128-bit hash of their words; each distinct line keeps its first place (doc_id, line number).
-3. Distinct lines get a 64-bit SimHash of their words and meet in blocks: the bits are cut into five pieces, and two lines within RADIUS = 3
-   bits share at least two of them. Within a block, pairs within RADIUS are candidates. A hot block is dealt in tiles, all pairs still meet.
-4. Only the texts of candidate lines are fetched. Within a tile lines are joined into a forest by edit similarity (1 - Levenshtein / longer
+2. Equal normal forms fall together by a hash of their words.
+3. Distinct lines get a 64-bit SimHash of their words and meet in blocks: the bits are cut into RADIUS + r pieces, and two lines within RADIUS
+   bits share at least r of them. r grows with the number of lines, so that a block stays small; the pairs that meet are the same for every r.
+   Within a block, pairs within RADIUS are candidates. A hot block is dealt in tiles, all pairs still meet.
+4. Only the texts that hold a first place of a candidate line are fetched. Within a tile lines are joined into a forest by edit similarity (1 - Levenshtein / longer
    length of the normal forms) of at least SIMILARITY; a pair already connected is not compared again, so a group of m near copies costs
    about m comparisons and yields m - 1 edges, not m^2.
 5. Connected groups keep their first line; all others go from their texts.
@@ -28,8 +29,8 @@ MIN_WORDS = 5
 RADIUS = 3
 SIMILARITY = 0.8
 TILE_LIMIT = 1000
-#: Bit ranges (first, width) of the five pieces.
-PIECES = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Lines that a block may hold on average before more pieces have to agree.
+BLOCK_LINES = 64
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -85,26 +86,37 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of a tile with another line of the tile within RADIUS bits."""
-    columns = {n: [] for n in ("pair", "block", "tile", "ha", "hb", "sim")}
-    for run in shared.grouped_runs(batches, ["pair", "block", "tile"], ["pair", "block", "tile", "ha", "hb", "sim"]):
-        sims = np.array([r[5] for r in run], np.int64)
-        near = np.zeros(len(run), bool)
-        for i in range(len(run) - 1):
-            hit = np.flatnonzero(np.bitwise_count((sims[i + 1 :] ^ sims[i]).view(np.uint64)) <= RADIUS)
-            if len(hit):
-                near[i] = True
-                near[i + 1 + hit] = True
-        for i in np.flatnonzero(near):
-            for n, x in zip(columns, run[i]):
-                columns[n].append(x)
-        if len(columns["ha"]) > 50_000:
-            yield pa.RecordBatch.from_pydict(columns, schema=_CLOSE)
-            columns = {n: [] for n in columns}
-    yield pa.RecordBatch.from_pydict(columns, schema=_CLOSE)
-
-
-_CLOSE = pa.schema([("pair", pa.int32()), ("block", pa.int64()), ("tile", pa.int32()), ("ha", pa.int64()), ("hb", pa.int64()), ("sim", pa.int64())])
+    """Of rows sorted by block and tile (block, tile, node, sim): those with another row of their tile within RADIUS bits."""
+
+    def near(block, tile, sim):
+        starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (tile[1:] != tile[:-1]))))
+        size = np.diff(starts, append=len(block))
+        left = np.repeat(starts + size, size) - np.arange(len(block))  # rows from here to the end of the run
+        hit = np.zeros(len(block), bool)
+        rows, step = np.flatnonzero(left > 1), 1
+        while len(rows):
+            with_next = rows[np.bitwise_count((sim[rows] ^ sim[rows + step]).view(np.uint64)) <= RADIUS]
+            hit[with_next] = True
+            hit[with_next + step] = True
+            step += 1
+            rows = rows[left[rows] > step]
+        return hit
+
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [np.asarray(c) for c in batch.columns]
+        if kept is not None:
+            now = [np.concatenate(x) for x in zip(kept, now)]
+        # the last run may go on in the next batch
+        last = len(now[0]) - 1
+        whole = int(np.flatnonzero((now[0] != now[0][last]) | (now[1] != now[1][last]))[-1]) + 1 if len(now[0]) and ((now[0] != now[0][last]) | (now[1] != now[1][last])).any() else 0
+        kept = [x[whole:] for x in now]
+        if whole:
+            hit = near(now[0][:whole], now[1][:whole], now[3][:whole])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:whole][hit]) for x in now], names=batch.schema.names)
+    if kept is not None and len(kept[0]):
+        hit = near(kept[0], kept[1], kept[3])
+        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in kept], names=["block", "tile", "node", "sim"])
 
 
 def edit_distance_at_most(a: str, b: str, most: int) -> bool:
@@ -160,7 +172,7 @@ def similar(a: str, b: str) -> bool:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest edges between the lines of a tile: within RADIUS bits and of enough edit similarity."""
     left, right = [], []
-    for run in shared.grouped_runs(batches, ["pair", "block", "tile"], ["node", "sim", "form"]):
+    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "sim", "form"]):
         sims = np.array([r[1] for r in run], np.int64)
         forest = shared.Forest(len(run))
         for i in range(1, len(run)):
@@ -175,42 +187,68 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _pieces(count: int) -> list[tuple[int, int]]:
+    """(first bit, width) of so many pieces of 64 bits."""
+    edges = [64 * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _blocks(lines: int):
+    """Array of block numbers of a SimHash (column sim) for so many distinct lines."""
+    agree = 1
+    while agree < 3 and lines / 2 ** (64 * agree // (RADIUS + agree)) > BLOCK_LINES:
+        agree += 1
+    blocks = []
+    for k, chosen in enumerate(combinations(_pieces(RADIUS + agree), agree)):
+        block = F.lit(k).cast("long")
+        for first, width in chosen:
+            block = block * (1 << width) + F.shiftrightunsigned("sim", first).bitwiseAND(F.lit((1 << width) - 1))
+        blocks.append(block)
+    return F.array(*blocks)
+
+
+#: A line's place in the corpus, in the order that decides which line of a group stays.
+_PLACE = ("doc_id IS NULL AS none", "doc_id", "text_hash", "line")
+
+
+def _doc_key(doc_id: str = "doc_id", text_hash=None):
+    return F.xxhash64(F.col(doc_id).isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text_hash") if text_hash is None else text_hash)
+
+
 def _repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line (from 0) of every line that repeats an earlier one, exactly or nearly."""
-    spark = docs.sparkSession
-    n = shared.shuffle_partitions(spark)
+    n = shared.shuffle_partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     lines = shared.checkpointed(texts.mapInArrow(_line_rows, "doc_id long, text_hash long, line int, ha long, hb long, sim long"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
-    distinct = shared.checkpointed(lines.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.first("sim").alias("sim")))
-    piece = lambda p: F.shiftrightunsigned("sim", p[0]).bitwiseAND(F.lit((1 << p[1]) - 1))
-    blocks = F.array(
-        *[
-            F.struct(F.lit(k).alias("pair"), (F.shiftleft(piece(p), 13) + piece(q)).alias("block"))
-            for k, (p, q) in enumerate(combinations(PIECES, 2))
-        ]
+    nodes = shared.checkpointed(lines.groupBy(F.col("ha").alias("node")).agg(F.min("sim").alias("sim")))
+    keyed = nodes.select(F.explode(_blocks(nodes.count())).alias("block"), "node", "sim")
+    tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
+    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(_close, "block long, tile int, node long, sim long")
+    close = shared.checkpointed(close)
+
+    # the normal forms of candidate lines, each from the first text that has it; texts that certainly hold none are not shuffled
+    wanted = close.select(F.col("node").alias("ha")).distinct()
+    place = F.struct(*[F.expr(p) for p in _PLACE])
+    first = lines.join(wanted, "ha").groupBy("ha").agg(F.min(place).alias("p"))
+    by_text = first.groupBy("p.none", "p.doc_id", "p.text_hash").agg(F.collect_list(F.struct("p.line", "ha")).alias("want"))
+    by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
+    held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
+    forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
+    forms = forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
+    ready = close.join(forms, "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
+    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(_verified, "a long, b long")
+    groups = shared.connected_components(edges).withColumnRenamed("node", "ha")
+
+    # equal lines share (ha, hb), linked ones their component
+    placed = lines.join(groups, "ha", "left").select(
+        F.coalesce("component", "ha").alias("g"), F.when(F.col("component").isNull(), F.col("hb")).otherwise(0).alias("g2"), place.alias("p")
     )
-    keyed = distinct.select("ha", "hb", "sim", F.explode(blocks).alias("k")).select("k.pair", "k.block", "ha", "hb", "sim")
-    tiles = shared.tiled(keyed, ["pair", "block"], "ha", TILE_LIMIT).repartition(n, "pair", "block", "tile")
-    close = tiles.sortWithinPartitions("pair", "block", "tile").select("pair", "block", "tile", "ha", "hb", "sim")
-    close = shared.checkpointed(close.mapInArrow(_close, "pair int, block long, tile int, ha long, hb long, sim long"))
-    wanted = close.select("ha", "hb").distinct().join(distinct.select("ha", "hb", "first"), ["ha", "hb"])
-    # one row of line numbers for each text that holds candidate lines; then their normal forms, by one join with the texts
-    wanted = wanted.groupBy("first.none", "first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("first.line", "ha", "hb")).alias("want"))
-    wanted = wanted.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("none").alias("_none"), F.col("text_hash").alias("_hash"), "want")
-    match = (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("doc_id").isNull() == F.col("_none")) & (F.col("text_hash") == F.col("_hash"))
-    forms = texts.join(wanted, match).select("text", "want").mapInPandas(_forms, "ha long, hb long, form string")
-    forms = forms.groupBy("ha", "hb").agg(F.first("form").alias("form"))  # repeated rows give the same form
-    ready = close.join(forms, ["ha", "hb"]).withColumn("node", F.xxhash64("ha", "hb"))
-    ready = ready.repartition(n, "pair", "block", "tile").sortWithinPartitions("pair", "block", "tile", "ha", "hb")
-    edges = ready.select("pair", "block", "tile", "node", "sim", "form").mapInArrow(_verified, "a long, b long")
-    groups = shared.connected_components(edges)
-    placed = distinct.select("ha", "hb", "first", F.xxhash64("ha", "hb").alias("node")).join(groups, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
-    heads = placed.join(heads, "component").select("ha", "hb", "head")
-    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
-    return lines.join(heads, ["ha", "hb"]).where(here != F.col("head")).select("doc_id", "text_hash", "line")
+    placed = shared.checkpointed(placed)
+    heads = placed.groupBy("g", "g2").agg(F.min("p").alias("head"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
+    heads = shared.checkpointed(heads)
+    key = F.xxhash64("g", "g2")
+    repeated = shared.may_hold(placed, key, shared.key_filter(heads.select(key.alias("key")), "key"), "held").where("held")
+    return repeated.join(heads, ["g", "g2"]).where("p <> head").select("p.doc_id", "p.text_hash", "p.line")
 
 
 def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,39 +256,48 @@ def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, want in zip(frame["text"], frame["want"]):
             lines = text.split("\n")
-            out += [(w["ha"], w["hb"], normal_form(lines[w["line"]])) for w in want]
-        yield pd.DataFrame(out, columns=["ha", "hb", "form"])
+            out += [(w["ha"], normal_form(lines[w["line"]])) for w in want]
+        yield pd.DataFrame(out, columns=["node", "form"])
 
 
-def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the text and the numbers of the lines to take out; they become text, lines before and lines taken out."""
+    for batch in batches:
         texts, before, gone = [], [], []
-        for text, drop in zip(frame["text"], frame["_drop"]):
+        for text, drop in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            text, drop = text.as_py(), set(drop.as_py() or ())
             lines = text.split("\n") if text is not None else []
-            drop = set() if drop is None else set(map(int, drop))
             before.append(len(lines))
             gone.append(len(drop))
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-        yield frame.drop(columns=["_drop", "text"]).assign(text=texts, n_lines=before, n_removed=gone)
+        arrays = [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(before, pa.int32()), pa.array(gone, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[str(i) for i in range(len(arrays))])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines taken out of text, and n_lines, n_removed (lines before, lines taken out).
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """docs with repeated lines taken out of text and, with counts, n_lines and n_removed (lines before, lines taken out; they replace columns of
+    these names).
 
     Of each group of near-equal lines the first stays: smallest doc_id (NULL ids last), then the text's hash, then line number. All other columns
     and all rows stay. A NULL text stays NULL with 0 lines; an empty text has one line. A row that repeats another row's doc_id and text counts as
     the same place, so both keep the same lines. Texts of any length take part whole; a text may become empty.
     """
-    extra = [c for c in ("n_lines", "n_removed", "_drop", "_text_hash") if c in docs.columns]
-    docs = docs.drop(*extra)
-    gone = _repeats(docs).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash"))
-    gone = gone.agg(F.collect_set("line").alias("_drop"))  # at most the lines of one text
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    match = (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("doc_id").isNull() == F.col("_none")) & (F.col("_text_hash") == F.col("_hash"))
-    rows = rows.join(gone, match, "left").select(*docs.columns, "_drop")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return rows.mapInPandas(_without, f"{schema}{', ' if schema else ''}text string, n_lines int, n_removed int").select(*docs.columns, "n_lines", "n_removed")
+    if counts:
+        docs = docs.drop("n_lines", "n_removed")
+    drop, own_key, held, key, i, h = shared.own_names(docs, "drop", "own_key", "held", "key", "i", "h")
+    gone = _repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(drop))  # at most the lines of one text
+    gone = shared.checkpointed(gone.select(drop, _doc_key().alias(key), F.col("doc_id").alias(i), F.col("text_hash").alias(h)))
+    others = [c for c in docs.columns if c != "text"]
+    cols = [*[F.col(f"`{c}`") for c in others], "text"]
+    rows = docs.withColumn(own_key, _doc_key(text_hash=F.xxhash64("text")))
+    rows = shared.may_hold(rows, F.col(own_key), shared.key_filter(gone, key), held)
+    match = (F.col(own_key) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    # only texts that may lose a line are shuffled
+    changed = rows.where(F.col(held)).join(gone, match, "left").select(*cols, drop)
+    same = rows.where(~F.col(held)).select(*cols, F.lit(None).cast("array<int>").alias(drop))
+    lines, removed = ("n_lines", "n_removed") if counts else shared.own_names(docs, "n_lines", "n_removed")
+    done = changed.unionAll(same).mapInArrow(_without, shared.schema_of(docs, others, "text string", f"{lines} int", f"{removed} int"))
+    return done.select(*shared.columns_of(docs), *[lines, removed] * counts)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

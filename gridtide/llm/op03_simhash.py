@@ -93,7 +93,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    for run in shared.grouped_runs(batches, ["pair", "block", "tile"], ["fp"]):
+    for run in shared.grouped_runs(batches, ["shard", "tile"], ["fp"]):
         tree = BkTree()
         for (fp,) in run:
             for other in tree.within(fp & mask, RADIUS):
@@ -111,13 +111,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp) that differ in at most RADIUS bits."""
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    shards = F.array(
-        *[F.struct(F.lit(k).alias("pair"), (F.shiftleft(block(i), 16) + block(j)).alias("block")) for k, (i, j) in enumerate(BLOCK_PAIRS)]
-    )
-    dealt = prints.select("fp", F.explode(shards).alias("s")).select("s.pair", "s.block", "fp")
-    dealt = shared.tiled(dealt, ["pair", "block"], "fp", SHARD_LIMIT)
-    dealt = dealt.repartition(shared.shuffle_partitions(prints.sparkSession), "pair", "block", "tile")
-    return dealt.sortWithinPartitions("pair", "block", "tile", "fp").mapInArrow(_linked, "a long, b long").distinct()
+    shards = F.array(*[(F.lit(k).cast("long") * (1 << 32) + block(i) * (1 << 16) + block(j)) for k, (i, j) in enumerate(BLOCK_PAIRS)])
+    dealt = shared.tiled(prints.select(F.explode(shards).alias("shard"), "fp"), "shard", "fp", SHARD_LIMIT)
+    dealt = dealt.repartition(shared.shuffle_partitions(prints.sparkSession), "shard", "tile")
+    return dealt.select("shard", "tile", "fp").sortWithinPartitions("shard", "tile", "fp").mapInArrow(_linked, "a long, b long").distinct()
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -148,11 +145,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
     kept = _placed(docs).groupBy("component").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_text_hash"]
-    rows = rows.groupBy(*same).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    own_hash, i, none, h = shared.own_names(docs, "text_hash", "id", "none", "hash")
+    kept = kept.select(F.coalesce("_id", F.lit(0)).alias(i), F.col("_id").isNull().alias(none), F.col("_hash").alias(h))
+    rows = docs.withColumn(own_hash, F.xxhash64("text"))
+    match = (F.coalesce("doc_id", F.lit(0)) == F.col(i)) & (F.col("doc_id").isNull() == F.col(none)) & (F.col(own_hash) == F.col(h))
+    rows = rows.join(kept, match)
+    rows = rows.groupBy(i, none, h).agg(F.min(F.struct(*shared.columns_of(docs))).alias("row"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage  # noqa: F401
 
+#: Rows of a table of two numbers that may be broadcast, once counted.
+BROADCAST_ROWS = 100_000
+#: Bits of a key filter (2 MB); its table of words is broadcast.
+FILTER_BITS = 1 << 24
 #: Bytes of text that one vectorised step takes at once (a longer single text is one step).
 SLICE_BYTES = 2_000_000
 
@@ -25,6 +29,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from every column of df (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns of df by quoted name."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def schema_of(df: DataFrame, names: list[str], *more: str) -> str:
+    """Schema text of df's columns `names`, then further fields."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join([*(f"`{c}` {types[c]}" for c in names), *more])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -37,14 +63,22 @@ def remainder(column: str, modulus: int):
 # ---------------------------------------------------------------- bounded groups
 
 
-def tiled(rows: DataFrame, keys: list[str], id_column: str, limit: int) -> DataFrame:
-    """Give each row the tiles of its key, so that every two rows of a key meet in a tile of at most about 2 * limit rows.
+def tiled(rows: DataFrame, key: str, id_column: str, limit: int) -> DataFrame:
+    """Give each row the tiles of its key, so that every two rows of a key meet in a tile of at most about 4 * limit rows.
 
-    A key with up to `limit` rows has the one tile 0. A larger key is dealt over s = ceil(rows / limit) parts by a hash of the id;
+    A key with up to about `limit` rows has the one tile 0. A larger key is dealt over s = ceil(rows / limit) parts by a hash of the id;
     part i goes to the tiles of all unordered pairs of parts that contain i. Nothing is dropped; no task has to hold a whole hot key.
+
+    Which keys are large is read off one row in `limit // 20` by a hash of the id, so that no count of all keys is shuffled. The estimate decides
+    only how a key is dealt, not what meets. The few large keys are broadcast behind a check of their number; beyond it they are joined.
     """
-    hot = rows.groupBy(*keys).count().where(F.col("count") > limit)
-    hot = hot.select(*keys, F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("_parts"))
+    one_in = max(1, limit // 20)
+    seen = rows.where(F.pmod(F.xxhash64(id_column, F.lit(13)), F.lit(one_in)) == 0).groupBy(key).agg((F.count("*") * one_in).alias("_rows"))
+    hot = checkpointed(seen.where(F.col("_rows") > limit).select(key, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts")))
+    few = hot.count()
+    if few == 0:
+        return rows.withColumn("tile", F.lit(0))
+    dealt = rows.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, key, "left")
     part = F.pmod(F.xxhash64(id_column, F.lit(7)), F.col("_parts")).cast("int")
     tiles = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(
@@ -52,8 +86,23 @@ def tiled(rows: DataFrame, keys: list[str], id_column: str, limit: int) -> DataF
             lambda j: F.least(j, F.col("_part")) * F.col("_parts") + F.greatest(j, F.col("_part")),
         )
     )
-    dealt = rows.join(hot, keys, "left").withColumn("_part", part)
-    return dealt.withColumn("tile", F.explode(tiles)).drop("_part", "_parts")
+    return dealt.withColumn("_part", part).withColumn("tile", F.explode(tiles)).drop("_part", "_parts")
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of FILTER_BITS bits of the keys (long hashes) as a table of words: at most FILTER_BITS / 64 rows, whatever the number of keys."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = keys.select(F.floor(bit / 64).cast("int").alias("_word"), (bit % 64).cast("int").alias("_bit"))
+    return checkpointed(words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+
+
+def may_hold(rows: DataFrame, hashed, bitmap: DataFrame, name: str) -> DataFrame:
+    """rows with a flag: false means that the bitmap's keys certainly lack the hash; true may be a coincidence, so a join decides."""
+    bit = F.pmod(hashed, F.lit(FILTER_BITS))
+    word, bits = own_names(rows, "_word", "_bits")
+    found = rows.join(F.broadcast(bitmap.select(F.col("_word").alias(word), F.col("_bits").alias(bits))), F.floor(bit / 64).cast("int") == F.col(word), "left")
+    flag = F.coalesce(F.getbit(bits, (bit % 64).cast("int")) == 1, F.lit(False))
+    return found.withColumn(name, flag).drop(word, bits)
 
 
 def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[tuple]]:
