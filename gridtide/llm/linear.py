@@ -78,8 +78,8 @@ def train(sample: DataFrame, features: Features, *, bits: int, presence: bool, e
     return np.frombuffer(found["w"], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, features: Features, bits: int, presence: bool, carried: list[str], keep_text: bool = False) -> DataFrame:
-    """The carried columns (and text) and score of each row of docs: the weights go to the executors (fixed size), a text is one sparse dot product."""
+def scored(docs: DataFrame, weights: np.ndarray, features: Features, bits: int, presence: bool, carried: list[str], keep_text: bool = False, name: str = "score") -> DataFrame:
+    """The carried columns (and text) and score, under the given name, of each row of docs: the weights go to the executors (fixed size), a text is one sparse dot product."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     carried = [c for c in carried if c != "text"]
     out = [*carried, *["text"] * keep_text]
@@ -97,11 +97,9 @@ def scored(docs: DataFrame, weights: np.ndarray, features: Features, bits: int,
                     dot = np.bincount(row, weights=w[h & np.uint64((1 << bits) - 1)], minlength=rows)
                     dot /= np.sqrt(np.maximum(1, np.bincount(row, minlength=rows)))
                 score[first : first + rows] = sigmoid(dot + w[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(score)], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(score)], names=[*out, name])
 
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in out)
-    return docs.select(*carried, "text").mapInArrow(run, f"{schema}{', ' if out else ''}score double")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(run, shared.schema_of(docs, out, f"{name} double"))
 
 
 def labelled_sample(labels: DataFrame, label: str, learn, per_class: int) -> DataFrame:

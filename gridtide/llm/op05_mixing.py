@@ -31,11 +31,12 @@ TOLERANCE = 1e-6
 
 
 def _words(docs: DataFrame, *carried: str | Column) -> DataFrame:
-    """One row for each word (bucket; -1 for the empty ones between separators) and its place in the text."""
+    """bucket of each word, and words: how many the text has. A text without words gives one row with bucket -1."""
     text = F.replace(F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    rows = docs.select(*carried, F.posexplode(F.split(text, " ")).alias("place", "word"))
-    bucket = F.when(F.col("word") == "", F.lit(-1)).otherwise(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    return rows.withColumn("bucket", bucket)
+    rows = docs.select(*carried, F.array_remove(F.split(text, " "), "").alias("list"))
+    rows = rows.select(*[c for c in rows.columns if c != "list"], F.size("list").alias("words"), F.explode_outer("list").alias("word"))
+    bucket = F.when(F.col("word").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    return rows.withColumn("bucket", bucket).drop("word")
 
 
 def classifier(labelled: DataFrame, domain: str) -> tuple[list[str], DataFrame]:
@@ -47,14 +48,17 @@ def classifier(labelled: DataFrame, domain: str) -> tuple[list[str], DataFrame]:
     domains = [r[0] for r in rows.select("domain").distinct().orderBy("domain").limit(MOST_DOMAINS + 1).collect()]
     if len(domains) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains in {domain}")
+    buckets = labelled.sparkSession.range(-1, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    if not domains:
+        return domains, buckets
     counts = _words(rows, "domain").where("bucket >= 0").groupBy("bucket").agg(
         F.count("*").alias("every"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
     )
     totals = counts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"t{k}") for k in range(len(domains))])
-    buckets = labelled.sparkSession.range(-1, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     table = buckets.join(counts, "bucket", "left").crossJoin(F.broadcast(totals))  # totals: one row
-    weight = lambda k: F.log((F.coalesce(f"n{k}", F.lit(0)) + SMOOTHING) / (F.col(f"t{k}") + SMOOTHING * BUCKETS))
-    return domains, table.select("bucket", *[F.when(F.col("bucket") < 0, F.lit(0.0)).otherwise(weight(k)).alias(f"w{k}") for k in range(len(domains))])
+    log = lambda k: F.log((F.coalesce(f"n{k}", F.lit(0)) + SMOOTHING) / (F.col(f"t{k}") + SMOOTHING * BUCKETS))
+    weight = lambda k: F.coalesce(F.when(F.col("bucket") >= 0, log(k)), F.lit(0.0))
+    return domains, table.select("bucket", *[weight(k).alias(f"w{k}") for k in range(len(domains))])
 
 
 def memberships(docs: DataFrame, domains: list[str], weights: DataFrame) -> DataFrame:
@@ -65,12 +69,12 @@ def memberships(docs: DataFrame, domains: list[str], weights: DataFrame) -> Data
     d = range(len(domains))
     # BUCKETS + 1 rows: a proven bound for the broadcast
     scored = _words(docs, "doc_id", F.xxhash64("text").alias("text_hash")).join(F.broadcast(weights), "bucket")
-    sums = scored.groupBy("doc_id", "text_hash").agg(
-        F.count(F.when(F.col("place") == 0, 1)).alias("copies"), F.count(F.when(F.col("bucket") >= 0, 1)).alias("words"), *[F.sum(f"w{k}").alias(f"s{k}") for k in d]
-    )
-    tokens = (F.col("words") / F.col("copies")).cast("long")
-    logits = F.array(*[F.col(f"s{k}") / F.col("copies") / F.sqrt(F.greatest(F.lit(1.0), F.col("words") / F.col("copies"))) for k in d])
-    rows = sums.select("doc_id", "text_hash", "copies", tokens.alias("tokens"), logits.alias("z"))
+    sums = scored.groupBy("doc_id", "text_hash", "words").agg(F.count("*").alias("seen"), *[F.sum(f"w{k}").alias(f"s{k}") for k in d])
+    # a text gives as many rows as words, one at least
+    each = F.greatest(F.col("words"), F.lit(1))
+    copies = (F.col("seen") / each).cast("long").alias("copies")
+    sums = sums.select("doc_id", "text_hash", copies, F.col("words").cast("long").alias("tokens"), *[F.col(f"s{k}") / F.sqrt(each) for k in d])
+    rows = sums.select("doc_id", "text_hash", "copies", "tokens", F.array(*[F.col(f"`{c}`") / F.col("copies") for c in sums.columns[4:]]).cast("array<double>").alias("z"))
     rows = rows.select("doc_id", "text_hash", "copies", "tokens", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return rows.select("doc_id", "text_hash", "copies", "tokens", F.transform("e", lambda x: x / total).alias("p"))
@@ -133,12 +137,14 @@ def mixed(docs: DataFrame, found: DataFrame, at_least: int = 0) -> DataFrame:
 
     at_least=1 keeps every row once even if its rate is below 1. Columns are unchanged.
     """
-    by_row = found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash"), F.col("rate").alias("_rate"))
+    i, none, h, rate, n = shared.own_names(docs, "id", "none", "hash", "rate", "n")
+    by_row = found.select(F.coalesce("doc_id", F.lit(0)).alias(i), F.col("doc_id").isNull().alias(none), F.col("text_hash").alias(h), F.col("rate").alias(rate))
     hashed = F.xxhash64("text")
-    rows = docs.join(by_row, (F.coalesce("doc_id", F.lit(0)) == F.col("_id")) & (F.col("doc_id").isNull() == F.col("_none")) & (hashed == F.col("_hash")))
+    rows = docs.join(by_row, (F.coalesce("doc_id", F.lit(0)) == F.col(i)) & (F.col("doc_id").isNull() == F.col(none)) & (hashed == F.col(h)))
     chance = F.pmod(F.xxhash64("doc_id", hashed, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.greatest(F.floor(F.col("_rate") + chance).cast("int"), F.lit(at_least))
-    return rows.withColumn("_n", times).where("_n > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.greatest(F.floor(F.col(rate) + chance).cast("int"), F.lit(at_least))
+    rows = rows.withColumn(n, times).where(F.col(n) > 0).withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))
+    return rows.select(*shared.columns_of(docs))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

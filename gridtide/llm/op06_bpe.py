@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import shared
 
@@ -205,7 +206,6 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = Fals
     get = _in_workers(docs.sparkSession, ranks_path, pattern)
     made = ["ids", *["n_tokens", "decoded_sha256"] * digests]
     others = [c for c in docs.columns if c not in ("text", *made)]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
@@ -221,15 +221,14 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = Fals
                     arrays += [pa.array([len(x) for x in ids], pa.int64()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*others, *made])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *["n_tokens long, decoded_sha256 string"] * digests])
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    schema = shared.schema_of(docs, others, "ids array<int>", *["n_tokens long, decoded_sha256 string"] * digests)
+    return docs.select(*[F.col(f"`{c}`") for c in others], "text").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carried: list[str]) -> DataFrame:
     """The carried columns with n_tokens, ids_sha256 and decoded_sha256 of each row (ids as little-endian unsigned 32-bit integers; the decoded
     bytes). A NULL text counts as empty. Digests are made where the ids are, so no ids travel."""
     get = _in_workers(docs.sparkSession, ranks_path, pattern)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
@@ -247,8 +246,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carried: list[str
             arrays = [*batch.columns[: len(carried)], pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carried, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    schema = shared.schema_of(docs, carried, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(run, schema)
 
 
 def default_vocabulary() -> tuple[str, str]:

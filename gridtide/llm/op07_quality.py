@@ -48,13 +48,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return linear.train(rows, word_pairs, bits=BITS, presence=False, **TRAINING)
 
 
-def scores(docs: DataFrame, labels: DataFrame, carried: list[str], keep_text: bool = False) -> DataFrame:
-    """The carried columns (and text) and score (0 to 1; higher: better) of each row.
+def scores(docs: DataFrame, labels: DataFrame, carried: list[str], keep_text: bool = False, name: str = "score") -> DataFrame:
+    """The carried columns (and text) and score (0 to 1; higher: better), under the given name, of each row.
 
     NULL and empty texts get the score of no words (the intercept's). Repeated rows stay. Without labels every score is 0.5. Extra columns of either
     table are ignored unless carried.
     """
-    return linear.scored(docs, fit(docs, labels), word_pairs, BITS, False, carried, keep_text)
+    return linear.scored(docs, fit(docs, labels), word_pairs, BITS, False, carried, keep_text, name)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

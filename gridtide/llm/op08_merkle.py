@@ -121,14 +121,13 @@ def differing_spans(a: Node, b: Node) -> list[tuple[int, int]]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with fingerprint (root, 64 hex digits) in place of text; NULL counts as empty; repeated rows get equal fingerprints; other columns stay."""
     others = [c for c in docs.columns if c not in ("text", "fingerprint")]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = [tree(t.as_py()).digest.hex() for t in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(roots, pa.string())], names=[*others, "fingerprint"])
 
-    return docs.select(*others, "text").mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in others), "fingerprint string"]))
+    return docs.select(*[F.col(f"`{c}`") for c in others], "text").mapInArrow(run, shared.schema_of(docs, others, "fingerprint string"))
 
 
 # ---------------------------------------------------------------- each text against the next one and its own edit

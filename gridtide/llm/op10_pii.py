@@ -26,7 +26,7 @@ KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 96, 48
 SAMPLE_DOCS = 2500
 TRAIN_WINDOWS = 3000
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 5, 64, 0.01
+EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 16, 250, 64, 0.01
 #: Least probability of each character of an added span.
 CONFIDENCE = 0.6
 #: Windows decoded at once.
@@ -236,27 +236,24 @@ class Tagger:
             g["emb"] += table @ self.p[f"wx{d}"].T
         return float((log_z - gold).mean()), g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
+        """Adam over shuffled batches, as many steps for few windows as for many; the loss of each step."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step, losses = 0, []
-        for epoch in range(epochs):
-            total = []
-            order = rng.permutation(len(x))
-            for first in range(0, len(x), BATCH):
-                pick = order[first : first + BATCH]
-                loss, g = self.gradients(x[pick], y[pick])
-                norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-                step += 1
-                rate = RATE * 0.6**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, a in g.items():
-                    a = a * min(1.0, 5.0 / (norm + 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * a
-                    v[k] = 0.999 * v[k] + 0.001 * a * a
-                    self.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
-                total.append(loss)
-            losses.append(float(np.mean(total)))
+        losses, order = [], np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(len(x))
+            pick, order = order[:BATCH], order[BATCH:]
+            loss, g = self.gradients(x[pick], y[pick])
+            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            rate = RATE * 0.1 ** (step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for k, a in g.items():
+                a = a * min(1.0, 5.0 / (norm + 1e-9))
+                m[k] = 0.9 * m[k] + 0.1 * a
+                v[k] = 0.999 * v[k] + 0.001 * a * a
+                self.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+            losses.append(loss)
         return losses
 
     def to_bytes(self) -> bytes:
@@ -437,13 +434,12 @@ def _decoded(tagger: Tagger, texts: dict[int, str]) -> dict[int, list[tuple[int,
     return found
 
 
-def find(docs: DataFrame, model: bytes, carried: list[str]) -> DataFrame:
-    """The carried columns and spans (array of kind, start, end, base) of each row: base spans by kind and start, then those that the model adds.
+def find(docs: DataFrame, model: bytes, carried: list[str], name: str = "spans") -> DataFrame:
+    """The carried columns and, under the given name, spans (array of kind, start, end, base) of each row: base spans by kind and start, then those that the model adds.
 
     NULL and empty texts have no spans. Repeated rows stay. An empty model adds nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,26 +455,25 @@ def find(docs: DataFrame, model: bytes, carried: list[str]) -> DataFrame:
                     base = base_spans(text)
                     more = added_spans(text, base, decoded.get(i, []))
                     spans[first + i] = [{"kind": k, "start": a, "end": b, "base": c} for s, c in ((base, True), (more, False)) for k, a, b in s]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(spans, pa.list_(span))], names=[*carried, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(spans, pa.list_(span))], names=[*carried, name])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "spans array<struct<kind: string, start: int, end: int, base: boolean>>"])
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    schema = shared.schema_of(docs, carried, f"{name} array<struct<kind: string, start: int, end: int, base: boolean>>")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets; other columns and rows stay."""
-    found = find(docs.withColumn("_whole", F.col("text")), model, [*[c for c in docs.columns if c != "text"], "_whole"])
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    whole, spans, done = shared.own_names(docs, "whole", "spans", "done")
+    found = find(docs.withColumn(whole, F.col("text")), model, [*[c for c in docs.columns if c != "text"], whole], spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    kept = lambda s, a: F.substring(F.col(whole), a + 1, s - a)
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-        F.struct(
-            F.concat(acc["text"], F.substring(F.col("_whole"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("text"),
-            s["end"].alias("at"),
-        )
+        F.struct(F.concat(acc["text"], kept(s["start"], acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("text"), s["end"].alias("at"))
     )
-    done = found.withColumn("_r", F.aggregate(ordered, begin, step))
-    text = F.concat(F.col("_r.text"), F.substring(F.col("_whole"), F.col("_r.at") + 1, F.length("_whole")))
-    return done.withColumn("text", F.when(F.col("_whole").isNotNull(), text)).select(*docs.columns)
+    found = found.withColumn(done, F.aggregate(ordered, begin, step))
+    text = F.concat(F.col(f"{done}.text"), kept(F.length(whole), F.col(f"{done}.at")))
+    return found.withColumn("text", F.when(F.col(whole).isNotNull(), text)).select(*shared.columns_of(docs))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
