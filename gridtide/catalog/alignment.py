@@ -9,6 +9,7 @@ from ..functions import rules
 from ..functions.frames import exact_mean, series
 from ..operators import align, dedup, fill
 from . import base
+from ..operators.ranked import in_blocks
 from .registry import query
 from .rules import LOCAL_CASES
 
@@ -110,10 +111,10 @@ def asof_reserves(spark, d):
 )
 def asof_wind(spark, d):
     a = align.asof_backward(base.b_hub15(spark, d), base.b_gen(spark, d), [], "t", ["gen", "stwpf"]).withColumn("sys", F.lit("all"))
-    w = series("sys")
-    return a.withColumns(
+    lags = lambda b, w: b.withColumns(
         {"wind_gen_lag1": F.lag("gen").over(w), "wind_forecast_error": F.lag(F.col("gen") - F.col("stwpf")).over(w)}
     )
+    return in_blocks(a, ["sys"], "t", lags, 1)
 
 
 @query(

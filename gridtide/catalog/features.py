@@ -8,6 +8,7 @@ from ..functions.frames import exact_mean, series
 from ..plans import daily, delta, generation, intraday, spike, unified
 from . import base
 from .alignment import RES15
+from ..operators.ranked import in_blocks
 from .registry import query
 from .rules import LOCAL_CASES, MAJOR
 from .sequences import J15
@@ -630,10 +631,12 @@ def _g3(spark, d):
       coalesce(wind_gen_change_1h > 1000, false) AS ramp_up_1h FROM (SELECT t, {columns(_WL)} FROM ({G3}))""",
 )
 def wind_lag_roll(spark, d):
-    w = generation.lag_roll(_g3(spark, d), ["point"], "gen", "wind_gen", [1, 2, 3, 6, 12, 24], [6, 12, 24], [1, 3, 6], 100)
+    build = lambda g, w: generation.lag_roll(g, ["point"], "gen", "wind_gen", [1, 2, 3, 6, 12, 24], [6, 12, 24], [1, 3, 6], 100, w)
+    w = in_blocks(_g3(spark, d), ["point"], "t", build, 24)
     return generation.ramp_flags(w, "wind_gen")
 
 
 @query("load_lag_roll", times="t", nums=" ".join(_LL), sql=f"SELECT t, {columns(_LL)} FROM ({G3})")
 def load_lag_roll(spark, d):
-    return generation.lag_roll(_g3(spark, d), ["point"], "gen", "load", [1, 2, 3, 6, 12, 24, 48, 168], [6, 12, 24, 168], [1, 24], 1000)
+    build = lambda g, w: generation.lag_roll(g, ["point"], "gen", "load", [1, 2, 3, 6, 12, 24, 48, 168], [6, 12, 24, 168], [1, 24], 1000, w)
+    return in_blocks(_g3(spark, d), ["point"], "t", build, 168)

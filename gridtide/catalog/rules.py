@@ -12,6 +12,7 @@ from ..functions import rules
 from ..functions.frames import series
 from ..operators import fill
 from . import base
+from ..operators.ranked import in_blocks
 from .registry import query
 
 
@@ -395,7 +396,7 @@ def frontal_score(spark, d):
 )
 def ramp_down_risk(spark, d):
     g = base.b_gen(spark, d).withColumn("sys", F.lit("all"))
-    g = g.withColumn("change", F.col("gen") - F.lag("gen").over(series("sys")))
+    g = in_blocks(g, ["sys"], "t", lambda b, w: b.withColumn("change", F.col("gen") - F.lag("gen").over(w)), 1)
     h = F.hour("t")
     return g.withColumn("risk", rules.ramp_down_risk(F.col("change"), h, (h >= 19) | (h < 7)))
 

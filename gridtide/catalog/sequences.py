@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import series
 from ..operators import events
-from ..operators.ranked import ordered_splits
+from ..operators.ranked import in_blocks, ordered_splits
 from ..plans import generation, intraday, spike
 from . import base
 from .registry import query
@@ -142,7 +142,7 @@ def naive_baseline(spark, d):
            f"coalesce(lead(gen, {h}) OVER (ORDER BY t) - gen, 0) AS ramp_{h}h, least(coalesce(lead(gen, {h}) OVER (ORDER BY t) - gen, 0), 0) AS ramp_down_{h}h"
            for h in (1, 3)) + " FROM b_gen")
 def forward_ramp(spark, d):
-    return generation.forward_ramp(gen(spark, d), ["sys"], "gen", [1, 3])
+    return in_blocks(gen(spark, d), ["sys"], "t", lambda g, w: generation.forward_ramp(g, ["sys"], "gen", [1, 3], w), 0, 3)
 
 
 def gen(spark, d):
@@ -155,7 +155,7 @@ _GRAD = "coalesce((lead({c}) OVER (ORDER BY t) - lag({c}) OVER (ORDER BY t)) / 2
 @query("gradient_acceleration", times="t", nums="change_rate acceleration",
        sql=f"SELECT *, {_GRAD.format(c='change_rate')} AS acceleration FROM (SELECT t, {_GRAD.format(c='gen')} AS change_rate FROM b_gen)")
 def gradient_acceleration(spark, d):
-    return generation.gradient_acceleration(gen(spark, d), ["sys"], "gen")
+    return in_blocks(gen(spark, d), ["sys"], "t", lambda g, w: generation.gradient_acceleration(g, ["sys"], "gen", w), 2, 2)
 
 
 @query(

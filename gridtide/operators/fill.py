@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import series
-from pyspark.sql.window import Window as W
-
 
 def fill_nullable(df: DataFrame, keys: list[str], order: str, forward=(), zero=(), required=()) -> DataFrame:
     """Drop rows lacking a required value, carry ``forward`` columns on, then NULL to zero."""
+    from .ranked import prefix_scan  # which uses this module
+
     out = df.na.drop(subset=list(required)) if required else df
-    w = series(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    for c in forward:
-        out = out.withColumn(c, F.last(c, ignorenulls=True).over(w))
+    if forward:  # by day and then over the days, so a long series is many tasks
+        out = prefix_scan(out, keys, F.to_date(order), [F.col(order)], lasts={c: F.col(c) for c in forward}).select(*out.columns)
     return out.na.fill(0, subset=list(zero)) if zero else out
 
 

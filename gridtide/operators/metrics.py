@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import clamp
 from .fill import with_one_row
-from .ranked import exact_quantiles, prefix_scan, row_index
+from .ranked import exact_quantiles, prefix_scan, row_index, value_chunks
 
 
 def _zero_div(num: Column, den: Column) -> Column:
@@ -88,20 +88,20 @@ def confusion(df: DataFrame, keys: list[str], y: str, yhat: str) -> DataFrame:
     )
 
 
-def _score_curve(df: DataFrame, keys: list[str], y: str, score: str, buckets: int = 1000) -> DataFrame:
+def _score_curve(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """One row per tied score with cumulative true and false positives, highest score first.
 
-    Ties are merged by a partial aggregate, then scanned in score buckets, so
-    neither a popular score nor a big key gathers in one task.
+    Ties are merged by a partial aggregate, then scanned in score ranges of about
+    equal size, so neither a popular score nor a big key gathers in one task.
     """
     s = F.col(score)
     ties = df.groupBy(*keys, s.alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
     )
+    ranged, chunk = value_chunks(ties, "score")
     cum = prefix_scan(
-        ties, keys, F.floor(F.col("score") * buckets), [F.desc("score")],
-        sums={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending=True,
-    )
+        ranged, keys, chunk, [F.desc("score")], sums={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending=True
+    ).drop("_limits")
     totals = ties.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return cum.join(totals, keys) if keys else with_one_row(cum, totals)
 
@@ -129,7 +129,8 @@ def roc_pr_auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
 def pr_curve_points(df: DataFrame, y: str, score: str, points: int = 20) -> DataFrame:
     """Precision/recall at ``points`` evenly spaced positions of the curve, lowest score first; the last is (1, 0)."""
     c = _score_curve(df, [], y, score)
-    curve = row_index(c, [], F.floor(F.col("score") * 1000), [F.col("score")])
+    ranged, chunk = value_chunks(c, "score")
+    curve = row_index(ranged, [], chunk, [F.col("score")])
     size = curve.agg(F.max("rn").alias("_n"), F.first("n_pos").alias("_p"))
     at = (F.col("i") * (F.col("_n") / F.lit(float(points - 1)))).cast("long")
     wanted = size.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "_n", "_p").withColumn("rn", at + 1)
@@ -140,13 +141,24 @@ def pr_curve_points(df: DataFrame, y: str, score: str, points: int = 20) -> Data
     )
 
 
-def precision_at_k(df: DataFrame, y: str, score: str, tie: str, multiples: list[int], buckets: int = 1000) -> DataFrame:
-    """Precision of the k best scores, k = multiples of the positives. Ranks come from a chunked scan."""
-    ranked = row_index(df, [], F.floor(F.col(score) * buckets), [F.desc(score), F.col(tie)], descending=True)
-    stats = df.agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    r = with_one_row(ranked, stats).withColumn("mult", F.explode(F.array(*[F.lit(m) for m in multiples])))
-    k = F.least(F.col("_p") * F.col("mult"), F.col("_n"))
-    return r.filter(F.col("rn") <= k).groupBy("mult").agg(F.count("*").alias("k"), F.avg(F.col(y).cast("double")).alias("precision"))
+def precision_at_k(df: DataFrame, y: str, score: str, tie: str, multiples: list[int]) -> DataFrame:
+    """Precision of the k best scores, k = multiples of the positives; ties by ``tie`` ascending.
+
+    The cut of each k is found in the table of tied scores; only the rows of the tie group that a cut falls in are ranked.
+    """
+    curve = _score_curve(df, [], y, score)
+    m = curve.withColumn("mult", F.explode(F.array(*[F.lit(x) for x in multiples])))
+    upto, group = F.col("cum_pos") + F.col("cum_neg"), F.col("pos") + F.col("neg")
+    k = F.least(F.col("n_pos") * F.col("mult"), F.col("n_pos") + F.col("n_neg"))
+    cut = m.filter((k > upto - group) & (k <= upto)).select(
+        "mult", k.alias("k"), F.col("score").alias("_cut"), (k - upto + group).alias("_need"), (F.col("cum_pos") - F.col("pos")).alias("_above")
+    )
+    at = df.join(F.broadcast(cut.select("_cut").distinct()), F.col(score) == F.col("_cut"))  # one row for each multiple at most
+    ranged, chunk = value_chunks(at, tie)
+    first = row_index(ranged, ["_cut"], chunk, [F.col(tie)]).join(F.broadcast(cut), "_cut").filter(F.col("rn") <= F.col("_need"))
+    return first.groupBy("mult").agg(
+        F.first("k").alias("k"), ((F.first("_above") + F.sum(F.col(y).cast("long"))) / F.first("k")).alias("precision")
+    )
 
 
 def class_balance(df: DataFrame, keys: list[str], y: str) -> DataFrame:

@@ -72,6 +72,16 @@ def prefix_scan(
     return out.select(*kept, *results)
 
 
+def value_chunks(df: DataFrame, col: str, chunks: int | None = None) -> tuple[DataFrame, Column]:
+    """(df with the limits of its own value ranges, chunk number by value): ranges of about equal row counts, whatever the distribution.
+
+    The number of ranges follows the session's shuffle partitions. The limits are one array, held by every row. NULL values are in chunk 0.
+    """
+    n = chunks or min(1000, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limits = df.agg(F.coalesce(F.percentile_approx(col, [i / n for i in range(1, n)] or [0.5], 20 * n), F.array()).alias("_limits"))
+    return with_one_row(df, limits), F.size(F.filter("_limits", lambda x: x <= F.col(col)))
+
+
 def row_index(
     df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str = "rn", descending: bool = False
 ) -> DataFrame:
@@ -97,6 +107,12 @@ def with_halo(
     return blocks, W.partitionBy(*keys, "_blk").orderBy("_rn")
 
 
+def in_blocks(df: DataFrame, keys: list[str], t: str, build, before: int, after: int = 0) -> DataFrame:
+    """``build(blocks, window)`` over a series cut into blocks with the rows its frames can reach, so one long series is many tasks."""
+    blocks, w = with_halo(df, keys, F.to_date(t), [F.col(t)], before, after, max(4096, 2 * (before + after)))
+    return own_rows(build(blocks, w))
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_blk", "_rn")
 
@@ -126,16 +142,17 @@ def ordered_splits(
     ).drop("_n", "rn")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float], bucket_width: float = 1.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear quantiles per key without holding a key's values in one task.
 
     Equal values are merged by a partial aggregate, ranked by a scan in value
-    buckets, and the two order statistics of each quantile picked by a last
+    ranges of about equal size, and the two order statistics of each quantile picked by a last
     aggregate.
     """
     x = F.col("_x")
     ties = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_x")).agg(F.count("*").alias("_n"))
-    cum = prefix_scan(ties, keys, F.floor(x / bucket_width), [x], sums={"_cum": F.col("_n")})
+    ranged, chunk = value_chunks(ties, "_x")
+    cum = prefix_scan(ranged, keys, chunk, [x], sums={"_cum": F.col("_n")}).drop("_limits")
     total = ties.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
     j = cum.join(total, keys) if keys else with_one_row(cum, total)
     picks = []

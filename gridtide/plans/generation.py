@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.frames import rolling, series
+from ..operators.ranked import exact_quantiles
 
 
 def lag_roll(
-    df: DataFrame, keys: list[str], c: str, prefix: str, lags: list[int], windows: list[int], changes: list[int], floor: float
+    df: DataFrame, keys: list[str], c: str, prefix: str, lags: list[int], windows: list[int], changes: list[int], floor: float, w: WindowSpec | None = None
 ) -> DataFrame:
     """Lags, shifted rolling statistics, changes and rates with a floored base."""
-    w = series(keys)
+    w = w if w is not None else series(keys)
     cols: dict[str, Column] = {f"{prefix}_lag_{n}h": F.lag(c, n).over(w) for n in lags}
     for n in windows:
         for s, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
@@ -44,15 +45,15 @@ def gradient(c: str, w) -> Column:
     return F.coalesce((nxt - prev) / 2, nxt - F.col(c), F.col(c) - prev)
 
 
-def gradient_acceleration(df: DataFrame, keys: list[str], c: str) -> DataFrame:
-    w = series(keys)
+def gradient_acceleration(df: DataFrame, keys: list[str], c: str, w: WindowSpec | None = None) -> DataFrame:
+    w = w if w is not None else series(keys)
     out = df.withColumn("change_rate", gradient(c, w))
     return out.withColumn("acceleration", gradient("change_rate", w))
 
 
-def forward_ramp(df: DataFrame, keys: list[str], c: str, horizons: list[int]) -> DataFrame:
+def forward_ramp(df: DataFrame, keys: list[str], c: str, horizons: list[int], w: WindowSpec | None = None) -> DataFrame:
     """Change to h rows ahead (0 at the tail) and its negative part."""
-    w = series(keys)
+    w = w if w is not None else series(keys)
     cols: dict[str, Column] = {}
     for h in horizons:
         ramp = F.coalesce(F.lead(c, h).over(w) - F.col(c), F.lit(0.0))
@@ -64,17 +65,17 @@ def forward_ramp(df: DataFrame, keys: list[str], c: str, horizons: list[int]) ->
 def conformal(df: DataFrame, keys: list[str], is_val: Column, actual: str, pred: str, p: float = 0.8) -> DataFrame:
     """Bias-corrected forecast with symmetric and asymmetric bands from the validation residuals."""
     r = F.col(actual) - F.col(pred)
-    stats = df.filter(is_val).groupBy(*keys).agg(
-        F.avg(r).alias("_bias"), F.percentile(F.abs(r), p).alias("_half"), F.percentile(r, F.array(F.lit(0.1), F.lit(0.9))).alias("_q")
-    )
+    val = df.filter(is_val).select(*keys, r.alias("_r"), F.abs(r).alias("_a"))
+    stats = val.groupBy(*keys).agg(F.avg("_r").alias("_bias")).join(exact_quantiles(val, keys, "_a", {"_half": p}), keys)
+    stats = stats.join(exact_quantiles(val, keys, "_r", {"_q10": 0.1, "_q90": 0.9}), keys)
     j = df.filter(~is_val).join(stats, keys)
     out = j.withColumns(
         {
             "corrected": F.col(pred) + F.col("_bias"),
             "low": F.col(pred) - F.col("_half"),
             "high": F.col(pred) + F.col("_half"),
-            "low_asym": F.col(pred) + F.col("_q")[0],
-            "high_asym": F.col(pred) + F.col("_q")[1],
+            "low_asym": F.col(pred) + F.col("_q10"),
+            "high_asym": F.col(pred) + F.col("_q90"),
         }
     )
     a = F.col(actual)
@@ -83,4 +84,4 @@ def conformal(df: DataFrame, keys: list[str], is_val: Column, actual: str, pred:
             "covered": ((a >= F.col("low")) & (a <= F.col("high"))).cast("int"),
             "covered_asym": ((a >= F.col("low_asym")) & (a <= F.col("high_asym"))).cast("int"),
         }
-    ).drop("_bias", "_half", "_q")
+    ).drop("_bias", "_half", "_q10", "_q90")

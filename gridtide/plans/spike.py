@@ -10,7 +10,7 @@ from ..functions import rules
 from ..functions.calendar import floor_time, plus_hours, to_local
 from ..functions.frames import long_mean, long_std, ratio, rolling, series
 from ..operators import align, dedup, fill
-from ..operators.ranked import own_rows, with_halo
+from ..operators.ranked import in_blocks, own_rows, with_halo
 
 PRICE = ["lmp_lag1", "lmp_lag4", "lmp_lag96", "lmp_mean_4", "lmp_mean_96", "lmp_std_96", "lmp_max_96", "lmp_ramp_1h", "lmp_ramp_4h"]
 SPREAD = ["spread_lag1", "spread_mean_4", "spread_max_96", "spread_ramp_1h"]
@@ -226,33 +226,34 @@ def price_structure(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_rows: int = 2016) -> DataFrame:
-    """Stress features from load, wind, solar, gas, coal, esr (5-minute rows)."""
-    w = series(keys)
-    diff = lambda c, n=1: F.col(c) - F.lag(c, n).over(w)
-    out = _gas_capacity(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
-    out = out.withColumn("_wind0", F.col("wind") - F.first("wind").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumns(
-        {
-            "net_load_ramp_5m": diff("net_load"),
-            "net_load_ramp_15m": diff("net_load", 3),
-            "wind_anomaly": (F.col("_wind0") - long_mean("_wind0", w, wind_rows, 1)) / (long_std("_wind0", w, wind_rows, 1) + 1e-6),
-            "wind_ramp": diff("wind"),
-            "wind_ramp_15m": diff("wind", 3),
-            "coal_ramp": diff("coal"),
-            "esr_is_charging": (F.col("esr") < 0).cast("int"),
-            "esr_is_discharging": (F.col("esr") > 0).cast("int"),
-            "solar_ramp": diff("solar"),
-            "solar_ramp_15m": diff("solar", 3),
-        }
-    )
+    """Stress features from load, wind, solar, gas, coal, esr (5-minute rows), in blocks of the series with the rows that its frames reach."""
+    base = _gas_capacity(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
+
+    def build(rows: DataFrame, w) -> DataFrame:
+        diff = lambda c, n=1: F.col(c) - F.lag(c, n).over(w)
+        out = rows.withColumns(
+            {
+                "net_load_ramp_5m": diff("net_load"),
+                "net_load_ramp_15m": diff("net_load", 3),
+                "wind_anomaly": (F.col("wind") - long_mean("wind", w, wind_rows, 1)) / (long_std("wind", w, wind_rows, 1) + 1e-6),
+                "wind_ramp": diff("wind"),
+                "wind_ramp_15m": diff("wind", 3),
+                "coal_ramp": diff("coal"),
+                "esr_is_charging": (F.col("esr") < 0).cast("int"),
+                "esr_is_discharging": (F.col("esr") > 0).cast("int"),
+                "solar_ramp": diff("solar"),
+                "solar_ramp_15m": diff("solar", 3),
+            }
+        )
+        return out.withColumn("net_load_accel", diff("net_load_ramp_5m"))
+
     night = F.hour("t") < 6
-    return out.withColumns(
+    return in_blocks(base, keys, "t", build, wind_rows).withColumns(
         {
-            "net_load_accel": diff("net_load_ramp_5m"),
             "gas_saturation": F.col("gas") / (F.col("_gas") + 1e-6),
             "coal_stress": F.coalesce((F.col("coal_ramp") > 0) & night, F.lit(False)).cast("int"),
         }
-    ).drop("_gas", "_wind0")
+    ).drop("_gas")
 
 
 def _gas_capacity(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
