@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader updates.
 
 Words are runs of letters and digits, and runs of other marks, so that junk marks glued to words count. Features are single words and pairs of
-neighbours, hashed to 2^BITS slots. Training takes at most SAMPLE_PER_LABEL labelled rows of each label (a fixed bound); scores are sparse dot
+neighbours, hashed to 2^BITS slots; pairs of equal words also share a slot, whatever the word. Training takes at most SAMPLE_PER_LABEL labelled rows of each label (a fixed bound); scores are sparse dot
 products over all whole texts. Only the text is an input of a score.
 """
 
@@ -18,18 +18,26 @@ SAMPLE_PER_LABEL = 4000
 TRAINING = {"epochs": 3, "alpha": 0.5, "beta": 1.0, "l1": 0.05, "l2": 0.1}
 THRESHOLD = 0.5
 
+#: Distance of two equal words, and the feature that stands for it.
+_REPEATS = [(1, np.uint64(0x5EED0001)), (2, np.uint64(0x5EED0002))]
 _MARKS = shared.byte_classes(symbols=True)
 
 
 def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every word and of every pair of neighbouring words within a row."""
+    """Row and hash of every word and of every pair of neighbouring words within a row; a pair of equal words counts once more, under a name that is
+    common to all such pairs, and so does a word that comes again after one other word."""
     h, starts = shared.hashed_words(data, offsets, _MARKS)
     row = shared.per_row(offsets, starts)
     same = row[1:] == row[:-1]
     pairs = shared.mixed(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:])[same]
-    rows = np.concatenate((row, row[1:][same]))
+    rows, hashes = [row, row[1:][same]], [h, pairs]
+    for gap, name in _REPEATS:
+        again = row[gap:][(row[gap:] == row[:-gap]) & (h[gap:] == h[:-gap])]
+        rows.append(again)
+        hashes.append(np.full(len(again), name))
+    rows = np.concatenate(rows)
     order = np.argsort(rows, kind="stable")
-    return rows[order], np.concatenate((h, pairs))[order]
+    return rows[order], np.concatenate(hashes)[order]
 
 
 def held_out() -> F.col:

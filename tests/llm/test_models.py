@@ -28,7 +28,7 @@ def test_words_and_pairs():
         assert same.setdefault(word, x) == x
     assert len(set(same.values())) == len(same)
     row, pairs = op07_quality.word_pairs(np.frombuffer(data, np.uint8), offsets)
-    assert Counter(row.tolist()) == {0: 11, 2: 3, 3: 3} and len(pairs) == 17
+    assert Counter(row.tolist()) == {0: 12, 2: 3, 3: 3} and len(pairs) == 18
 
 
 def test_ftrl_learns_and_l1_empties():
