@@ -37,9 +37,8 @@ def labelled(spark, d):
     sql=f"SELECT point, t, coalesce(lmp >= 400 OR lmp >= q, false) AS flag FROM (SELECT *, {Q95} AS q FROM ({J15}))",
 )
 def rolling_quantile_flag(spark, d):
-    j = j15(spark, d)
-    hit = spike.at_least_rolling_quantile("lmp", series("point"), 0.95, 960, 48)
-    return j.withColumn("flag", (F.col("lmp") >= 400) | hit)
+    j = spike.reaches_rolling_quantile(j15(spark, d), ["point"], "t", "lmp", F.col("lmp") < 400, "hit", 0.95, 960, 48)
+    return j.withColumn("flag", (F.col("lmp") >= 400) | F.col("hit"))
 
 
 @query("spike_event_runs", text="point", times="t", ints="raw spike_event", sql=RUNS)

@@ -111,16 +111,33 @@ def feature_matrix(
 # --- labels ---------------------------------------------------------------------------------------
 
 
-def at_least_rolling_quantile(x: str, w, p: float, rows: int, min_periods: int) -> Column:
-    """x >= the rolling ``p`` quantile (linear) of the frame that ends at x.
+#: Rows of a series whose values lie together in one array (a day of quarter hours).
+VALUES_PER_ARRAY = 96
 
-    Decided by rank: with n values of which g are larger than x, x reaches the
-    quantile exactly when n - 1 - g >= p (n - 1).  No sort of the frame.
+
+def reaches_rolling_quantile(
+    df: DataFrame, keys: list[str], t: str, x: str, asked: Column, name: str, p: float, rows: int, min_periods: int
+) -> DataFrame:
+    """Add ``name``: x is at least the rolling ``p`` quantile (linear) of the last ``rows`` rows, its own included; false where not ``asked``.
+
+    Decided by rank: with n values of which g are larger than x, x reaches the quantile exactly when n - 1 - g >= p (n - 1). Only asked rows
+    look at their frame, as counts over the arrays of VALUES_PER_ARRAY rows that it touches; no list is longer than that.
     """
-    frame = F.collect_list(x).over(w.rowsBetween(-(rows - 1), 0))
-    n = F.size(frame)
-    larger = F.size(F.filter(frame, lambda v: v > F.col(x)))
-    return F.coalesce((n >= min_periods) & (n - 1 - larger >= p * (n - 1)), F.lit(False))
+    size = VALUES_PER_ARRAY
+    numbered = df.withColumn("_rn", F.row_number().over(series(keys, t)))
+    known = numbered.where(F.col(x).isNotNull())
+    part = lambda rn: F.floor((rn - 1) / size).cast("int")
+    arrays = known.groupBy(*keys, part(F.col("_rn")).alias("_part")).agg(F.collect_list(F.struct(F.col("_rn").alias("r"), F.col(x).alias("v"))).alias("_values"))
+    low = F.greatest(F.col("_rn") - (rows - 1), F.lit(1))
+    frames = known.where(asked).select(*keys, "_rn", low.alias("_low"), F.col(x).alias("_x"), F.explode(F.sequence(part(low), part(F.col("_rn")))).alias("_part"))
+    inside = lambda e: (e["r"] >= F.col("_low")) & (e["r"] <= F.col("_rn"))
+    counted = frames.join(arrays, [*keys, "_part"]).groupBy(*keys, "_rn").agg(
+        F.sum(F.size(F.filter("_values", inside))).alias("_n"),
+        F.sum(F.size(F.filter("_values", lambda e: inside(e) & (e["v"] > F.col("_x"))))).alias("_larger"),
+    )
+    met = (F.col("_n") >= min_periods) & (F.col("_n") - 1 - F.col("_larger") >= p * (F.col("_n") - 1))
+    hits = counted.where(met).select(*keys, "_rn", F.lit(True).alias(name))
+    return numbered.join(hits, [*keys, "_rn"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_rn")
 
 
 def run_of_at_least(flag: str, w, keys: list[str], k: int, df: DataFrame) -> DataFrame:
@@ -136,10 +153,10 @@ def spike_events(
     rows: int = 2880, min_periods: int = 96, p: float = 0.99,
 ) -> DataFrame:
     """Add raw condition ``raw`` and the sustained ``spike_event``."""
-    w = series(keys)
-    high = (F.col(price) >= p_hi) | at_least_rolling_quantile(price, w, p, rows, min_periods)
-    raw = high & (F.abs(F.col(price) - F.col(hub)) >= s_hi)
-    out = run_of_at_least("raw", w, keys, min_consecutive, df.withColumn("raw", raw))
+    apart = F.abs(F.col(price) - F.col(hub)) >= s_hi
+    ranked = reaches_rolling_quantile(df, keys, "t", price, apart & (F.col(price) < p_hi), "_reached", p, rows, min_periods)
+    raw = ((F.col(price) >= p_hi) | F.col("_reached")) & apart
+    out = run_of_at_least("raw", series(keys), keys, min_consecutive, ranked.withColumn("raw", raw).drop("_reached"))
     return out.withColumnRenamed("in_run", "spike_event")
 
 

@@ -42,7 +42,7 @@ def test_rank_rule_equals_linear_quantile(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(50, 10, 400), 1)
     df = zone_hub(spark, x, x)
-    got = df.withColumn("f", spike.at_least_rolling_quantile("lmp", spike.series("point"), 0.9, 60, 20)).toPandas().sort_values("t")["f"]
+    got = spike.reaches_rolling_quantile(df, ["point"], "t", "lmp", F.lit(True), "f", 0.9, 60, 20).toPandas().sort_values("t")["f"]
     s = pd.Series(x)
     want = (s >= s.rolling(60, min_periods=20).quantile(0.9)).to_numpy()
     assert got.tolist() == want.tolist()
