@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 TILE_LIMIT = 1000
 #: Lines that a block may hold on average before more pieces have to agree.
 BLOCK_LINES = 64
+#: Bits of a block's value; the block's kind stands above them.
+BLOCK_BITS = 40
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -85,8 +87,16 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block and tile (block, tile, node, sim): those with another row of their tile within RADIUS bits."""
+def _first_shared(differing: np.ndarray, number: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Whether a pair that differs in these bits shares no block of a smaller number: each pair is handled in one block only."""
+    first = np.ones(len(differing), bool)
+    for k, mask in enumerate(masks[:-1]):
+        first &= (number <= k) | ((differing & np.int64(mask - (mask >> 63 << 64))) != 0)
+    return first
+
+
+def _close(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block and tile (block, tile, node, sim): those with another row of their tile within RADIUS bits, in the pair's first block."""
 
     def near(block, tile, sim):
         starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (tile[1:] != tile[:-1]))))
@@ -95,7 +105,10 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(len(block), bool)
         rows, step = np.flatnonzero(left > 1), 1
         while len(rows):
-            with_next = rows[np.bitwise_count((sim[rows] ^ sim[rows + step]).view(np.uint64)) <= RADIUS]
+            differing = sim[rows] ^ sim[rows + step]
+            within = np.bitwise_count(differing.view(np.uint64)) <= RADIUS
+            with_next = rows[within]
+            with_next = with_next[_first_shared(differing[within], block[with_next] >> BLOCK_BITS, masks)]
             hit[with_next] = True
             hit[with_next + step] = True
             step += 1
@@ -169,14 +182,16 @@ def similar(a: str, b: str) -> bool:
     return edit_distance_at_most(a, b, int(longer * (1 - SIMILARITY) + 1e-9))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges between the lines of a tile: within RADIUS bits and of enough edit similarity."""
+def _verified(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
+    """Forest edges between the lines of a tile: within RADIUS bits, in the pair's first block, and of enough edit similarity."""
     left, right = [], []
-    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "sim", "form"]):
-        sims = np.array([r[1] for r in run], np.int64)
+    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "sim", "form", "block"]):
+        sims, number = np.array([r[1] for r in run], np.int64), run[0][3] >> BLOCK_BITS
         forest = shared.Forest(len(run))
         for i in range(1, len(run)):
-            for j in np.flatnonzero(np.bitwise_count((sims[:i] ^ sims[i]).view(np.uint64)) <= RADIUS):
+            differing = sims[:i] ^ sims[i]
+            near = np.flatnonzero(np.bitwise_count(differing.view(np.uint64)) <= RADIUS)
+            for j in near[_first_shared(differing[near], np.full(len(near), number), masks)]:
                 if forest.root(i) != forest.root(int(j)) and similar(run[i][2], run[j][2]):
                     forest.union(i, int(j))
                     left.append(run[i][0])
@@ -193,18 +208,19 @@ def _pieces(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _blocks(lines: int):
-    """Array of block numbers of a SimHash (column sim) for so many distinct lines."""
+def _blocks(lines: int) -> tuple:
+    """(array of block numbers of a SimHash (column sim), bit masks of the blocks) for so many distinct lines."""
     agree = 1
     while agree < 3 and lines / 2 ** (64 * agree // (RADIUS + agree)) > BLOCK_LINES:
         agree += 1
-    blocks = []
+    blocks, masks = [], []
     for k, chosen in enumerate(combinations(_pieces(RADIUS + agree), agree)):
-        block = F.lit(k).cast("long")
+        block = F.lit(0).cast("long")
         for first, width in chosen:
             block = block * (1 << width) + F.shiftrightunsigned("sim", first).bitwiseAND(F.lit((1 << width) - 1))
-        blocks.append(block)
-    return F.array(*blocks)
+        blocks.append(block + (k << BLOCK_BITS))
+        masks.append(sum(((1 << width) - 1) << first for first, width in chosen))
+    return F.array(*blocks), masks
 
 
 #: A line's place in the corpus, in the order that decides which line of a group stays.
@@ -221,22 +237,24 @@ def _repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     lines = shared.checkpointed(texts.mapInArrow(_line_rows, "doc_id long, text_hash long, line int, ha long, hb long, sim long"))
     nodes = shared.checkpointed(lines.groupBy(F.col("ha").alias("node")).agg(F.min("sim").alias("sim")))
-    keyed = nodes.select(F.explode(_blocks(nodes.count())).alias("block"), "node", "sim")
+    blocks, masks = _blocks(nodes.count())
+    keyed = nodes.select(F.explode(blocks).alias("block"), "node", "sim")
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
-    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(_close, "block long, tile int, node long, sim long")
+    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(lambda rows: _close(rows, masks), "block long, tile int, node long, sim long")
     close = shared.checkpointed(close)
 
     # the normal forms of candidate lines, each from the first text that has it; texts that certainly hold none are not shuffled
     wanted = close.select(F.col("node").alias("ha")).distinct()
     place = F.struct(*[F.expr(p) for p in _PLACE])
-    first = lines.join(wanted, "ha").groupBy("ha").agg(F.min(place).alias("p"))
+    maybe = shared.may_hold(lines, F.col("ha"), shared.key_filter(wanted, "ha"), "held").where("held")
+    first = maybe.groupBy("ha").agg(F.min(place).alias("p")).join(wanted, "ha")
     by_text = first.groupBy("p.none", "p.doc_id", "p.text_hash").agg(F.collect_list(F.struct("p.line", "ha")).alias("want"))
     by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
     forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
     forms = forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
     ready = close.join(forms, "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
-    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(_verified, "a long, b long")
+    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(lambda rows: _verified(rows, masks), "a long, b long")
     groups = shared.connected_components(edges).withColumnRenamed("node", "ha")
 
     # equal lines share (ha, hb), linked ones their component
