@@ -32,7 +32,7 @@ BITS = 20
 SAMPLE_PER_LABEL = 6000
 STEM_VOTERS = 6
 STEM_MIN_DOCS = 3
-TRAINING = {"epochs": 3, "alpha": 0.3, "beta": 1.0, "l1": 0.2, "l2": 0.01}
+TRAINING = {"epochs": 3, "alpha": 0.3, "beta": 1.0, "l1": 1.5, "l2": 0.01}
 THRESHOLD = 0.3
 PAIR_LIMIT = 0.1
 _WORDS = shared.byte_classes(symbols=False)
