@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import line_keys, shared
 
 MIN_WORDS = 5
 RADIUS = 3
@@ -87,6 +87,44 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of all lines of a slice of texts that have a byte (a line feed counts), and the number of bytes."""
+    breaks = np.flatnonzero(data == 10) + 1
+    starts = np.union1d(offsets[:-1], breaks)
+    return np.concatenate((starts[starts < len(data)], [len(data)]))
+
+
+def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.RecordBatch]:
+    """128-bit hash of the normal form of each line with MIN_WORDS words or more: with doc_id, text_hash and line number, or with its candidate keys."""
+    for batch in batches:
+        for first, rows, data, offsets in shared.text_slices(batch.column(2)):
+            if not len(data):
+                continue
+            data = _FOLD[data]
+            bounds = _line_starts(data, offsets)
+            words, starts = shared.hashed_words(data, bounds, _WORDS)
+            count = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
+            lines = np.flatnonzero(count >= MIN_WORDS)
+            if not len(lines):
+                continue
+            words = words[np.repeat(count >= MIN_WORDS, count)]
+            begins = np.cumsum(count[lines]) - count[lines]
+            a, b = line_keys.line_hashes(words, begins, count[lines])
+            if keys:
+                found = line_keys.keys_of(data, bounds, lines, words, begins, count[lines])
+                columns = [a, *found.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], names=["node", *line_keys.NAMES])
+                continue
+            doc = shared.per_row(offsets, bounds[lines])
+            # lines before it in the slice less those before its text
+            number = (lines - np.searchsorted(bounds, offsets[doc])).astype(np.int32)
+            take = pa.array(first + doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
+                names=["doc_id", "text_hash", "line", "ha", "hb"],
+            )
+
+
 def _first_shared(differing: np.ndarray, number: np.ndarray, masks: list[int]) -> np.ndarray:
     """Whether a pair that differs in these bits shares no block of a smaller number: each pair is handled in one block only."""
     first = np.ones(len(differing), bool)
@@ -202,6 +240,45 @@ def _verified(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block and tile (block, tile, node): those whose tile has another row."""
+    names = ["block", "tile", "node"]
+    last, met = None, False  # the row that waits for the next batch, and whether a row before it is of its tile
+    for batch in batches:
+        now = [np.asarray(c) for c in batch.columns]
+        if last is not None:
+            now = [np.concatenate(x) for x in zip(last, now)]
+        if not len(now[0]):
+            continue
+        same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
+        hit = np.concatenate(([met], same)) | np.concatenate((same, [False]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][hit[:-1]]) for x in now], names=names)
+        last, met = [x[-1:] for x in now], bool(hit[-1])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forest edges between the lines of a tile of candidate keys that have enough edit similarity."""
+    left, right = [], []
+    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form"]):
+        run.sort(key=lambda r: (len(r[1]), r[0]))
+        forest = shared.Forest(len(run))
+        least = 0
+        for i in range(1, len(run)):
+            while len(run[i][1]) - len(run[least][1]) > int(len(run[i][1]) * (1 - SIMILARITY) + 1e-9):
+                least += 1
+            for j in range(i - 1, least - 1, -1):
+                if forest.root(i) != forest.root(j) and similar(run[i][1], run[j][1]):
+                    forest.union(i, j)
+                    left.append(run[i][0])
+                    right.append(run[j][0])
+        if len(left) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            left, right = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _pieces(count: int) -> list[tuple[int, int]]:
     """(first bit, width) of so many pieces of 64 bits."""
     edges = [64 * i // count for i in range(count + 1)]
@@ -231,19 +308,8 @@ def _doc_key(doc_id: str = "doc_id", text_hash=None):
     return F.xxhash64(F.col(doc_id).isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text_hash") if text_hash is None else text_hash)
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line (from 0) of every line that repeats an earlier one, exactly or nearly."""
-    n = shared.shuffle_partitions(docs.sparkSession)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    lines = shared.checkpointed(texts.mapInArrow(_line_rows, "doc_id long, text_hash long, line int, ha long, hb long, sim long"))
-    nodes = shared.checkpointed(lines.groupBy(F.col("ha").alias("node")).agg(F.min("sim").alias("sim")))
-    blocks, masks = _blocks(nodes.count())
-    keyed = nodes.select(F.explode(blocks).alias("block"), "node", "sim")
-    tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
-    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(lambda rows: _close(rows, masks), "block long, tile int, node long, sim long")
-    close = shared.checkpointed(close)
-
-    # the normal forms of candidate lines, each from the first text that has it; texts that certainly hold none are not shuffled
+def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame:
+    """node, form: the normal forms of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
     wanted = close.select(F.col("node").alias("ha")).distinct()
     place = F.struct(*[F.expr(p) for p in _PLACE])
     maybe = shared.may_hold(lines, F.col("ha"), shared.key_filter(wanted, "ha"), "held").where("held")
@@ -252,9 +318,12 @@ def _repeats(docs: DataFrame) -> DataFrame:
     by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
     forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
-    forms = forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
-    ready = close.join(forms, "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
-    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(lambda rows: _verified(rows, masks), "a long, b long")
+    return forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
+
+
+def _later_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line of all but the first line of each group of equal or linked lines."""
+    place = F.struct(*[F.expr(p) for p in _PLACE])
     groups = shared.connected_components(edges).withColumnRenamed("node", "ha")
 
     # equal lines share (ha, hb), linked ones their component
@@ -269,6 +338,36 @@ def _repeats(docs: DataFrame) -> DataFrame:
     return repeated.join(heads, ["g", "g2"]).where("p <> head").select("p.doc_id", "p.text_hash", "p.line")
 
 
+def _repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line (from 0) of every line that repeats an earlier one, exactly or nearly."""
+    n = shared.shuffle_partitions(docs.sparkSession)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    lines = shared.checkpointed(texts.mapInArrow(_line_rows, "doc_id long, text_hash long, line int, ha long, hb long, sim long"))
+    nodes = shared.checkpointed(lines.groupBy(F.col("ha").alias("node")).agg(F.min("sim").alias("sim")))
+    blocks, masks = _blocks(nodes.count())
+    keyed = nodes.select(F.explode(blocks).alias("block"), "node", "sim")
+    tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
+    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(lambda rows: _close(rows, masks), "block long, tile int, node long, sim long")
+    close = shared.checkpointed(close)
+    ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
+    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(lambda rows: _verified(rows, masks), "a long, b long")
+    return _later_lines(lines, edges)
+
+
+def _whole_repeats(docs: DataFrame) -> DataFrame:
+    """As _repeats, with line_keys for the candidates: a pair that shares any key is verified, whatever its SimHash."""
+    n = shared.shuffle_partitions(docs.sparkSession)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    lines = shared.checkpointed(texts.mapInArrow(lambda rows: _hashed_lines(rows, False), "doc_id long, text_hash long, line int, ha long, hb long"))
+    keys = texts.mapInArrow(lambda rows: _hashed_lines(rows, True), ", ".join(f"{k} long" for k in ["node", *line_keys.NAMES]))
+    nodes = shared.checkpointed(keys.groupBy("node").agg(*[F.min(k).alias(k) for k in line_keys.NAMES]))
+    keyed = nodes.select(F.explode(F.array_distinct(F.array(*line_keys.NAMES))).alias("block"), "node")
+    tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node").repartition(n, "block", "tile")
+    close = shared.checkpointed(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long"))
+    ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
+    return _later_lines(lines, ready.select("block", "tile", "node", "form").mapInArrow(_linked, "a long, b long"))
+
+
 def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
@@ -292,18 +391,20 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=[str(i) for i in range(len(arrays))])
 
 
-def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> DataFrame:
     """docs with repeated lines taken out of text and, with counts, n_lines and n_removed (lines before, lines taken out; they replace columns of
     these names).
 
     Of each group of near-equal lines the first stays: smallest doc_id (NULL ids last), then the text's hash, then line number. All other columns
     and all rows stay. A NULL text stays NULL with 0 lines; an empty text has one line. A row that repeats another row's doc_id and text counts as
     the same place, so both keep the same lines. Texts of any length take part whole; a text may become empty.
+
+    whole: candidates by line_keys, as the query and the pipeline have it. Without it only lines within RADIUS bits of SimHash are compared.
     """
     if counts:
         docs = docs.drop("n_lines", "n_removed")
     drop, own_key, held, key, i, h = shared.own_names(docs, "drop", "own_key", "held", "key", "i", "h")
-    gone = _repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(drop))  # at most the lines of one text
+    gone = (_whole_repeats if whole else _repeats)(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(drop))  # at most the lines of one text
     gone = shared.checkpointed(gone.select(drop, _doc_key().alias(key), F.col("doc_id").alias(i), F.col("text_hash").alias(h)))
     others = [c for c in docs.columns if c != "text"]
     cols = [*[F.col(f"`{c}`") for c in others], "text"]
@@ -319,5 +420,5 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = dedup_lines(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

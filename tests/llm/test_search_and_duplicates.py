@@ -176,3 +176,45 @@ def test_line_dedup_edge_rows(docs, no_docs):
     assert rows[6]["text"] == docs.where("doc_id = 6").first()["text"]
     assert op02_lines.dedup_lines(docs, counts=False).columns == docs.columns
     assert op02_lines.dedup_lines(no_docs).count() == 0
+
+
+def near_pairs(rng, words, sizes):
+    """(words, line, other line) of lines that differ in one word changed, put in or taken out, or in one character."""
+    out = []
+    for n in sizes:
+        for kind in range(4):
+            line = [rng.choice(words) for _ in range(n)]
+            other, at = list(line), rng.randrange(n)
+            if kind == 0:
+                other[at] = rng.choice(words)
+            elif kind == 1:
+                other.insert(at, rng.choice(words))
+            elif kind == 2:
+                del other[at]
+            else:
+                other[at] = "q" + other[at][1:]
+            if len(other) >= op02_lines.MIN_WORDS and other != line:
+                out.append((n, " ".join(line), " ".join(other)))
+    return out
+
+
+def test_lines_one_word_apart_are_all_found(spark):
+    """Every pair of lines that is one word apart and similar by edit distance is found, at any length."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    pairs = [p for p in near_pairs(rng, words, [n for n in (5, 6, 7, 9, 12, 15, 19, 25, 33, 39, 45, 59, 80) for _ in range(12)]) if op02_lines.similar(p[1], p[2])]
+    docs = [(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), whole=True).collect()}
+    missed = [p[0] for i, p in enumerate(pairs) if got[2 * i + 1]]
+    assert len(pairs) > 400 and missed == []
+    assert all(got[2 * i] for i in range(len(pairs)))
+
+
+@pytest.mark.parametrize("limit", [1000, 8])
+def test_whole_line_dedup_keeps_only_the_first_of_linked_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(op02_lines, "TILE_LIMIT", limit)
+    base = "one two three four five six seven eight nine ten".split()
+    lines = [" ".join([*base[:5], f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", *base[5:]]) for i in range(60)]
+    docs = spark.createDataFrame([(i, f"{x}\n{'qrstu'[i % 5] * 9} own line of {'vwxyz'[i // 12] * 9} alone here") for i, x in enumerate(lines)], "doc_id long, text string")
+    got = op02_lines.dedup_lines(docs, whole=True).collect()
+    assert sum(lines[r["doc_id"]] in r["text"] for r in got) == 1
