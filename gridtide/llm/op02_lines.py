@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,12 +40,24 @@ _FOLD[65:91] += 32
 _FOLD[48:58] = 48
 _FOLD_TABLE = bytes(_FOLD)
 _SPACES = bytes(b if _WORDS[b] else 32 for b in range(256))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[:33] = 32
+_LOWER[10] = 10
+_LOWER_TABLE = bytes(_LOWER)
+#: Whatever stands between white space.
+_RUNS = (np.arange(256) > 32).astype(np.uint8)
 
 
 def normal_form(line: str) -> str:
     return b" ".join(line.encode().translate(_FOLD_TABLE).translate(_SPACES).split()).decode(errors="replace")
 
 
+def real_form(line: str) -> str:
+    """The line in lower case (A-Z) with its digits and marks, white space as single spaces."""
+    return b" ".join(line.encode().translate(_LOWER_TABLE).split()).decode(errors="replace")
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_hash, line number, 128-bit hash of the normal form and SimHash of each line with MIN_WORDS words or more."""
     for batch in batches:
@@ -95,13 +107,16 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.RecordBatch]:
-    """128-bit hash of the normal form of each line with MIN_WORDS words or more: with doc_id, text_hash and line number, or with its candidate keys."""
+    """128-bit hash of the real form of each line with MIN_WORDS words or more: with doc_id, text_hash and line number, or with the candidate keys of its
+    normal form."""
     for batch in batches:
         for first, rows, data, offsets in shared.text_slices(batch.column(2)):
             if not len(data):
                 continue
-            data = _FOLD[data]
+            real, data = _LOWER[data], _FOLD[data]
             bounds = _line_starts(data, offsets)
+            whole, starts = shared.hashed_words(real, bounds, _RUNS)
+            runs = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
             words, starts = shared.hashed_words(data, bounds, _WORDS)
             count = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
             lines = np.flatnonzero(count >= MIN_WORDS)
@@ -109,7 +124,8 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.
                 continue
             words = words[np.repeat(count >= MIN_WORDS, count)]
             begins = np.cumsum(count[lines]) - count[lines]
-            a, b = line_keys.line_hashes(words, begins, count[lines])
+            whole = whole[np.repeat(count >= MIN_WORDS, runs)]
+            a, b = line_keys.line_hashes(whole, np.cumsum(runs[lines]) - runs[lines], runs[lines])
             if keys:
                 found = line_keys.keys_of(data, bounds, lines, words, begins, count[lines])
                 columns = [a, *found.T]
@@ -308,8 +324,8 @@ def _doc_key(doc_id: str = "doc_id", text_hash=None):
     return F.xxhash64(F.col(doc_id).isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text_hash") if text_hash is None else text_hash)
 
 
-def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame:
-    """node, form: the normal forms of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
+def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame, form: Callable[[str], str]) -> DataFrame:
+    """node, form: the forms of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
     wanted = close.select(F.col("node").alias("ha")).distinct()
     place = F.struct(*[F.expr(p) for p in _PLACE])
     maybe = shared.may_hold(lines, F.col("ha"), shared.key_filter(wanted, "ha"), "held").where("held")
@@ -318,7 +334,7 @@ def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame
     by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
     forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
-    return forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
+    return forms.mapInPandas(lambda frames: _forms(frames, form), "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
 
 
 def _later_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -349,13 +365,14 @@ def _repeats(docs: DataFrame) -> DataFrame:
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
     close = tiles.sortWithinPartitions("block", "tile").mapInArrow(lambda rows: _close(rows, masks), "block long, tile int, node long, sim long")
     close = shared.checkpointed(close)
-    ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
+    ready = close.join(_texts_of(texts, lines, close, normal_form), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
     edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(lambda rows: _verified(rows, masks), "a long, b long")
     return _later_lines(lines, edges)
 
 
 def _whole_repeats(docs: DataFrame) -> DataFrame:
-    """As _repeats, with line_keys for the candidates: a pair that shares any key is verified, whatever its SimHash."""
+    """As _repeats, with line_keys for the candidates: a pair that shares any key is verified, whatever its SimHash. Lines are told apart and compared by
+    their real form; the normal form only makes candidates."""
     n = shared.shuffle_partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     lines = shared.checkpointed(texts.mapInArrow(lambda rows: _hashed_lines(rows, False), "doc_id long, text_hash long, line int, ha long, hb long"))
@@ -364,16 +381,16 @@ def _whole_repeats(docs: DataFrame) -> DataFrame:
     keyed = nodes.select(F.explode(F.array_distinct(F.array(*line_keys.NAMES))).alias("block"), "node")
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node").repartition(n, "block", "tile")
     close = shared.checkpointed(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long"))
-    ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
+    ready = close.join(_texts_of(texts, lines, close, real_form), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
     return _later_lines(lines, ready.select("block", "tile", "node", "form").mapInArrow(_linked, "a long, b long"))
 
 
-def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forms(frames: Iterator[pd.DataFrame], form: Callable[[str], str]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for text, want in zip(frame["text"], frame["want"]):
             lines = text.split("\n")
-            out += [(w["ha"], normal_form(lines[w["line"]])) for w in want]
+            out += [(w["ha"], form(lines[w["line"]])) for w in want]
         yield pd.DataFrame(out, columns=["node", "form"])
 
 
@@ -399,7 +416,8 @@ def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> Da
     and all rows stay. A NULL text stays NULL with 0 lines; an empty text has one line. A row that repeats another row's doc_id and text counts as
     the same place, so both keep the same lines. Texts of any length take part whole; a text may become empty.
 
-    whole: candidates by line_keys, as the query and the pipeline have it. Without it only lines within RADIUS bits of SimHash are compared.
+    whole: candidates by line_keys, compared with their digits and marks, as the query and the pipeline have it. Without it only lines within RADIUS bits
+    of SimHash are compared, by normal forms.
     """
     if counts:
         docs = docs.drop("n_lines", "n_removed")

@@ -218,3 +218,10 @@ def test_whole_line_dedup_keeps_only_the_first_of_linked_lines(spark, monkeypatc
     docs = spark.createDataFrame([(i, f"{x}\n{'qrstu'[i % 5] * 9} own line of {'vwxyz'[i // 12] * 9} alone here") for i, x in enumerate(lines)], "doc_id long, text string")
     got = op02_lines.dedup_lines(docs, whole=True).collect()
     assert sum(lines[r["doc_id"]] in r["text"] for r in got) == 1
+
+
+def test_lines_that_differ_in_digits_stay(spark):
+    texts = ["12 34 56 78 90\n-- ++ a b c d e", "98 76 54 32 10", "12 34 56 78 90\n[#] !! <a> (b) {c} *d* /e/", "12  34 56 78 90\n12 34 56 78 91", "A b C d E f G 1", "a b c d e f g 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs, whole=True).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2].split("\n")[1], 3: "", 4: texts[4], 5: ""}
