@@ -1,15 +1,16 @@
-"""Line dedup: near-equal lines are found by SimHash blocks, verified by edit similarity, and one of each connected group stays.
-
-1. Texts are split at newlines. A line's normal form is its words in lower case (A-Z) with digits as 0, joined by single spaces. Lines under
-   MIN_WORDS words take no part and always stay.
-2. Equal normal forms fall together by a hash of their words.
-3. Distinct lines get a 64-bit SimHash of their words and meet in blocks: the bits are cut into RADIUS + r pieces, and two lines within RADIUS
-   bits share at least r of them. r grows with the number of lines, so that a block stays small; the pairs that meet are the same for every r.
-   Within a block, pairs within RADIUS are candidates. A hot block is dealt in tiles, all pairs still meet.
-4. Only the texts that hold a first place of a candidate line are fetched. Within a tile lines are joined into a forest by edit similarity (1 - Levenshtein / longer
-   length of the normal forms) of at least SIMILARITY; a pair already connected is not compared again, so a group of m near copies costs
-   about m comparisons and yields m - 1 edges, not m^2.
-5. Connected groups keep their first line; all others go from their texts.
+"""Line dedup: near-equal lines are found by shared keys, verified by edit similarity, and one of each connected group stays.
+
+1. Texts are split at newlines. Every line that is not blank takes part by its real form: lower case (A-Z), digits and marks, white space as single
+   spaces. Equal real forms fall together by a 128-bit hash.
+2. Lines of MIN_WORDS words or more get keys of their normal form (words in lower case, digits as 0): see line_keys. A character of a script of
+   three-byte characters counts as a word. Lines that share a key meet; a hot key is dealt in tiles, all pairs still meet.
+3. Only the texts that hold a first place of a candidate line are fetched. Within a tile lines are joined into a forest by edit similarity (1 -
+   Levenshtein / longer length of the real forms) of at least SIMILARITY; a pair already connected is not compared again, so a group of m near copies
+   costs about m comparisons and yields m - 1 edges, not m^2.
+4. Connected groups keep their first line; all others go from their texts.
+
+dedup_lines without `whole` has the narrower scheme of round one: normal forms, 64-bit SimHash of words, pairs within RADIUS bits by pigeonhole blocks
+(the bits are cut into RADIUS + r pieces, of which two lines within RADIUS bits share r; r grows with the number of lines). Its tests pin it.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ _LOWER[65:91] += 32
 _LOWER[:33] = 32
 _LOWER[10] = 10
 _LOWER_TABLE = bytes(_LOWER)
+#: First byte of UTF-8 characters of three bytes or more. In whole dedup each begins a word, so scripts without spaces have words too.
+_WIDE = 0xE0
 #: Whatever stands between white space.
 _RUNS = (np.arange(256) > 32).astype(np.uint8)
 
@@ -107,8 +110,8 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.RecordBatch]:
-    """128-bit hash of the real form of each line with MIN_WORDS words or more: with doc_id, text_hash and line number, or with the candidate keys of its
-    normal form."""
+    """128-bit hash of the real form of lines: with doc_id, text_hash and line number of each line that is not blank, or with the candidate keys of the
+    normal form of each line with MIN_WORDS words or more."""
     for batch in batches:
         for first, rows, data, offsets in shared.text_slices(batch.column(2)):
             if not len(data):
@@ -117,17 +120,18 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.
             bounds = _line_starts(data, offsets)
             whole, starts = shared.hashed_words(real, bounds, _RUNS)
             runs = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
-            words, starts = shared.hashed_words(data, bounds, _WORDS)
-            count = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
-            lines = np.flatnonzero(count >= MIN_WORDS)
+            lines = np.flatnonzero(runs)
             if not len(lines):
                 continue
-            words = words[np.repeat(count >= MIN_WORDS, count)]
-            begins = np.cumsum(count[lines]) - count[lines]
-            whole = whole[np.repeat(count >= MIN_WORDS, runs)]
             a, b = line_keys.line_hashes(whole, np.cumsum(runs[lines]) - runs[lines], runs[lines])
             if keys:
-                found = line_keys.keys_of(data, bounds, lines, words, begins, count[lines])
+                words, starts = shared.hashed_words(data, bounds, _WORDS, _WIDE)
+                count = np.bincount(shared.per_row(bounds, starts), minlength=len(bounds) - 1)
+                long_enough = np.flatnonzero(count >= MIN_WORDS)
+                if not len(long_enough):
+                    continue
+                words, a, count_of = words[np.repeat(count >= MIN_WORDS, count)], a[count[lines] >= MIN_WORDS], count[long_enough]
+                found = line_keys.keys_of(data, bounds, long_enough, words, np.cumsum(count_of) - count_of, count_of)
                 columns = [a, *found.T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], names=["node", *line_keys.NAMES])
                 continue
@@ -416,8 +420,9 @@ def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> Da
     and all rows stay. A NULL text stays NULL with 0 lines; an empty text has one line. A row that repeats another row's doc_id and text counts as
     the same place, so both keep the same lines. Texts of any length take part whole; a text may become empty.
 
-    whole: candidates by line_keys, compared with their digits and marks, as the query and the pipeline have it. Without it only lines within RADIUS bits
-    of SimHash are compared, by normal forms.
+    whole: as the query and the pipeline have it. Equal lines of any length go, blank ones stay; lines of MIN_WORDS words or more (a character of a script
+    of three-byte characters counts as one) are compared with their digits and marks where they share a key. Without it only lines of MIN_WORDS words
+    within RADIUS bits of SimHash take part, by normal forms.
     """
     if counts:
         docs = docs.drop("n_lines", "n_removed")

@@ -212,8 +212,9 @@ def byte_classes(symbols: bool) -> np.ndarray:
     return classes
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start byte) of each maximal run of one class that is not 0; runs end at a text's end. One pass of array operations."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, alone: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start byte) of each maximal run of one class that is not 0; runs end at a text's end and before each byte of `alone` or more. One pass of
+    array operations."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     kind = classes[data]
@@ -221,6 +222,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) ->
     begins[0] = True
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    if alone < 256:
+        begins |= data >= alone
     runs = np.flatnonzero(begins)
     length = np.diff(runs, append=len(data))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(runs, length)

@@ -225,3 +225,11 @@ def test_lines_that_differ_in_digits_stay(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs, whole=True).collect()}
     assert got == {0: texts[0], 1: texts[1], 2: texts[2].split("\n")[1], 3: "", 4: texts[4], 5: ""}
+
+
+def test_short_lines_and_scripts_without_spaces_are_deduplicated(spark):
+    han = "今天天气很好我们一起去公园散步看花吧然后回家吃饭"
+    texts = [f"Menu\n{han}。\n\n***\nhome", f"menu\n{han}。\n \n***\nhom", han.replace("公", "花"), f"own line\n{han}！", "Menu 2\nMenu 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs, whole=True).collect()}
+    assert got == {0: texts[0], 1: " \nhom", 2: "", 3: "own line", 4: texts[4]}
