@@ -3,8 +3,8 @@
 Voters say 1 or abstain (0) on each text: fixed lexicons of insults, surface patterns, and lexicons of word stems found in the labelled sample.
 The votes of all documents are counted by pattern (2^voters x gold label at most, so the count table is of bounded size). Expectation
 maximisation on the counts estimates each voter's rate under either class; voter pairs whose votes stay correlated within a class become joint
-factors, and the model is fitted again. Known labels (learning rows only) are clamped. A linear classifier over words and word beginnings is
-then trained on posterior labels of a bounded sample. Only the text is an input of a score.
+factors, and the model is fitted again. Known labels (learning rows only) are clamped while the model is fitted. A linear classifier over words and
+word beginnings is then trained on the known labels and posteriors of a bounded sample, drawn from labelled and unlabelled rows alike. Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -226,9 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     spark = docs.sparkSession
     rows = [(int(p), int(g), float(q)) for p, g, q in zip(patterns, seen, post)]
     posterior = spark.createDataFrame(rows, "votes long, gold int, target double")
-    # training texts: known labels first, then the surest unknown ones of either side, in the order of a hash
+    # training texts: labelled and unlabelled rows alike in the order of a hash, so that posteriors reach the classifier at every size
     priced = joined.where("doc_id IS NOT NULL").join(F.broadcast(posterior), ["votes", "gold"])
-    side = lambda c: priced.where(c).orderBy(F.col("gold") < 0, F.xxhash64("doc_id"), "doc_id", "text_hash").limit(SAMPLE_PER_LABEL)
+    side = lambda c: priced.where(c).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(SAMPLE_PER_LABEL)
     sample = side("target >= 0.5").unionAll(side("target < 0.5")).groupBy("doc_id").agg(F.max("target").alias("target"))
     share = float((counts * post).sum() / max(1.0, counts.sum())) if len(post) else 0.5
     sample = sample.withColumn("weight", F.when(F.col("target") >= 0.5, F.lit(min(1.0, 3 * share))).otherwise(1.0))

@@ -198,3 +198,20 @@ def test_model_finds_base_and_variants(spark, docs, no_docs):
     assert red.columns == docs.columns and red.where("doc_id = 8").first()["text"].endswith("mail <email> and <phone>")
     assert red.where("doc_id = 3").first()["text"] is None
     assert op10_pii.find(no_docs, model, ["doc_id"]).count() == 0 and op10_pii.find(docs, b"", ["doc_id"]).count() == docs.count()
+
+
+def test_voters_reach_the_scores_when_gold_fills_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(op04_toxicity, "SAMPLE_PER_LABEL", 40)
+    rng = random.Random(8)
+    plain = ["river", "stone", "cloud", "north", "ember", "field", "glass", "paper"]
+    rows = []
+    for i in range(600):
+        insults = [] if i % 2 else ["scum", "trash"] if i < 450 else ["vermin", "filth"]  # the last 150 rows have no label
+        rows.append((i, " ".join([*(rng.choice(plain) for _ in range(6)), *insults]), int(i % 2 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known, found = docs.where("doc_id < 450").select("doc_id", "toxic"), []
+    for words in (op04_toxicity.LEXICONS["disgust"], ["scum", "trash"]):
+        monkeypatch.setattr(op04_toxicity, "LEXICONS", op04_toxicity.LEXICONS | {"disgust": words})
+        scores = op04_toxicity.scores(docs.select("doc_id", "text"), known, ["doc_id"]).where("doc_id >= 450 AND doc_id % 2 = 0")
+        found.append(scores.agg(F.avg("score")).first()[0])
+    assert found[0] - found[1] > 0.05
