@@ -90,6 +90,9 @@ def fitted_rates(members: DataFrame, domains: list[str], target: dict[str, float
     d = range(len(domains))
     members = shared.checkpointed(members)
     p = [F.get("p", F.lit(k)) for k in d]
+    unknown = sorted(x for x, w in (target or {}).items() if w > 0 and x not in domains)
+    if unknown:
+        raise ValueError(f"target domains without a labelled row: {', '.join(unknown)}")
     if not domains:
         return members.withColumn("rate", F.lit(1.0)), {"target": {}, "expected": {}, "steps": 0}
     first = members.agg(*[F.coalesce(F.sum(n * p[k]), F.lit(0.0)) for k in d], *[F.coalesce(F.sum(n * p[j] * p[k]), F.lit(0.0)) for j in d for k in d]).first()
@@ -121,12 +124,24 @@ def fitted_rates(members: DataFrame, domains: list[str], target: dict[str, float
 def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", target: dict[str, float] | None = None, total_tokens: float | None = None) -> tuple[DataFrame, list[str], dict]:
     """(one row for each different (doc_id, text) of docs: doc_id, text_hash, copies, tokens, p, rate; domains; report).
 
-    Labelled rows are those whose doc_id is in labels; at most SAMPLE_DOCS of them, in the order of a hash, train the classifier. NULL ids are scored
-    and rated like others, but train nothing. Without a labelled row there is no domain and every rate is 1.
+    Labelled rows are those whose doc_id is in labels. Every domain of theirs counts; about SAMPLE_DOCS documents of each domain at most, by a hash of
+    the id, train the classifier. NULL ids are scored and rated like others, but train nothing. Without a labelled row there is no domain and every rate
+    is 1.
     """
-    ids = labels.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    named = docs.select("doc_id", "text", F.col(domain).alias("_domain")).join(F.broadcast(ids), "doc_id")
-    labelled = named.groupBy("doc_id").agg(F.min(F.struct("_domain", "text")).alias("r")).select("r._domain", "r.text")
+    ids = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    named = docs.select("doc_id", F.col(domain).cast("string").alias("_domain")).where(F.col("_domain").isNotNull()).join(ids, "doc_id")
+    named = shared.checkpointed(named.groupBy("doc_id").agg(F.min("_domain").alias("_domain")))
+    # groups, not documents, come to the driver: one more than MOST_DOMAINS at most
+    size = {r["_domain"]: r["count"] for r in named.groupBy("_domain").count().orderBy("_domain").limit(MOST_DOMAINS + 1).collect()}
+    if len(size) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains in {domain}")
+    taken = F.lit(False)
+    for d, rows in size.items():
+        one_in = max(1, -(-rows // SAMPLE_DOCS))
+        taken = taken | ((F.col("_domain") == d) & (F.pmod(F.xxhash64("doc_id", F.lit("domain")), F.lit(one_in)) == 0))
+    sample = named.where(taken)  # about MOST_DOMAINS * SAMPLE_DOCS ids at most
+    texts = docs.select("doc_id", "text", F.col(domain).cast("string").alias("_domain")).join(F.broadcast(sample), ["doc_id", "_domain"])
+    labelled = texts.groupBy("doc_id", "_domain").agg(F.min("text").alias("text")).select("_domain", "text")
     domains, weights = classifier(labelled, "_domain")
     found, report = fitted_rates(memberships(docs, domains, weights), domains, target, total_tokens)
     return found, domains, report

@@ -215,3 +215,14 @@ def test_voters_reach_the_scores_when_gold_fills_the_sample(spark, monkeypatch):
         scores = op04_toxicity.scores(docs.select("doc_id", "text"), known, ["doc_id"]).where("doc_id >= 450 AND doc_id % 2 = 0")
         found.append(scores.agg(F.avg("score")).first()[0])
     assert found[0] - found[1] > 0.05
+
+
+def test_mixing_knows_rare_domains(spark, monkeypatch):
+    monkeypatch.setattr(op05_mixing, "SAMPLE_DOCS", 5)
+    docs = spark.createDataFrame([(i, f"common words here {i % 7}", "en") for i in range(400)] + [(1000, "seltene worte", "de")], "doc_id long, text string, lang string")
+    found, domains, report = op05_mixing.rates(docs, docs.select("doc_id"), target={"en": 1, "de": 1})
+    assert domains == ["de", "en"] and abs(report["target"]["de"] - report["target"]["en"]) < 1e-6 and found.count() == 401
+    with pytest.raises(ValueError, match="fr"):
+        op05_mixing.rates(docs, docs.select("doc_id"), target={"en": 1, "fr": 1})
+    with pytest.raises(ValueError, match="fr"):
+        op05_mixing.rates(docs, docs.select("doc_id").limit(0), target={"fr": 1})
