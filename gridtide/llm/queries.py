@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op02_lines, op03_simhash, op04_toxicity, op05_mixing, op06_bpe, op07_quality, op08_merkle, op09_chat, op10_pii, op11_runs
+from . import op01_topk, op02_lines, op03_simhash, op04_toxicity, op05_mixing, op06_bpe, op07_quality, op08_merkle, op09_chat, op10_pii, op11_runs, op12_whitening, op13_secrets
 
 QUERIES = {
     "op1_exact_topk": op01_topk.op1_exact_topk,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_preference_format": op09_chat.op9_preference_format,
     "op10_pii": op10_pii.op10_pii,
     "op11_periodic_runs": op11_runs.op11_periodic_runs,
+    "op12_whitening": op12_whitening.op12_whitening,
+    "op13_secrets": op13_secrets.op13_secrets,
 }
 
 STATEMENTS = {**op01_topk.SQL, **op09_chat.SQL}
