@@ -236,13 +236,48 @@ def _ramp_pairs(spark, d):
     return events.ramp_events(e, [*keys, "is_true"], "v", "threshold", direction="direction"), keys
 
 
-@query("event_match_tolerance", text="point direction", nums="threshold", ints="hits misses false_alarms")
+_KEY, _SIDE = "point, threshold, direction", "point, threshold, direction, is_true"
+_SER = f"(PARTITION BY {_SIDE} ORDER BY i"
+_AHEAD = f"OVER {_SER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+#: Events of both sides by following the search from event to event, then predicted events matched one after the other; rows of (key, down, k, hits).
+MATCHES = f"""WITH RECURSIVE o AS (SELECT point, t, actual, coalesce(lag(actual) OVER {part()}, actual) * 0.8 + pred * 0.2 AS guess FROM b_err),
+ v AS (SELECT point, t, is_true, CASE is_true WHEN 1 THEN actual ELSE guess END AS v, CAST(x AS DOUBLE) AS threshold, direction FROM o,
+   (VALUES (0), (1)) a(is_true), (VALUES (30), (45)) b(x), (VALUES ('up'), ('down'), ('both')) c(direction)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY {_SIDE} ORDER BY t) - 1 AS i FROM v),
+ d AS (SELECT *, v - lag(v, 3) OVER {_SER}) AS chg, sign(lead(v) OVER {_SER}) - v) AS ns FROM n),
+ f AS (SELECT *, coalesce(CASE direction WHEN 'up' THEN chg >= threshold WHEN 'down' THEN chg <= -threshold ELSE abs(chg) >= threshold END, false) AS found,
+   min(CASE WHEN ns IS NULL OR ns <> -1 THEN i END) {_AHEAD} AS stop_down, min(CASE WHEN ns IS NULL OR ns <> 1 THEN i END) {_AHEAD} AS stop_up FROM d),
+ g AS (SELECT *, CASE WHEN chg < 0 THEN stop_down ELSE stop_up END AS e, min(CASE WHEN found THEN i END) {_AHEAD} AS upcoming FROM f),
+ j AS (SELECT x.*, y.upcoming AS nxt FROM g x LEFT JOIN g y ON {" AND ".join(f"y.{k} = x.{k}" for k in _SIDE.split(", "))} AND y.i = x.e + 1 WHERE x.found),
+ r AS (SELECT {_SIDE}, min(i) AS i FROM j GROUP BY ALL UNION ALL SELECT {", ".join(f"j.{k}" for k in _SIDE.split(", "))}, j.nxt FROM r JOIN j USING ({_SIDE}, i) WHERE j.nxt IS NOT NULL),
+ ev AS (SELECT {", ".join(f"r.{k}" for k in _SIDE.split(", "))}, r.i - 3 AS a, z.v < y.v AS down FROM r JOIN j USING ({_SIDE}, i)
+   JOIN g y ON {" AND ".join(f"y.{k} = r.{k}" for k in _SIDE.split(", "))} AND y.i = r.i - 3 JOIN g z ON {" AND ".join(f"z.{k} = r.{k}" for k in _SIDE.split(", "))} AND z.i = j.e),
+ p AS (SELECT *, row_number() OVER (PARTITION BY point, threshold, direction, down ORDER BY a) AS k FROM (SELECT x.point, x.threshold, x.direction, x.down, x.a,
+   list_sort(list(y.a) FILTER (y.a IS NOT NULL)) AS near FROM ev x LEFT JOIN ev y ON y.is_true = 1 AND y.point = x.point AND y.threshold = x.threshold
+   AND y.direction = x.direction AND y.down = x.down AND abs(y.a - x.a) <= 2 WHERE x.is_true = 0 GROUP BY ALL)),
+ m AS (SELECT DISTINCT {_KEY}, down, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM p UNION ALL
+   SELECT p.point, p.threshold, p.direction, p.down, p.k, CASE WHEN len(list_filter(p.near, lambda x: NOT list_contains(m.taken, x))) > 0
+   THEN list_append(m.taken, list_filter(p.near, lambda x: NOT list_contains(m.taken, x))[1]) ELSE m.taken END
+   FROM m JOIN p ON p.point = m.point AND p.threshold = m.threshold AND p.direction = m.direction AND p.down = m.down AND p.k = m.k + 1),
+ h AS (SELECT {_KEY}, sum(n) AS hits FROM (SELECT {_KEY}, down, max(len(taken)) AS n FROM m GROUP BY ALL) GROUP BY ALL)
+ SELECT {_KEY}, coalesce(hits, 0) AS hits, trues - coalesce(hits, 0) AS misses, guesses - coalesce(hits, 0) AS false_alarms FROM (SELECT {_KEY},
+   count(*) FILTER (is_true = 1) AS trues, count(*) FILTER (is_true = 0) AS guesses FROM ev GROUP BY ALL) LEFT JOIN h USING ({_KEY})"""
+
+
+@query("event_match_tolerance", text="point direction", nums="threshold", ints="hits misses false_alarms", sql=MATCHES)
 def event_match_tolerance(spark, d):
     found, keys = _ramp_pairs(spark, d)
     return events.match_events(found, keys)
 
 
-@query("ramp_score", text="point direction", nums="threshold pod far csi bias miss_rate", ints="hits misses false_alarms")
+_PART = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
+
+
+@query(
+    "ramp_score", text="point direction", nums="threshold pod far csi bias miss_rate", ints="hits misses false_alarms",
+    sql=f"""SELECT *, {_PART("hits", "hits + misses")} AS pod, {_PART("false_alarms", "hits + false_alarms")} AS far, {_PART("hits", "hits + misses + false_alarms")} AS csi,
+      {_PART("hits + false_alarms", "hits + misses")} AS bias, {_PART("misses", "hits + misses")} AS miss_rate FROM ({MATCHES})""",
+)
 def ramp_score(spark, d):
     found, keys = _ramp_pairs(spark, d)
     return events.ramp_scores(events.match_events(found, keys))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -61,7 +58,7 @@ def lead_time_summary(leads: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ramp_candidates(df: DataFrame, keys: list[str], value: str, threshold: Column, window: int, direction: Column) -> DataFrame:
-    """Rows whose change over ``window`` rows reaches the threshold, with the end of the monotone extension."""
+    """All rows with ``i``, their monotone run, whether their change over ``window`` rows reaches the threshold, and whether and where it goes on."""
     w = series(keys)
     v = F.col(value)
     s = df.withColumns({"i": F.row_number().over(w) - 1, "_sg": F.signum(v - F.lag(value).over(w))})
@@ -75,73 +72,92 @@ def ramp_candidates(df: DataFrame, keys: list[str], value: str, threshold: Colum
     # an extension follows the direction of the ramp while the next steps keep its sign
     extends = (down & (F.col("_ns") < 0)) | (up & (F.col("_ns") > 0))
     wanted = F.when(direction == "up", up).when(direction == "down", down).otherwise(up | down)
-    end = F.when(extends, F.col("_ne")).otherwise(F.col("_here"))
-    return s.filter(wanted).withColumn("_end", end).select(
-        *keys, F.col("i"), F.col("_from.i").alias("start_i"), F.col("_end.i").alias("end_i"), F.col("_from.t").alias("start_time"),
-        F.col("_end.t").alias("end_time"), (F.col("_end.v") - F.col("_from.v")).alias("magnitude"),
-    )
-
-
-def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep candidates in order, each starting after the end of the last one kept."""
-    pdf = pdf.sort_values("i")
-    kept, end = [], -1
-    for pos, (i, stop) in enumerate(zip(pdf["i"].to_numpy(), pdf["end_i"].to_numpy())):
-        if i > end:
-            kept.append(pos)
-            end = stop
-    return pdf.iloc[kept]
+    found = F.coalesce(wanted, F.lit(False))
+    return s.withColumns({"_found": found, "_goes_on": found & F.coalesce(extends, F.lit(False))}).withColumn(
+        "_end", F.when(F.col("_goes_on"), F.col("_ne")).otherwise(F.col("_here"))
+    )
 
 
 def ramp_events(df: DataFrame, keys: list[str], value: str, threshold: float | str, window: int = 3, direction: str = "both") -> DataFrame:
-    """Ramp events (start_i, end_i, magnitude, duration, rate, is_ramp_down).
+    """Ramp events (start_i, end_i, magnitude, duration, rate, is_ramp_down); the search resumes after the end of an event.
 
-    Candidates and extensions are window work; only the short "resume after the
-    event" selection is a per-series loop over candidate rows.  ``threshold``
-    and ``direction`` may name columns (they then belong in ``keys``).
+    ``threshold`` and ``direction`` may name columns (they then belong in ``keys``).
+
+    What "resume after the end" skips has a closed form. An event that goes on covers the rest of one monotone run, the run of the row after it. So a
+    row is skipped if a candidate before it in its run goes on, or if the run's turning point before it is an event that goes on. A turning point is
+    one exactly if it is a candidate that goes on, none before it in its own run does, and the turning point before is not one. In a row of runs that
+    meet the first two conditions these are the first, third, fifth ... All of it is windows over one sort of the series, whatever its length.
     """
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
     way = F.col(direction) if direction in df.columns else F.lit(direction)
-    cand = ramp_candidates(df, keys, value, limit, window, way)
-    out = cand.groupBy(*keys).applyInPandas(_first_fit, cand.schema).drop("i")
+    w = series(keys, "i")
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    s = ramp_candidates(df, keys, value, limit, window, way)
+    # the last row before this one that is a candidate and goes on, as the run it is in
+    s = s.withColumn("_on", F.max(F.when(F.col("_goes_on"), F.col("_run"))).over(before))
+    covered = F.coalesce(F.col("_on") == F.col("_run"), F.lit(False))
+    turns = F.col("i") == F.col("_run_end.i")
+    s = s.withColumns({"_covered": covered, "_able": F.when(turns, F.col("_goes_on") & ~covered)})
+    unable = F.max(F.when(~F.col("_able"), F.col("_run"))).over(upto)
+    s = s.withColumn("_chain", F.when(F.col("_able"), (F.col("_run") - F.coalesce(unable, F.lit(0))) % 2 == 1).otherwise(F.when(turns, F.lit(False))))
+    entered = F.coalesce(F.last("_chain", ignorenulls=True).over(before), F.lit(False))
+    out = s.withColumn("_entered", entered).filter(F.col("_found") & ~F.col("_covered") & ~F.col("_entered")).select(
+        *keys, F.col("_from.i").alias("start_i"), F.col("_end.i").alias("end_i"), F.col("_from.t").alias("start_time"),
+        F.col("_end.t").alias("end_time"), (F.col("_end.v") - F.col("_from.v")).alias("magnitude"),
+    )
     out = out.withColumn("duration", F.col("end_i") - F.col("start_i"))
     return out.withColumns({"rate": F.try_divide(F.col("magnitude"), F.col("duration")), "is_ramp_down": F.col("magnitude") < 0})
 
 
-def match_events(events: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
+#: Rows of a series whose events one block of the matching holds.
+MATCH_ROWS = 4096
+
+
+def match_events(events: DataFrame, keys: list[str], tolerance: int = 2, rows: int = MATCH_ROWS) -> DataFrame:
     """Greedy one-to-one matching of predicted (is_true = 0) to true events in time order: same direction, starts at most ``tolerance`` rows apart.
 
-    The time line is cut where neighbours lie further apart than the tolerance,
-    as no match can cross such a cut.  A task gets blocks of consecutive pieces,
-    never a whole series.
+    A predicted event takes the first true one within the tolerance that is free. Later ones never look back past it, so all that the past decides is
+    the last true start taken, and for a block of ``rows`` rows only the 2 * tolerance + 1 positions about its first row make a difference. Each block
+    gives its hits and its own last true start for each of them; a key's blocks are then composed in order. A block holds the events of its rows, a
+    key's fold one small table a block: no task sees the events of a series.
     """
-    both = events.select(*keys, "start_i", "is_ramp_down", "is_true")
-    w = W.partitionBy(*keys).orderBy("start_i", "is_true")
-    apart = F.coalesce((F.col("start_i") - F.lag("start_i").over(w) > tolerance).cast("int"), F.lit(1))
-    pieces = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
-    blocks = both.withColumn("_new", apart).withColumn("block", F.floor(pieces / 512)).drop("_new")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_i")
-        true = pdf[pdf["is_true"] == 1]
-        guess = pdf[pdf["is_true"] == 0]
-        starts, down = true["start_i"].to_numpy(), true["is_ramp_down"].to_numpy()
-        used = np.zeros(len(starts), dtype=bool)
-        first = np.searchsorted(starts, guess["start_i"].to_numpy() - tolerance, side="left")
-        last = np.searchsorted(starts, guess["start_i"].to_numpy() + tolerance, side="right")
-        hits = 0
-        for lo, hi, way in zip(first, last, guess["is_ramp_down"].to_numpy()):
-            free = np.flatnonzero(~used[lo:hi] & (down[lo:hi] == way))
-            if len(free):
-                used[lo + free[0]] = True
-                hits += 1
-        head = pdf[keys].iloc[:1].copy()
-        head["hits"], head["misses"], head["false_alarms"] = hits, len(true) - hits, len(guess) - hits
-        return head
-
-    fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
-    per = blocks.groupBy(*keys, "block").applyInPandas(greedy, f"{fields}, hits bigint, misses bigint, false_alarms bigint")
-    return per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "false_alarms")])
+    if rows <= 2 * tolerance:
+        raise ValueError("blocks must be longer than twice the tolerance")
+    group = [*keys, "is_ramp_down"]
+    at, span = F.col("start_i").cast("long"), F.lit(rows)
+    both = events.select(*group, at.alias("at"), (F.col("is_true") == 1).alias("_true"))
+    first, last = F.floor((F.col("at") - tolerance) / span).cast("long"), F.floor((F.col("at") + tolerance) / span).cast("long")
+    own = F.floor(F.col("at") / span).cast("long")
+    dealt = both.withColumn("_block", F.explode(F.when(F.col("_true"), F.sequence(first, last)).otherwise(F.array(own))))
+    near = W.partitionBy(*group, "_block").orderBy("at").rangeBetween(-tolerance, tolerance)
+    guesses = dealt.withColumn("near", F.array_sort(F.collect_list(F.when(F.col("_true"), F.col("at"))).over(near))).filter(~F.col("_true"))
+    low = F.col("_block") * span - (tolerance + 1)  # a last start here or before it is out of reach for the whole block
+
+    def run(entering: Column) -> Column:
+        state = lambda last, hits: F.struct(last.cast("long").alias("last"), hits.cast("long").alias("hits"))
+
+        def step(acc: Column, guess: Column) -> Column:
+            free = F.get(F.filter(guess["near"], lambda a: a > acc["last"]), F.lit(0))
+            return F.when(free.isNotNull(), state(free, acc["hits"] + 1)).otherwise(acc)
+
+        return F.aggregate("_guesses", state(entering, F.lit(0)), step)
+
+    blocks = guesses.groupBy(*group, "_block").agg(F.array_sort(F.collect_list(F.struct("at", "near"))).alias("_guesses"))
+    tables = blocks.select(*group, "_block", low.alias("low"), F.transform(F.sequence(low, low + 2 * tolerance), run).alias("by_state"))
+    parts = tables.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_block", "low", "by_state"))).alias("_blocks"))
+    begin = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("hits"))
+
+    def chain(acc: Column, block: Column) -> Column:
+        there = F.get(block["by_state"], (F.greatest(acc["last"], block["low"]) - block["low"]).cast("int"))
+        return F.struct(there["last"].alias("last"), (acc["hits"] + there["hits"]).alias("hits"))
+
+    hits = parts.select(*keys, F.aggregate("_blocks", begin, chain)["hits"].alias("hits")).groupBy(*keys).agg(F.sum("hits").alias("_hits"))
+    totals = both.groupBy(*keys).agg(F.count_if("_true").alias("_trues"), F.count_if(~F.col("_true")).alias("_guesses"))
+    # both sides stem from one table, so keys are renamed for the join; NULL keys meet
+    hits = hits.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_hits")
+    joined = totals.join(hits, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    n = F.coalesce("_hits", F.lit(0))
+    return joined.select(*keys, n.alias("hits"), (F.col("_trues") - n).alias("misses"), (F.col("_guesses") - n).alias("false_alarms"))
 
 
 def ramp_scores(matches: DataFrame) -> DataFrame:

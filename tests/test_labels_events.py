@@ -115,6 +115,31 @@ def test_ramps_and_matching_against_brute_force(spark, direction):
         assert scores[key] == match
 
 
+@pytest.mark.parametrize("rows, tolerance", [(7, 2), (16, 5), (1, 0)])
+def test_matching_composes_over_blocks(spark, rows, tolerance):
+    rng = np.random.default_rng(rows)
+    made, want = [], {}
+    for key in ("a", "b", None):
+        sides = [[(int(p), 0, bool(rng.random() < 0.5)) for p in np.flatnonzero(rng.random(300) < 0.6)] for _ in range(2)]
+        made += [(key, s, d, side) for side in (0, 1) for s, _, d in sides[side]]
+        want[key] = brute_match(sides[1], sides[0], tolerance)
+    made.append(("only true", 5, True, 1))
+    want["only true"] = (0, 1, 0)
+    frame = spark.createDataFrame(made, "key string, start_i int, is_ramp_down boolean, is_true int").repartition(3)
+    found = events.match_events(frame, ["key"], tolerance, rows).collect()
+    assert {r.key: (r.hits, r.misses, r.false_alarms) for r in found} == want
+    assert events.match_events(frame.limit(0), ["key"]).count() == 0
+
+
+def test_ramps_of_a_dense_series(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.integers(0, 6, 4000), rng.integers(1, 3, 4000)).astype(float)  # plateaus, runs and turning points that all reach the threshold
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "t": pd.date_range("2024-01-01", periods=len(v), freq="h"), "v": v}))
+    for direction in ("up", "down", "both"):
+        got = events.ramp_events(df, ["key"], "v", 1.0, window=2, direction=direction).toPandas().sort_values("start_i")
+        assert list(zip(got["start_i"], got["end_i"], got["is_ramp_down"])) == brute_ramps(v, 1.0, 2, direction)
+
+
 def test_sessions_and_recall(spark):
     minutes = [0, 30, 90, 151, 400, 460]
     pdf = pd.DataFrame({"k": "x", "t": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for m in minutes], "p": [0.1, 0.2, 0.3, 0.9, 0.2, 0.4]})
