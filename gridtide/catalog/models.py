@@ -1,16 +1,21 @@
-"""Model fitting and scoring queries (results depend on the fitted trees, so no statement)."""
+"""Model fitting and scoring queries.
+
+Models a key are compared number by number with a solution in SQL. Trees differ by engine, so queries over them return keys, actuals and checks of the
+forecasts that a statement can state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..plans import intraday, learning
+from ..plans import generation, intraday, keyed_linear, learning
 from ..plans.spike import next_hour_spike
 from ..sources import sink
 from . import base
-from .features import _rtm24
+from .features import RTM24, _rtm24
 from .registry import query
+from .sqltext import lead
 
 FEATURES = ["rtm_lag_1h", "rtm_lag_4h", "rtm_lag_24h", "rtm_roll_24h_mean", "rtm_roll_24h_std", "rtm_roll_24h_min", "rtm_roll_24h_max", "hour", "dow"]
 
@@ -27,16 +32,98 @@ def table(spark, d):
     return x.withColumn("split", learning.split_column("t", "2024-01-18", "2024-01-24"))
 
 
-@query("ml_regressor_per_point", text="point", times="t", ints="horizon covered", nums="actual pred low high")
+# --- a model for each point and horizon ----------------------------------------------------------------
+
+KEYS = ["point", "horizon"]
+_SPLIT = "CASE WHEN t < TIMESTAMP '2024-01-18' THEN 'train' WHEN t < TIMESTAMP '2024-01-24' THEN 'val' ELSE 'test' END"
+#: Rows of every point and horizon with a target, and each key's least-squares system.
+TARGETS = f"""SELECT x.* EXCLUDE (y1, y4, y24), h.horizon, CASE h.horizon WHEN 1 THEN y1 WHEN 4 THEN y4 ELSE y24 END AS y, {_SPLIT} AS split FROM (SELECT *, hour(t) AS hour,
+   isodow(t) - 1 AS dow, {lead("price", 1)} AS y1, {lead("price", 4)} AS y4, {lead("price", 24)} AS y24 FROM ({RTM24})) x, (VALUES (1), (4), (24)) h(horizon)"""
+_P = len(FEATURES)
+
+
+def _system() -> str:
+    """Elimination of every key's system, one pivot a step."""
+    cov = {(i, j): f"c{i}_{j}" for i in range(_P) for j in range(i, _P + 1)}
+    names = [*FEATURES, "y"]
+    aggs = ", ".join(f"covar_pop({names[i]}, {names[j]}) AS {c}" for (i, j), c in cov.items())
+    means = ", ".join(f"avg({f})" for f in names)
+    whole = " AND ".join(f"{f} IS NOT NULL" for f in names)
+    cell = lambda i, j: (
+        f"coalesce({cov[i, j]} / nullif(sqrt({cov[i, i]}), 0), 0)" if j == _P
+        else "1.0 + 1.0 / n" if i == j
+        else f"coalesce({cov[min(i, j), max(i, j)]} / nullif(sqrt({cov[i, i]}) * sqrt({cov[j, j]}), 0), 0)"
+    )
+    rows = ", ".join("[" + ", ".join(cell(i, j) for j in range(_P + 1)) + "]" for i in range(_P))
+    devs = ", ".join(f"sqrt({cov[i, i]})" for i in range(_P))
+    text = f"SELECT point, horizon, n, means, [{devs}] AS dev, [{rows}] AS m FROM (SELECT point, horizon, CAST(count(*) AS DOUBLE) AS n, [{means}] AS means, {aggs} FROM kl_rows WHERE split = 'train' AND {whole} GROUP BY 1, 2)"
+    for k in range(1, _P + 1):
+        row = f"CASE WHEN i = {k} THEN list_transform(r, lambda x: x / m[{k}][{k}]) ELSE list_transform(r, lambda x, j: x - r[{k}] / m[{k}][{k}] * m[{k}][j]) END"
+        text = f"SELECT point, horizon, n, means, dev, list_transform(m, lambda r, i: {row}) AS m FROM ({text})"
+    coef = f"CASE WHEN dev[i] > 0 THEN r[{_P + 1}] / dev[i] ELSE 0 END"
+    return f"SELECT *, means[{_P + 1}] - list_sum(list_transform(coefs, lambda c, i: c * means[i])) AS intercept FROM (SELECT *, list_transform(m, lambda r: r[{_P + 1}]) AS importance, list_transform(m, lambda r, i: {coef}) AS coefs FROM ({text}))"
+
+
+base.add_cte("kl_rows", f"SELECT * FROM ({TARGETS}) WHERE y IS NOT NULL")
+base.add_cte("kl_fit", _system())
+_PRED = "intercept + " + " + ".join(f"coefs[{i + 1}] * coalesce({f}, means[{i + 1}])" for i, f in enumerate(FEATURES))
+base.add_cte("kl_pred", f"SELECT r.*, n, dev, importance, {_PRED} AS pred FROM kl_rows r JOIN kl_fit USING (point, horizon)")
+
+
+def keyed_rows(spark, d):
+    """Rows of every point and horizon with a target y."""
+    x = table(spark, d)
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("y")) for h in HORIZONS])
+    return x.drop("horizon").select("*", F.inline(each)).filter("y IS NOT NULL")
+
+
+@query(
+    "ml_regressor_per_point", text="point", times="t", ints="horizon covered", nums="actual pred low high",
+    sql="""SELECT point, t, horizon, y AS actual, pred, pred - half AS low, pred + half AS high, y BETWEEN pred - half AND pred + half AS covered FROM kl_pred
+      JOIN (SELECT point, horizon, quantile_cont(abs(y - pred), 0.8) AS half FROM kl_pred WHERE split = 'val' GROUP BY 1, 2) USING (point, horizon) WHERE split = 'test'""",
+)
 def ml_regressor_per_point(spark, d):
+    """One ridge model for each point and horizon, all from one aggregation, with bands from its own validation residuals."""
+    x = keyed_rows(spark, d)
+    models = keyed_linear.fit_by_key(x.filter("split = 'train'"), KEYS, FEATURES, "y")
+    scored = keyed_linear.score_by_key(x.filter("split <> 'train'"), models, KEYS, FEATURES).filter("pred IS NOT NULL")
+    return generation.conformal(scored, KEYS, F.col("split") == "val", "y", "pred").withColumnRenamed("y", "actual")
+
+
+@query(
+    "ml_point_coefficients", text="point feature", ints="horizon n rank", nums="coefficient importance gradient",
+    sql=f"""SELECT point, horizon, n, feature, coefs[i] AS coefficient, importance[i] AS importance, row_number() OVER (PARTITION BY point, horizon
+      ORDER BY abs(importance[i]) DESC, feature) AS rank, coalesce(g.cov[i] / nullif(dev[i], 0), 0) - 1.0 / n * importance[i] AS gradient FROM kl_fit JOIN (SELECT point, horizon,
+      [{", ".join(f"covar_pop({f}, y - pred)" for f in FEATURES)}] AS cov FROM kl_pred WHERE split = 'train' AND {" AND ".join(f"{f} IS NOT NULL" for f in FEATURES)} GROUP BY 1, 2) g
+      USING (point, horizon), (VALUES {", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(FEATURES))}) f(i, feature)""",
+)
+def ml_point_coefficients(spark, d):
+    """Coefficients of every point's and horizon's model by importance, and what is left of its normal equations on the rows."""
+    x = keyed_rows(spark, d).filter("split = 'train'")
+    models = keyed_linear.fit_by_key(x, KEYS, FEATURES, "y")
+    return keyed_linear.coefficients(models, KEYS, FEATURES).join(keyed_linear.gradients(x, models, KEYS, FEATURES, "y"), [*KEYS, "feature"])
+
+
+@query(
+    "ml_regressor_pooled", text="point", times="t", ints="horizon ordered better", nums="actual",
+    sql="SELECT point, t, horizon, y AS actual, 1 AS ordered, 1 AS better FROM kl_rows WHERE split = 'test'",
+)
+def ml_regressor_pooled(spark, d):
+    """Boosted trees over all points, one fit a horizon: rows with actuals, whether low <= pred <= high, and whether the mean error is below the last value's."""
     x = table(spark, d)
     out = None
     for h in HORIZONS:
-        model = learning.fit_regressor(x, FEATURES, f"target_{h}", max_iter=ROUNDS)
-        scored = learning.predict_with_bounds(model, x.filter(F.col(f"target_{h}").isNotNull()), f"target_{h}", ["point"])
-        one = scored.select("point", "t", F.lit(h).alias("horizon"), "covered", F.col(f"target_{h}").alias("actual"), "pred", "low", "high")
+        y = f"target_{h}"
+        model = learning.fit_regressor(x, FEATURES, y, max_iter=ROUNDS)
+        scored = learning.predict_with_bounds(model, x.filter(F.col(y).isNotNull()), y, ["point"])
+        one = scored.select("point", "t", F.lit(h).alias("horizon"), F.col(y).alias("actual"), "pred", "low", "high", "price")
         out = one if out is None else out.unionByName(one)
-    return out
+    error = lambda c: F.avg(F.abs(F.col("actual") - F.col(c)))
+    better = out.groupBy("horizon").agg((error("pred") < error("price")).cast("int").alias("better"))
+    return out.join(better, "horizon").withColumn("ordered", F.col("pred").between(F.col("low"), F.col("high")))
+
+
+# --- pooled models -------------------------------------------------------------------------------------
 
 
 @query("ml_spike_classifier", text="point", times="t", ints="y alarm", nums="probability threshold")
