@@ -396,14 +396,14 @@ def rtm15_rolling(spark, d):
 
 
 _RM = {}
-for _n, _r in (("6h", 24), ("24h", 96)):
+for _n, _r in (("6h", 24), ("24h", 96), ("7d", 672), ("14d", 1344)):
     _RM |= {f"price_median_{_n}": roll("median", "price", _r, 2, _r // 2), f"price_skew_{_n}": roll("skewness", "price", _r, 2, _r // 2)}
     _RM[f"price_range_{_n}"] = f"{roll('max', 'price', _r, 2, _r // 2)} - {roll('min', 'price', _r, 2, _r // 2)}"
 
 
 @query("rolling_median", text="point", times="t", nums=" ".join(_RM), sql=f"SELECT point, t, {columns(_RM)} FROM ({P15})")
 def rolling_median(spark, d):
-    return intraday.horizon_rolling(p15(spark, d), ["point"], 2, ["6h", "24h"])
+    return intraday.horizon_rolling(p15(spark, d), ["point"], 2, ["6h", "24h", "7d", "14d"])
 
 
 def _avg_lags(steps):

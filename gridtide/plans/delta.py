@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules
 from ..functions.frames import rolling, series
-from .spike import sorted_quantile
+from ..operators.sliding import median, share_below_before, sliding
 
 
 def spread_history(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,6 +36,8 @@ def samples(df: DataFrame, keys: list[str]) -> DataFrame:
     Day-end states are window values of each day's last row; they are carried to
     the next available date with one join on (keys, date).
     """
+    # ranks of a day's prices among the 168 rows before the day: one sort a day
+    df = sliding(df, keys, "t", {"spread_median_7d": median("spread", 168), "dam_percentile_7d": share_below_before("dam_price", 168, "d", 25)})
     w = series(keys)
     last168, last24 = w.rowsBetween(-167, 0), w.rowsBetween(-23, 0)
     s = F.col("spread")
@@ -44,7 +46,7 @@ def samples(df: DataFrame, keys: list[str]) -> DataFrame:
         "spread_std_7d": F.stddev_samp("spread").over(last168),
         "spread_max_7d": F.max("spread").over(last168),
         "spread_min_7d": F.min("spread").over(last168),
-        "_spreads": F.array_sort(F.collect_list("spread").over(last168)),
+        "spread_median_7d": F.col("spread_median_7d"),
         "spread_mean_24h": F.avg("spread").over(last24),
         "spread_std_24h": F.stddev_samp("spread").over(last24),
         "rtm_mean_7d": F.avg("rtm_mean").over(last168),
@@ -60,13 +62,12 @@ def samples(df: DataFrame, keys: list[str]) -> DataFrame:
         "spike_count_7d": F.sum((F.abs("spread") > 20).cast("int")).over(last168),
         "rtm_spike_count_7d": F.sum((F.col("rtm_mean") > 100).cast("int")).over(last168),
         "spread_trend_7d": F.avg("spread").over(last24) - F.avg("spread").over(w.rowsBetween(-167, -144)),
-        "_dams": F.collect_list("dam_price").over(last168),
         "_rows": F.row_number().over(w),
     }
     ends = W.partitionBy(*keys).orderBy("t")
     tagged = df.select(*keys, "t", "d", *[c.alias(n) for n, c in state.items()], F.lead("d").over(ends).alias("_next"))
     snap = tagged.filter((F.col("_next") != F.col("d")) & (F.col("_rows") >= 168))
-    snap = snap.withColumn("spread_median_7d", sorted_quantile(F.col("_spreads"), 0.5)).drop("d", "t", "_rows", "_spreads")
+    snap = snap.drop("d", "t", "_rows")
     snap = snap.withColumnRenamed("_next", "d")
 
     by_hour = W.partitionBy(*keys, "hour").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
@@ -81,16 +82,14 @@ def samples(df: DataFrame, keys: list[str]) -> DataFrame:
             "spread_same_dow_hour_last": F.last("spread", ignorenulls=True).over(by_dow),
         }
     )
-    j = target.join(snap, [*keys, "d"])
+    j = target.drop("spread_median_7d").join(snap, [*keys, "d"])
     dam = F.col("dam_price")
-    below = F.size(F.filter("_dams", lambda x: x < dam))
     return j.withColumns(
         {
             "target_class": rules.spread_class(F.col("spread")),
             "target_is_peak": (F.col("hour").between(6, 10) | F.col("hour").between(17, 21)).cast("int"),
             "dam_vs_7d_mean": dam - F.col("dam_mean_7d"),
-            "dam_percentile_7d": below / F.size("_dams"),
             "dam_vs_same_hour": dam - F.coalesce("rtm_same_hour_hist", "rtm_mean_7d"),
             "dam_price_level": rules.price_level_bin(dam),
         }
-    ).drop("_dams")
+    )

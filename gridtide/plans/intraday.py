@@ -8,17 +8,12 @@ from pyspark.sql.window import Window as W
 
 from ..functions import calendar as cal
 from ..functions.frames import long_mean, long_std, ratio, rolling, sample_skew, series
-from .spike import sorted_quantile
+from ..operators.sliding import Stat, below, count, median, skew, sliding, up_to
 
 EPS = 1e-6
 HORIZON_WINDOWS = {"1h": 4, "3h": 12, "6h": 24, "24h": 96, "7d": 672, "14d": 1344}
 
 
-def frame_median(c: str, w, rows: int, shift: int, min_periods: int) -> Column:
-    frame = w.rowsBetween(-(rows - 1) - shift, -shift)
-    return F.when(F.count(c).over(frame) >= min_periods, sorted_quantile(F.array_sort(F.collect_list(c).over(frame)), 0.5))
-
-
 def lags(df: DataFrame, keys: list[str], c: str = "price") -> DataFrame:
     w = series(keys)
     out = df.withColumns({f"price_lag_{n}": F.lag(c, n).over(w) for n in (1, 2, 3, 4, 96, 672)})
@@ -60,17 +55,17 @@ def horizon_rolling(df: DataFrame, keys: list[str], horizon: int, names: list[st
     """Shifted windows with half-window minimum; median, skew and range for windows of 24 rows and more."""
     w = series(keys)
     cols: dict[str, Column] = {}
+    ordered: dict[str, Stat] = {}
     for name in names:
         rows = HORIZON_WINDOWS[name]
         need = max(1, rows // 2)
         for s, fn in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max), ("min", F.min)):
             cols[f"price_{s}_{name}"] = rolling(fn, c, w, rows, horizon, need)
         if rows >= 24:
-            frame = w.rowsBetween(-(rows - 1) - horizon, -horizon)
-            cols[f"price_median_{name}"] = frame_median(c, w, rows, horizon, need)
-            cols[f"price_skew_{name}"] = F.when(F.count(c).over(frame) >= need, sample_skew(F.col(c), frame))
+            ordered |= {f"price_median_{name}": median(c, rows, horizon, need), f"price_skew_{name}": skew(c, rows, horizon, need)}
             cols[f"price_range_{name}"] = cols[f"price_max_{name}"] - cols[f"price_min_{name}"]
-    return df.withColumns(cols)
+    out = df.withColumns(cols)
+    return sliding(out, keys, "t", ordered) if ordered else out
 
 
 def same_time_means(df: DataFrame, keys: list[str], c: str = "price") -> DataFrame:
@@ -144,17 +139,15 @@ def intervals_since(df: DataFrame, keys: list[str], flag: Column, name: str = "i
 
 def percent_rank(df: DataFrame, keys: list[str], rows: int = 96, min_periods: int = 24, c: str = "price") -> DataFrame:
     """Share of the earlier window values below the current one, and the average-rank percentile."""
-    df = df.withColumn("_w", F.collect_list(c).over(series(keys).rowsBetween(-(rows - 1), 0)))
-    n, p = F.size("_w"), F.col(c)
-    less = F.size(F.filter("_w", lambda x: x < p))
-    same = F.size(F.filter("_w", lambda x: x == p))
-    ok = n >= min_periods
-    return df.withColumns(
+    ranked = sliding(df, keys, "t", {"_n": count(c, rows), "_less": below(c, rows), "_upto": up_to(c, rows)})
+    n, less = F.col("_n"), F.coalesce("_less", F.lit(0))
+    same = F.coalesce(F.col("_upto") - F.col("_less"), F.lit(0))
+    return ranked.withColumns(
         {
-            "share_below": F.when(ok, F.coalesce(F.try_divide(less, n - 1), F.lit(0.5))),
+            "share_below": F.when(n >= min_periods, F.coalesce(F.try_divide(less, n - 1), F.lit(0.5))),
             "rank_pct": F.when(n >= rows, (less + (same + 1) / 2) / n),
         }
-    ).drop("_w")
+    ).drop("_n", "_less", "_upto")
 
 
 def volatility(df: DataFrame, keys: list[str], c: str = "price") -> DataFrame:

@@ -10,7 +10,8 @@ from ..functions import rules
 from ..functions.calendar import floor_time, plus_hours, to_local
 from ..functions.frames import long_mean, long_std, ratio, rolling, series
 from ..operators import align, dedup, fill
-from ..operators.ranked import in_blocks, own_rows, with_halo
+from ..operators.ranked import in_blocks
+from ..operators.sliding import count, quantile, sliding, up_to
 
 PRICE = ["lmp_lag1", "lmp_lag4", "lmp_lag96", "lmp_mean_4", "lmp_mean_96", "lmp_std_96", "lmp_max_96", "lmp_ramp_1h", "lmp_ramp_4h"]
 SPREAD = ["spread_lag1", "spread_mean_4", "spread_max_96", "spread_ramp_1h"]
@@ -111,33 +112,16 @@ def feature_matrix(
 # --- labels ---------------------------------------------------------------------------------------
 
 
-#: Rows of a series whose values lie together in one array (a day of quarter hours).
-VALUES_PER_ARRAY = 96
-
-
 def reaches_rolling_quantile(
     df: DataFrame, keys: list[str], t: str, x: str, asked: Column, name: str, p: float, rows: int, min_periods: int
 ) -> DataFrame:
     """Add ``name``: x is at least the rolling ``p`` quantile (linear) of the last ``rows`` rows, its own included; false where not ``asked``.
 
-    Decided by rank: with n values of which g are larger than x, x reaches the quantile exactly when n - 1 - g >= p (n - 1). Only asked rows
-    look at their frame, as counts over the arrays of VALUES_PER_ARRAY rows that it touches; no list is longer than that.
+    Decided by rank: with n values of which g are larger than x, x reaches the quantile exactly when n - 1 - g >= p (n - 1).
     """
-    size = VALUES_PER_ARRAY
-    numbered = df.withColumn("_rn", F.row_number().over(series(keys, t)))
-    known = numbered.where(F.col(x).isNotNull())
-    part = lambda rn: F.floor((rn - 1) / size).cast("int")
-    arrays = known.groupBy(*keys, part(F.col("_rn")).alias("_part")).agg(F.collect_list(F.struct(F.col("_rn").alias("r"), F.col(x).alias("v"))).alias("_values"))
-    low = F.greatest(F.col("_rn") - (rows - 1), F.lit(1))
-    frames = known.where(asked).select(*keys, "_rn", low.alias("_low"), F.col(x).alias("_x"), F.explode(F.sequence(part(low), part(F.col("_rn")))).alias("_part"))
-    inside = lambda e: (e["r"] >= F.col("_low")) & (e["r"] <= F.col("_rn"))
-    counted = frames.join(arrays, [*keys, "_part"]).groupBy(*keys, "_rn").agg(
-        F.sum(F.size(F.filter("_values", inside))).alias("_n"),
-        F.sum(F.size(F.filter("_values", lambda e: inside(e) & (e["v"] > F.col("_x"))))).alias("_larger"),
-    )
-    met = (F.col("_n") >= min_periods) & (F.col("_n") - 1 - F.col("_larger") >= p * (F.col("_n") - 1))
-    hits = counted.where(met).select(*keys, "_rn", F.lit(True).alias(name))
-    return numbered.join(hits, [*keys, "_rn"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_rn")
+    ranked = sliding(df, keys, t, {"_n": count(x, rows), "_upto": up_to(x, rows)})
+    met = (F.col("_n") >= min_periods) & (F.col("_upto") - 1 >= p * (F.col("_n") - 1)) & asked
+    return ranked.withColumn(name, F.coalesce(met, F.lit(False))).drop("_n", "_upto")
 
 
 def run_of_at_least(flag: str, w, keys: list[str], k: int, df: DataFrame) -> DataFrame:
@@ -244,7 +228,7 @@ def price_structure(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_rows: int = 2016) -> DataFrame:
     """Stress features from load, wind, solar, gas, coal, esr (5-minute rows), in blocks of the series with the rows that its frames reach."""
-    base = _gas_capacity(df, keys, gas_rows).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
+    base = sliding(df, keys, "t", {"_gas": quantile("gas", gas_rows, 0.95)}).withColumn("net_load", F.col("load") - F.col("wind") - F.col("solar"))
 
     def build(rows: DataFrame, w) -> DataFrame:
         diff = lambda c, n=1: F.col(c) - F.lag(c, n).over(w)
@@ -273,27 +257,6 @@ def supply_demand(df: DataFrame, keys: list[str], wind_rows: int = 8640, gas_row
     ).drop("_gas")
 
 
-def _gas_capacity(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Rolling 95 % quantile of gas. A system-wide series has one key, so it is cut into
-    blocks with a halo of the frame's length and the sorts run in parallel."""
-    blocks, w = with_halo(df, keys, F.date_trunc("day", "t"), [F.col("t")], before=rows - 1, rows=rows)
-    sorted_frame = F.array_sort(F.collect_list("gas").over(w.rowsBetween(-(rows - 1), 0)))
-    return own_rows(blocks.withColumn("_gas", sorted_quantile(sorted_frame, 0.95)))
-
-
-def sorted_quantile(a: Column, p: float) -> Column:
-    """Linear quantile of a sorted array; the array expression is bound once, not repeated."""
-
-    def pick(x: Column) -> Column:
-        h = (F.size(x) - 1) * F.lit(p)
-        k = F.floor(h).cast("int")
-        low = F.try_element_at(x, k + 1)
-        high = F.coalesce(F.try_element_at(x, k + 2), low)
-        return low + (high - low) * (h - k)
-
-    return F.transform(F.array(a), pick)[0]
-
-
 def zone_weather(df: DataFrame, key: str = "station") -> DataFrame:
     """Hourly weather features on a gap-free grid, all one hour late."""
     g = fill.on_grid(df, [key], "t", 60).withColumn("_h", F.hour("t"))
