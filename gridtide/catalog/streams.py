@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.keyed_table import KeyedTable
 from ..sources.sink import scratch_path
 from ..streaming import jobs
 from . import base
@@ -31,8 +32,9 @@ CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM b_ev)"
 def stream_ingest_upsert(spark, d):
     out = scratch_path(spark, "upsert")
     rows = jobs.floor_feed(feed(spark, d), "ts").select("day", "t", "point", "event_id", "price")
-    jobs.ingest_upsert(rows, f"{out}/data", f"{out}/ckpt", ["t", "point"], "day", "event_id").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    table = KeyedTable(spark, f"{out}/table", ["t", "point"], "event_id", buckets=4)
+    jobs.ingest_upsert(rows, table, f"{out}/ckpt").awaitTermination()
+    return table.read()
 
 
 @query(
@@ -103,8 +105,9 @@ def stream_late_correction(spark, d):
     cols = ["day", "t", "point", "event_id", "price"]
     fast = jobs.floor_feed(feed(spark, d), "ts").select(cols)
     slow = jobs.floor_feed(feed(spark, d).filter("k < 50"), "ts").withColumn("price", F.col("price") + 1).select(cols)
-    jobs.late_correction(fast, slow, f"{out}/data", f"{out}/ckpt", ["t", "point"], "day", "event_id").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    table = KeyedTable(spark, f"{out}/table", ["t", "point"], "rank", buckets=4)
+    jobs.late_correction(fast, slow, table, f"{out}/ckpt", "event_id").awaitTermination()
+    return table.read()
 
 
 @query(

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.calendar import floor_time
-from ..sources.sink import is_folder, scratch_path, upsert_parquet
+from ..sources.keyed_table import KeyedTable
+from ..sources.sink import is_folder, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,17 +67,9 @@ def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     )
 
 
-def ingest_upsert(feed: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str, seq: str) -> StreamingQuery:
-    """Keyed last-write-wins per micro-batch; replaying a batch leaves the same table."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        kept = batch.persist()  # read twice: touched partitions, then rows
-        try:
-            upsert_parquet(batch.sparkSession, path, kept, keys, partition, seq)
-        finally:
-            kept.unpersist()
-
-    return each_batch(feed, write, checkpoint)
+def ingest_upsert(feed: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Keyed last-write-wins per micro-batch, one snapshot a batch. A batch that is replayed after a failure is known by its number and changes nothing."""
+    return each_batch(feed, lambda batch, number: table.upsert(batch, checkpoint, number), checkpoint)
 
 
 def tumbling_average(feed: DataFrame, key: str, t: str, value: str, width: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -114,11 +107,11 @@ def dedup_deliveries(feed: DataFrame, keys: list[str], t: str, delay: str = "1 h
     return feed.withWatermark(t, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def late_correction(fast: DataFrame, slow: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str, seq: str) -> StreamingQuery:
-    """Fast feed now, authoritative feed hours later; the authoritative row wins whenever it arrives."""
+def late_correction(fast: DataFrame, slow: DataFrame, table: KeyedTable, checkpoint: str, seq: str) -> StreamingQuery:
+    """Fast feed now, authoritative feed hours later; the authoritative row wins whenever it arrives. The table's order column is "rank"."""
     both = fast.withColumn("prio", F.lit(0)).unionByName(slow.withColumn("prio", F.lit(1)))
     ranked = both.withColumn("rank", F.struct("prio", seq)).drop("prio")
-    return ingest_upsert(ranked, path, checkpoint, keys, partition, "rank")
+    return ingest_upsert(ranked, table, checkpoint)
 
 
 def score_join(predictions: DataFrame, actuals: DataFrame, keys: list[str], delay: str = "6 hours", bound: str = "2 hours") -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from gridtide.sources.keyed_table import KeyedTable
 from gridtide.streaming import jobs
 
 
@@ -44,11 +45,14 @@ def test_rate_window_counts_only_accepted(spark, folder):
 def test_ingest_and_late_correction(spark, folder):
     schema = write_files(spark, folder, [[(1, 1, "a", at(1), 10.0), (2, 1, "a", at(6), 11.0)], [(3, 1, "a", at(2), 20.0)]])
     rows = jobs.floor_feed(stream(spark, folder, schema), "ts").select("day", "t", "point", "event_id", "price")
-    jobs.ingest_upsert(rows, f"{folder}/out", f"{folder}/ck", ["t", "point"], "day", "event_id").awaitTermination()
-    assert sorted(r.price for r in spark.read.parquet(f"{folder}/out").collect()) == [11.0, 20.0]
+    table = KeyedTable(spark, f"{folder}/out", ["t", "point"], "event_id", "day", 2)
+    jobs.ingest_upsert(rows, table, f"{folder}/ck").awaitTermination()
+    assert sorted(r.price for r in table.read().collect()) == [11.0, 20.0] and table.versions() == [1, 2]
+    assert sorted(r.price for r in table.read(1).collect()) in ([10.0, 11.0], [20.0])
     slow = rows.filter("event_id = 1").withColumn("price", F.col("price") + 0.5)
-    jobs.late_correction(rows, slow, f"{folder}/out2", f"{folder}/ck2", ["t", "point"], "day", "event_id").awaitTermination()
-    assert sorted(r.price for r in spark.read.parquet(f"{folder}/out2").collect()) == [10.5, 11.0]
+    table = KeyedTable(spark, f"{folder}/out2", ["t", "point"], "rank", "day")
+    jobs.late_correction(rows, slow, table, f"{folder}/ck2", "event_id").awaitTermination()
+    assert sorted(r.price for r in table.read().collect()) == [10.5, 11.0]
 
 
 def test_dedup_across_batches(spark, folder):
