@@ -1,7 +1,9 @@
 """Candidate pairs of near-equal lines: keys that two lines share although some of their words differ.
 
-HALVES: hashes of a line's first and of its last words, half of them each, in the sizes floor(n / 2) and floor((n - 1) / 2). Two lines that differ in one
-word (changed, put in or taken out) share at least one of them, whatever their length, so no such pair is missed.
+PIECES: the 64-bit SimHash of a line's words is cut into PIECES pieces. Two lines whose SimHashes differ in fewer bits than there are pieces share one (the
+pigeonhole principle), and each piece is a key.
+HALVES: SimHash moves much in short lines, so hashes of a line's first and of its last words are keys too, half of them each, in the sizes floor(n / 2) and
+floor((n - 1) / 2). Two lines that differ in one word (changed, put in or taken out) share at least one, whatever their length: no such pair is missed.
 BANDS: pairs of minima (MinHash) over runs of SHINGLE words, for lines that differ in more words. CHARACTER_BANDS: the same over runs of GRAM bytes, for
 lines that differ in characters of many words. The chance to share one falls with the number of places; README gives the recall by length.
 """
@@ -12,12 +14,15 @@ import numpy as np
 
 from . import shared
 
+PIECES = 3
 HALVES = 4
-BANDS = 6
+BANDS = 2
 SHINGLE = 3
-CHARACTER_BANDS = 6
+CHARACTER_BANDS = 5
 GRAM = 10
-NAMES = [f"k{i}" for i in range(HALVES + BANDS + CHARACTER_BANDS)]
+NAMES = [f"k{i}" for i in range(HALVES + BANDS + CHARACTER_BANDS + PIECES)]
+#: Words whose bits are voted on at once.
+VOTES_AT_ONCE = 1 << 16
 
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)], np.uint64)
@@ -64,6 +69,27 @@ def character_keys(data: np.ndarray, begins: np.ndarray, length: np.ndarray) ->
     return keys
 
 
+def sim_hashes(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each line (first word; the lines follow one another): a bit is 1 if it is in more than half of the line's word hashes."""
+    edges = np.append(begins, len(words))
+    out, at = np.empty(len(begins), np.uint64), 0
+    while at < len(begins):  # bounded bit matrices of whole lines
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + VOTES_AT_ONCE, "right")) - 1)
+        bits = np.unpackbits(words[edges[at] : edges[to]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.add.reduceat(bits, edges[at:to] - edges[at], axis=0, dtype=np.int32)
+        most = votes * 2 > np.diff(edges[at : to + 1])[:, None]
+        out[at:to] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+        at = to
+    return out
+
+
+def piece_keys(sims: np.ndarray) -> np.ndarray:
+    """The pieces of SimHashes, each a key of its own kind."""
+    edges = [64 * i // PIECES for i in range(PIECES + 1)]
+    parts = [(sims >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    return np.stack([shared.mixed(p ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i, p in enumerate(parts)], 1)
+
+
 def line_hashes(words: np.ndarray, begins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each line by its words and their places."""
     place = (np.arange(len(words)) - np.repeat(begins, count)).astype(np.uint64)
@@ -75,7 +101,8 @@ def keys_of(data: np.ndarray, bounds: np.ndarray, lines: np.ndarray, words: np.n
     """All keys (columns NAMES) of the given lines of a slice; a line without a run of GRAM bytes repeats its first key in place of the missing ones."""
     length = np.diff(bounds)
     length = length - (data[bounds[1:] - 1] == 10)
-    keys = np.hstack((line_keys(words, begins, count), character_keys(data, bounds[:-1], length)[lines]))
+    bytewise = character_keys(data, bounds[:-1], length)[lines]
+    own = line_keys(words, begins, count)
     short = length[lines] < GRAM
-    keys[short, HALVES + BANDS :] = keys[short, :1]
-    return keys
+    bytewise[short] = own[short, :1]
+    return np.hstack((own, bytewise, piece_keys(sim_hashes(words, begins))))

@@ -1,22 +1,20 @@
-"""Line dedup: near-equal lines are found by shared keys, verified by edit similarity, and one of each connected group stays.
+"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity of candidates, one of each connected group stays.
 
 1. Texts are split at newlines. Every line that is not blank takes part by its real form: lower case (A-Z), digits and marks, white space as single
    spaces. Equal real forms fall together by a 128-bit hash.
-2. Lines of MIN_WORDS words or more get keys of their normal form (words in lower case, digits as 0): see line_keys. A character of a script of
-   three-byte characters counts as a word. Lines that share a key meet; a hot key is dealt in tiles, all pairs still meet.
+2. Lines of MIN_WORDS words or more get keys of their normal form (words in lower case, digits as 0): the pieces of its SimHash, and further keys for edits
+   that SimHash does not bear, see line_keys. A character of a script of three-byte characters counts as a word. Lines that share a key meet; a hot key
+   is dealt in tiles, all pairs still meet.
 3. Only the texts that hold a first place of a candidate line are fetched. Within a tile lines are joined into a forest by edit similarity (1 -
-   Levenshtein / longer length of the real forms) of at least SIMILARITY; a pair already connected is not compared again, so a group of m near copies
-   costs about m comparisons and yields m - 1 edges, not m^2.
+   Levenshtein / longer length of the real forms) of at least SIMILARITY. Counts of two- and three-character runs bound the distance from below, so most
+   unlike pairs are put aside by array operations, without a miss. A pair already connected is not compared again, so a group of m near copies costs
+   about m comparisons and yields m - 1 edges, not m^2.
 4. Connected groups keep their first line; all others go from their texts.
-
-dedup_lines without `whole` has the narrower scheme of round one: normal forms, 64-bit SimHash of words, pairs within RADIUS bits by pigeonhole blocks
-(the bits are cut into RADIUS + r pieces, of which two lines within RADIUS bits share r; r grows with the number of lines). Its tests pin it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,13 +25,10 @@ from pyspark.sql import functions as F
 from . import line_keys, shared
 
 MIN_WORDS = 5
-RADIUS = 3
 SIMILARITY = 0.8
-TILE_LIMIT = 1000
-#: Lines that a block may hold on average before more pieces have to agree.
-BLOCK_LINES = 64
-#: Bits of a block's value; the block's kind stands above them.
-BLOCK_BITS = 40
+TILE_LIMIT = 500
+#: Buckets that runs of characters are counted in, and pairs whose counts are compared at once.
+RUN_BUCKETS, PAIRS_AT_ONCE = 128, 1024
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -61,47 +56,6 @@ def real_form(line: str) -> str:
     return b" ".join(line.encode().translate(_LOWER_TABLE).split()).decode(errors="replace")
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_hash, line number, 128-bit hash of the normal form and SimHash of each line with MIN_WORDS words or more."""
-    for batch in batches:
-        ids, hashes = batch.column(0), batch.column(1)
-        for first, rows, data, offsets in shared.text_slices(batch.column(2)):
-            data = _FOLD[data]
-            breaks = np.flatnonzero(data == 10) + 1
-            line_offsets = np.concatenate((np.union1d(offsets[:-1], breaks[breaks < len(data)]), [len(data)])) if len(data) else np.zeros(1, np.int64)
-            words, starts = shared.hashed_words(data, line_offsets, _WORDS)
-            line = shared.per_row(line_offsets, starts)
-            count = np.bincount(line, minlength=len(line_offsets) - 1)
-            long_enough = np.flatnonzero(count >= MIN_WORDS)
-            if not len(long_enough):
-                continue
-            firsts = np.concatenate(([0], np.cumsum(count)))[:-1]
-            kept = np.repeat(count >= MIN_WORDS, count)
-            words, line = words[kept], line[kept]
-            place = (np.flatnonzero(kept) - firsts[line]).astype(np.uint64)
-            begins = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1))
-            a = np.add.reduceat(shared.mixed(words + place * np.uint64(0xD6E8FEB86659FD93)), begins)
-            b = np.add.reduceat(shared.mixed(words ^ (place * np.uint64(0xA0761D6478BD642F) + np.uint64(1))), begins)
-            votes = np.zeros((len(begins), 64), np.int32)
-            step = 1 << 16
-            edges = np.concatenate((begins, [len(words)]))
-            at = 0
-            while at < len(begins):  # bounded bit matrices: whole lines, about `step` words at once
-                to = max(at + 1, int(np.searchsorted(edges, edges[at] + step, "right")) - 1)
-                bits = np.unpackbits(words[edges[at] : edges[to]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes[at:to] = np.add.reduceat(bits, begins[at:to] - edges[at], axis=0, dtype=np.int32)
-                at = to
-            sim = np.packbits(votes * 2 > count[long_enough][:, None], axis=1, bitorder="little").view("<u8").ravel()
-            doc = shared.per_row(offsets, line_offsets[long_enough])
-            # lines before it in the slice less those before its text
-            number = (long_enough - np.searchsorted(line_offsets, offsets[doc])).astype(np.int32)
-            take = pa.array(first + doc)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), hashes.take(take), pa.array(number), *(pa.array(x.view(np.int64)) for x in (a, b, sim))],
-                names=["doc_id", "text_hash", "line", "ha", "hb", "sim"],
-            )
-
-
 def _line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of all lines of a slice of texts that have a byte (a line feed counts), and the number of bytes."""
     breaks = np.flatnonzero(data == 10) + 1
@@ -145,51 +99,6 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.
             )
 
 
-def _first_shared(differing: np.ndarray, number: np.ndarray, masks: list[int]) -> np.ndarray:
-    """Whether a pair that differs in these bits shares no block of a smaller number: each pair is handled in one block only."""
-    first = np.ones(len(differing), bool)
-    for k, mask in enumerate(masks[:-1]):
-        first &= (number <= k) | ((differing & np.int64(mask - (mask >> 63 << 64))) != 0)
-    return first
-
-
-def _close(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block and tile (block, tile, node, sim): those with another row of their tile within RADIUS bits, in the pair's first block."""
-
-    def near(block, tile, sim):
-        starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (tile[1:] != tile[:-1]))))
-        size = np.diff(starts, append=len(block))
-        left = np.repeat(starts + size, size) - np.arange(len(block))  # rows from here to the end of the run
-        hit = np.zeros(len(block), bool)
-        rows, step = np.flatnonzero(left > 1), 1
-        while len(rows):
-            differing = sim[rows] ^ sim[rows + step]
-            within = np.bitwise_count(differing.view(np.uint64)) <= RADIUS
-            with_next = rows[within]
-            with_next = with_next[_first_shared(differing[within], block[with_next] >> BLOCK_BITS, masks)]
-            hit[with_next] = True
-            hit[with_next + step] = True
-            step += 1
-            rows = rows[left[rows] > step]
-        return hit
-
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now)]
-        # the last run may go on in the next batch
-        last = len(now[0]) - 1
-        whole = int(np.flatnonzero((now[0] != now[0][last]) | (now[1] != now[1][last]))[-1]) + 1 if len(now[0]) and ((now[0] != now[0][last]) | (now[1] != now[1][last])).any() else 0
-        kept = [x[whole:] for x in now]
-        if whole:
-            hit = near(now[0][:whole], now[1][:whole], now[3][:whole])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:whole][hit]) for x in now], names=batch.schema.names)
-    if kept is not None and len(kept[0]):
-        hit = near(kept[0], kept[1], kept[3])
-        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in kept], names=["block", "tile", "node", "sim"])
-
-
 def edit_distance_at_most(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is at most `most`: common ends are cut off, bounds are tried, then Myers' bit vectors in one integer."""
     if abs(len(a) - len(b)) > most:
@@ -240,26 +149,6 @@ def similar(a: str, b: str) -> bool:
     return edit_distance_at_most(a, b, int(longer * (1 - SIMILARITY) + 1e-9))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
-    """Forest edges between the lines of a tile: within RADIUS bits, in the pair's first block, and of enough edit similarity."""
-    left, right = [], []
-    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "sim", "form", "block"]):
-        sims, number = np.array([r[1] for r in run], np.int64), run[0][3] >> BLOCK_BITS
-        forest = shared.Forest(len(run))
-        for i in range(1, len(run)):
-            differing = sims[:i] ^ sims[i]
-            near = np.flatnonzero(np.bitwise_count(differing.view(np.uint64)) <= RADIUS)
-            for j in near[_first_shared(differing[near], np.full(len(near), number), masks)]:
-                if forest.root(i) != forest.root(int(j)) and similar(run[i][2], run[j][2]):
-                    forest.union(i, int(j))
-                    left.append(run[i][0])
-                    right.append(run[j][0])
-        if len(left) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-            left, right = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block and tile (block, tile, node): those whose tile has another row."""
     names = ["block", "tile", "node"]
@@ -278,48 +167,55 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
 
+def run_counts(form: str) -> np.ndarray:
+    """How often runs of two characters, and runs of three, fall into each of RUN_BUCKETS buckets."""
+    c = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    two = c[:-1] * 31 + c[1:]
+    three = two[:-1] * 31 + c[2:]
+    return np.concatenate([np.bincount(x % RUN_BUCKETS, minlength=RUN_BUCKETS) for x in (two, three)]).astype(np.int32)
+
+
+def may_be_similar(counts: np.ndarray, i: int, others: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether line i can be within `most` edits of each of the others: an edit changes at most two runs of two characters, and three of three, so it takes
+    away and adds that many at most. Never false for a pair within `most`."""
+    apart = np.abs(counts[others] - counts[i])
+    return (apart[:, :RUN_BUCKETS].sum(1) <= 4 * most) & (apart[:, RUN_BUCKETS:].sum(1) <= 6 * most)
+
+
+def links(forms: list[str]) -> Iterator[tuple[int, int]]:
+    """Edges of a forest that joins all lines which a chain of similar lines connects; forms ascend by length."""
+    counts, length = np.stack([run_counts(f) for f in forms]), np.array([len(f) for f in forms])
+    group, least = np.arange(len(forms)), 0
+    for i in range(1, len(forms)):
+        most = int(length[i] * (1 - SIMILARITY) + 1e-9)
+        while length[i] - length[least] > most:
+            least += 1
+        others = np.arange(least, i)
+        for part in range(0, len(others), PAIRS_AT_ONCE):
+            near = others[part : part + PAIRS_AT_ONCE]
+            near = near[may_be_similar(counts, i, near, most)][::-1]
+            while len(near):
+                near = near[group[near] != group[i]]
+                if len(near) and similar(forms[i], forms[near[0]]):
+                    yield i, int(near[0])
+                    group[group == group[near[0]]] = group[i]
+                near = near[1:]
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest edges between the lines of a tile of candidate keys that have enough edit similarity."""
     left, right = [], []
     for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form"]):
         run.sort(key=lambda r: (len(r[1]), r[0]))
-        forest = shared.Forest(len(run))
-        least = 0
-        for i in range(1, len(run)):
-            while len(run[i][1]) - len(run[least][1]) > int(len(run[i][1]) * (1 - SIMILARITY) + 1e-9):
-                least += 1
-            for j in range(i - 1, least - 1, -1):
-                if forest.root(i) != forest.root(j) and similar(run[i][1], run[j][1]):
-                    forest.union(i, j)
-                    left.append(run[i][0])
-                    right.append(run[j][0])
+        for i, j in links([r[1] for r in run]):
+            left.append(run[i][0])
+            right.append(run[j][0])
         if len(left) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
             left, right = [], []
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _pieces(count: int) -> list[tuple[int, int]]:
-    """(first bit, width) of so many pieces of 64 bits."""
-    edges = [64 * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def _blocks(lines: int) -> tuple:
-    """(array of block numbers of a SimHash (column sim), bit masks of the blocks) for so many distinct lines."""
-    agree = 1
-    while agree < 3 and lines / 2 ** (64 * agree // (RADIUS + agree)) > BLOCK_LINES:
-        agree += 1
-    blocks, masks = [], []
-    for k, chosen in enumerate(combinations(_pieces(RADIUS + agree), agree)):
-        block = F.lit(0).cast("long")
-        for first, width in chosen:
-            block = block * (1 << width) + F.shiftrightunsigned("sim", first).bitwiseAND(F.lit((1 << width) - 1))
-        blocks.append(block + (k << BLOCK_BITS))
-        masks.append(sum(((1 << width) - 1) << first for first, width in chosen))
-    return F.array(*blocks), masks
-
-
 #: A line's place in the corpus, in the order that decides which line of a group stays.
 _PLACE = ("doc_id IS NULL AS none", "doc_id", "text_hash", "line")
 
@@ -328,7 +224,7 @@ def _doc_key(doc_id: str = "doc_id", text_hash=None):
     return F.xxhash64(F.col(doc_id).isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text_hash") if text_hash is None else text_hash)
 
 
-def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame, form: Callable[[str], str]) -> DataFrame:
+def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame:
     """node, form: the forms of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
     wanted = close.select(F.col("node").alias("ha")).distinct()
     place = F.struct(*[F.expr(p) for p in _PLACE])
@@ -338,7 +234,7 @@ def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame, form: Callab
     by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
     forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
-    return forms.mapInPandas(lambda frames: _forms(frames, form), "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
+    return forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
 
 
 def _later_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -359,24 +255,8 @@ def _later_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line (from 0) of every line that repeats an earlier one, exactly or nearly."""
-    n = shared.shuffle_partitions(docs.sparkSession)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    lines = shared.checkpointed(texts.mapInArrow(_line_rows, "doc_id long, text_hash long, line int, ha long, hb long, sim long"))
-    nodes = shared.checkpointed(lines.groupBy(F.col("ha").alias("node")).agg(F.min("sim").alias("sim")))
-    blocks, masks = _blocks(nodes.count())
-    keyed = nodes.select(F.explode(blocks).alias("block"), "node", "sim")
-    tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node", "sim").repartition(n, "block", "tile")
-    close = tiles.sortWithinPartitions("block", "tile").mapInArrow(lambda rows: _close(rows, masks), "block long, tile int, node long, sim long")
-    close = shared.checkpointed(close)
-    ready = close.join(_texts_of(texts, lines, close, normal_form), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile", "node")
-    edges = ready.select("block", "tile", "node", "sim", "form").mapInArrow(lambda rows: _verified(rows, masks), "a long, b long")
-    return _later_lines(lines, edges)
-
-
-def _whole_repeats(docs: DataFrame) -> DataFrame:
-    """As _repeats, with line_keys for the candidates: a pair that shares any key is verified, whatever its SimHash. Lines are told apart and compared by
-    their real form; the normal form only makes candidates."""
+    """doc_id, text_hash, line (from 0) of every line that repeats an earlier one, exactly or nearly. Lines are told apart and compared by their real form;
+    the normal form only makes candidates."""
     n = shared.shuffle_partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     lines = shared.checkpointed(texts.mapInArrow(lambda rows: _hashed_lines(rows, False), "doc_id long, text_hash long, line int, ha long, hb long"))
@@ -385,16 +265,16 @@ def _whole_repeats(docs: DataFrame) -> DataFrame:
     keyed = nodes.select(F.explode(F.array_distinct(F.array(*line_keys.NAMES))).alias("block"), "node")
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node").repartition(n, "block", "tile")
     close = shared.checkpointed(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long"))
-    ready = close.join(_texts_of(texts, lines, close, real_form), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
+    ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
     return _later_lines(lines, ready.select("block", "tile", "node", "form").mapInArrow(_linked, "a long, b long"))
 
 
-def _forms(frames: Iterator[pd.DataFrame], form: Callable[[str], str]) -> Iterator[pd.DataFrame]:
+def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for text, want in zip(frame["text"], frame["want"]):
             lines = text.split("\n")
-            out += [(w["ha"], form(lines[w["line"]])) for w in want]
+            out += [(w["ha"], real_form(lines[w["line"]])) for w in want]
         yield pd.DataFrame(out, columns=["node", "form"])
 
 
@@ -412,7 +292,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=[str(i) for i in range(len(arrays))])
 
 
-def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """docs with repeated lines taken out of text and, with counts, n_lines and n_removed (lines before, lines taken out; they replace columns of
     these names).
 
@@ -420,14 +300,13 @@ def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> Da
     and all rows stay. A NULL text stays NULL with 0 lines; an empty text has one line. A row that repeats another row's doc_id and text counts as
     the same place, so both keep the same lines. Texts of any length take part whole; a text may become empty.
 
-    whole: as the query and the pipeline have it. Equal lines of any length go, blank ones stay; lines of MIN_WORDS words or more (a character of a script
-    of three-byte characters counts as one) are compared with their digits and marks where they share a key. Without it only lines of MIN_WORDS words
-    within RADIUS bits of SimHash take part, by normal forms.
+    Equal lines of any length go, blank ones stay; lines of MIN_WORDS words or more (a character of a script of three-byte characters counts as one) are
+    compared with their digits and marks where they share a key.
     """
     if counts:
         docs = docs.drop("n_lines", "n_removed")
     drop, own_key, held, key, i, h = shared.own_names(docs, "drop", "own_key", "held", "key", "i", "h")
-    gone = (_whole_repeats if whole else _repeats)(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(drop))  # at most the lines of one text
+    gone = _repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(drop))  # at most the lines of one text
     gone = shared.checkpointed(gone.select(drop, _doc_key().alias(key), F.col("doc_id").alias(i), F.col("text_hash").alias(h)))
     others = [c for c in docs.columns if c != "text"]
     cols = [*[F.col(f"`{c}`") for c in others], "text"]
@@ -443,5 +322,5 @@ def dedup_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> Da
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    kept = dedup_lines(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridtide.llm import op01_topk, op02_lines, op03_simhash, shared
+from gridtide.llm import line_keys, op01_topk, op02_lines, op03_simhash, shared
 
 
 def brute_top(vectors, queries, k):
@@ -122,19 +122,21 @@ def test_edit_distance(a, b, most):
 
 
 def brute_lines(docs):
-    """(doc_id, text without repeats): lines within the SimHash radius and the edit similarity are linked, each group keeps its first line."""
+    """(doc_id, text without repeats): of all pairs of lines those that share a key and are similar are linked, each group keeps its first line."""
     found = []
     for doc_id, text in docs:
         for n, line in enumerate(text.split("\n")):
-            form = op02_lines.normal_form(line)
-            if len(form.split()) >= op02_lines.MIN_WORDS:
-                h, _ = shared.hashed_words(np.frombuffer(form.encode(), np.uint8), np.array([0, len(form.encode())]), op02_lines._WORDS)
-                sim = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
-                found.append((doc_id, n, form, sim))
+            real, data = op02_lines.real_form(line), np.frombuffer((op02_lines.normal_form(line) + "\n").encode(), np.uint8)
+            words, _ = shared.hashed_words(data, np.array([0, len(data)]), op02_lines._WORDS, op02_lines._WIDE)
+            keys = set()
+            if len(words) >= op02_lines.MIN_WORDS:
+                keys = set(line_keys.keys_of(data, np.array([0, len(data)]), np.array([0]), words, np.array([0]), np.array([len(words)]))[0].tolist())
+            if real:
+                found.append((doc_id, n, real, keys))
     forest = shared.Forest(len(found))
     for i, j in itertools.combinations(range(len(found)), 2):
         a, b = found[i], found[j]
-        if a[2] == b[2] or ((a[3] ^ b[3]).bit_count() <= op02_lines.RADIUS and op02_lines.similar(a[2], b[2])):
+        if a[2] == b[2] or (a[3] & b[3] and op02_lines.similar(a[2], b[2])):
             forest.union(i, j)
     order = sorted(range(len(found)), key=lambda i: found[i][:2])
     seen, gone = set(), set()
@@ -145,10 +147,9 @@ def brute_lines(docs):
     return {(d, "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in docs}, len(gone)
 
 
-@pytest.mark.parametrize("block_lines", [64, 1e-5, 1e-9])
-def test_line_dedup_matches_brute_force(spark, monkeypatch, block_lines):
-    monkeypatch.setattr(op02_lines, "TILE_LIMIT", 12)
-    monkeypatch.setattr(op02_lines, "BLOCK_LINES", block_lines)
+@pytest.mark.parametrize("tile", [500, 12])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(op02_lines, "TILE_LIMIT", tile)
     rng = random.Random(9)
     words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "ember", "north", "south", "ü1"]
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)]
@@ -159,7 +160,7 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, block_lines):
             w = rng.choice(lines).split()
             for _ in range(rng.randint(0, 2)):
                 w[rng.randrange(len(w))] = rng.choice(words)
-            mine.append(rng.choice([" ".join(w), " ".join(w).upper() + "!", ""]))
+            mine.append(rng.choice([" ".join(w), " ".join(w).upper() + " !", ""]))
         docs.append((i, "\n".join(mine)))
     want, gone = brute_lines(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
@@ -168,6 +169,33 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, block_lines):
     assert sum(r["n_removed"] for r in got) == gone
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcé ", max_size=60), st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["", "x", "ab"])), max_size=6))
+def test_the_count_filter_never_puts_a_similar_pair_aside(a, edits):
+    b = a
+    for at, new in edits:
+        b = b[:at] + new + b[at + 1 :]
+    counts = np.stack([op02_lines.run_counts(x) for x in (a, b)])
+    most = next(k for k in range(100) if op02_lines.edit_distance_at_most(a, b, k))
+    assert op02_lines.may_be_similar(counts, 0, np.array([1]), most).all()
+
+
+def test_lines_within_the_simhash_radius_share_a_piece():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    for bits in range(line_keys.PIECES):
+        b = a.copy()
+        for i in range(len(a)):
+            for bit in rng.choice(64, bits, replace=False):
+                b[i] ^= np.uint64(1) << np.uint64(bit)
+        assert (line_keys.piece_keys(a) == line_keys.piece_keys(b)).any(1).all()
+    words = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    begins = np.array([0, 5, 6, 100])
+    for i, (x, y) in enumerate(zip(begins, [*begins[1:], 300])):
+        own = [int(w) for w in words[x:y]]
+        assert int(line_keys.sim_hashes(words, begins)[i]) == sum(1 << k for k in range(64) if 2 * sum(w >> k & 1 for w in own) > len(own))
+
+
 def test_line_dedup_edge_rows(docs, no_docs):
     got = op02_lines.dedup_lines(docs)
     rows = {r["doc_id"]: r for r in got.collect() if r["doc_id"] is not None}
@@ -204,7 +232,7 @@ def test_lines_one_word_apart_are_all_found(spark):
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
     pairs = [p for p in near_pairs(rng, words, [n for n in (5, 6, 7, 9, 12, 15, 19, 25, 33, 39, 45, 59, 80) for _ in range(12)]) if op02_lines.similar(p[1], p[2])]
     docs = [(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)]
-    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     missed = [p[0] for i, p in enumerate(pairs) if got[2 * i + 1]]
     assert len(pairs) > 400 and missed == []
     assert all(got[2 * i] for i in range(len(pairs)))
@@ -216,14 +244,14 @@ def test_whole_line_dedup_keeps_only_the_first_of_linked_lines(spark, monkeypatc
     base = "one two three four five six seven eight nine ten".split()
     lines = [" ".join([*base[:5], f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", *base[5:]]) for i in range(60)]
     docs = spark.createDataFrame([(i, f"{x}\n{'qrstu'[i % 5] * 9} own line of {'vwxyz'[i // 12] * 9} alone here") for i, x in enumerate(lines)], "doc_id long, text string")
-    got = op02_lines.dedup_lines(docs, whole=True).collect()
+    got = op02_lines.dedup_lines(docs).collect()
     assert sum(lines[r["doc_id"]] in r["text"] for r in got) == 1
 
 
 def test_lines_that_differ_in_digits_stay(spark):
     texts = ["12 34 56 78 90\n-- ++ a b c d e", "98 76 54 32 10", "12 34 56 78 90\n[#] !! <a> (b) {c} *d* /e/", "12  34 56 78 90\n12 34 56 78 91", "A b C d E f G 1", "a b c d e f g 2"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs, whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs).collect()}
     assert got == {0: texts[0], 1: texts[1], 2: texts[2].split("\n")[1], 3: "", 4: texts[4], 5: ""}
 
 
@@ -231,5 +259,5 @@ def test_short_lines_and_scripts_without_spaces_are_deduplicated(spark):
     han = "今天天气很好我们一起去公园散步看花吧然后回家吃饭"
     texts = [f"Menu\n{han}。\n\n***\nhome", f"menu\n{han}。\n \n***\nhom", han.replace("公", "花"), f"own line\n{han}！", "Menu 2\nMenu 3"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs, whole=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in op02_lines.dedup_lines(docs).collect()}
     assert got == {0: texts[0], 1: " \nhom", 2: "", 3: "own line", 4: texts[4]}
