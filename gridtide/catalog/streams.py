@@ -48,9 +48,8 @@ def stream_tumbling_15min(spark, d):
 
 @query(
     "stream_sliding_stats", text="point", times="t", ints="n", nums="mean std max",
-    sql=f"""SELECT point, s + to_minutes(15 * i) AS t, sum(n) AS n, sum(sm) / sum(n) AS mean, sqrt(greatest((sum(q) - sum(sm) * sum(sm) / sum(n)) / nullif(sum(n) - 1, 0), 0)) AS std,
-      max(m) AS max FROM (SELECT point, time_bucket(INTERVAL '15 minutes', ts) AS s, count(*) AS n, sum(price * {UNIT}) AS sm, sum(price * {UNIT} * price * {UNIT}) AS q,
-      max(price * {UNIT}) AS m FROM b_ev GROUP BY 1, 2), range(1, 97) AS r(i) GROUP BY 1, 2 HAVING s + to_minutes(15 * i) <= {CLOSED}""",
+    sql=f"""SELECT point, time_bucket(INTERVAL '15 minutes', ts) + to_minutes(15 * i) AS t, count(*) AS n, avg(price * {UNIT}) AS mean, stddev_samp(price * {UNIT}) AS std,
+      max(price * {UNIT}) AS max FROM b_ev, range(1, 97) AS r(i) GROUP BY 1, 2 HAVING time_bucket(INTERVAL '15 minutes', min(ts)) IS NOT NULL AND t <= {CLOSED}""",
 )
 def stream_sliding_stats(spark, d):
     return jobs.drain(jobs.sliding_stats(feed(spark, d).withColumn("price", F.col("price") * UNIT), "point", "ts", "price"))

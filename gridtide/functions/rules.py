@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fill import with_one_row
 from .frames import clamp, flag
 
 # Raw fuel name -> coarse group, and -> expanded group.
@@ -178,25 +179,33 @@ def clean_market_keys(df: DataFrame, points: list[str], hour="hour", repeated="r
     )
 
 
-def region_assign(points: DataFrame, boxes: DataFrame, lat: str, lon: str, whole: str = "all") -> DataFrame:
+def _folded(lon: Column) -> Column:
+    """Longitudes of 0 to 360 as -180 to 180."""
+    return F.when(lon > 180, lon - 360).otherwise(lon)
+
+
+def region_assign(points: DataFrame, boxes: DataFrame, lat: str, lon: str, whole: str = "all", cell: float = 1.0) -> DataFrame:
     """Every box a point falls in (boxes may overlap) plus the whole-area row.
 
-    Longitudes in 0-360 are folded.  ``boxes`` is a definition table of regions,
-    so its size does not follow the data; it carries region, lat_min, lat_max,
-    lon_min, lon_max, weight.
+    ``boxes`` carries region, lat_min, lat_max, lon_min, lon_max, weight. Longitudes of points and boxes may be 0 to 360; a box whose folded west edge lies
+    east of its east edge goes over the date line and is taken as its two halves. Points and boxes meet by an equi join on grid cells of ``cell``
+    degrees: a box stands in each cell that it touches, a point in one. The exact test follows, so boxes may be as many as points. The whole area
+    is the span of all (folded) edges, one row. Points without a position fall in no box.
     """
-    folded = F.when(F.col(lon) > 180, F.col(lon) - 360).otherwise(F.col(lon))
-    area = boxes.agg(
-        F.lit(whole).alias("region"), F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"),
-        F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max"), F.lit(1.0).alias("weight"),
-    )
-    both = boxes.select(area.columns).unionByName(area)
-    pts = points.withColumn("_lon", folded)
-    inside = (
-        (F.col(lat) >= F.col("lat_min")) & (F.col(lat) <= F.col("lat_max"))
-        & (F.col("_lon") >= F.col("lon_min")) & (F.col("_lon") <= F.col("lon_max"))
-    )
-    return pts.join(both, inside).drop("_lon", "lat_min", "lat_max", "lon_min", "lon_max")
+    west, east = _folded(F.col("lon_min")), _folded(F.col("lon_max"))
+    parts = F.when(west > east, F.array(F.struct(west.alias("_w"), F.lit(180.0).alias("_e")), F.struct(F.lit(-180.0).alias("_w"), east.alias("_e")))).otherwise(
+        F.array(F.struct(west.alias("_w"), east.alias("_e")))
+    )
+    at = lambda c: F.floor(c / F.lit(cell)).cast("long")
+    split = boxes.select("region", "weight", F.col("lat_min").alias("_s"), F.col("lat_max").alias("_n"), F.inline(parts)).filter("_s <= _n AND _w <= _e")
+    placed = split.withColumn("_cy", F.explode(F.sequence(at(F.col("_s")), at(F.col("_n"))))).withColumn("_cx", F.explode(F.sequence(at(F.col("_w")), at(F.col("_e")))))
+    y, x = F.col(lat).cast("double"), _folded(F.col(lon).cast("double"))
+    pts = points.withColumns({"_y": y, "_x": x}).filter("_y IS NOT NULL AND _x IS NOT NULL AND NOT isnan(_y) AND NOT isnan(_x)")
+    celled = pts.withColumns({"_cy": at(F.col("_y")), "_cx": at(F.col("_x"))})
+    inside = celled.join(placed, ["_cy", "_cx"]).filter("_y BETWEEN _s AND _n AND _x BETWEEN _w AND _e").select(*points.columns, "region", "weight")
+    area = split.agg(F.min("_s").alias("_s"), F.max("_n").alias("_n"), F.min("_w").alias("_w"), F.max("_e").alias("_e"))
+    covered = with_one_row(pts, area).filter("_y BETWEEN _s AND _n AND _x BETWEEN _w AND _e")
+    return inside.unionByName(covered.select(*points.columns, F.lit(whole).alias("region"), F.lit(1.0).alias("weight")))
 
 
 def narrow_types(df: DataFrame, dates=(), flags=(), measures=()) -> DataFrame:
