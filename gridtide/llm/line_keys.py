@@ -1,7 +1,7 @@
 """Candidate pairs of near-equal lines: keys that two lines share although some of their words differ.
 
-PIECES: the 64-bit SimHash of a line's words is cut into PIECES pieces. Two lines whose SimHashes differ in fewer bits than there are pieces share one (the
-pigeonhole principle), and each piece is a key.
+PIECES: the 64-bit SimHash of a line's words is cut into PIECES pieces, and each two of them are a block of 42 bits or more, so that a block stays small
+however many lines there are. Two lines whose SimHashes differ in PIECES - 2 bits at most share a block (the pigeonhole principle).
 HALVES: SimHash moves much in short lines, so hashes of a line's first and of its last words are keys too, half of them each, in the sizes floor(n / 2) and
 floor((n - 1) / 2). Two lines that differ in one word (changed, put in or taken out) share at least one, whatever their length: no such pair is missed.
 BANDS: pairs of minima (MinHash) over runs of SHINGLE words, for lines that differ in more words. CHARACTER_BANDS: the same over runs of GRAM bytes, for
@@ -10,6 +10,8 @@ lines that differ in characters of many words. The chance to share one falls wit
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 
 from . import shared
@@ -20,7 +22,7 @@ BANDS = 2
 SHINGLE = 3
 CHARACTER_BANDS = 5
 GRAM = 10
-NAMES = [f"k{i}" for i in range(HALVES + BANDS + CHARACTER_BANDS + PIECES)]
+NAMES = [f"k{i}" for i in range(HALVES + BANDS + CHARACTER_BANDS + PIECES * (PIECES - 1) // 2)]
 #: Words whose bits are voted on at once.
 VOTES_AT_ONCE = 1 << 16
 
@@ -52,15 +54,24 @@ def line_keys(words: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.nd
     return keys
 
 
+def run_sums(data: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the `size` bytes from each place on, each times its power, from sums of 1, 2, 4, ... bytes; past the end stands 0."""
+    part, wide, done, have = data.astype(np.uint64) + np.uint64(1), 1, np.zeros(len(data), np.uint64), 0
+    while wide <= size:
+        if size & wide:
+            done[: len(data) - have] += part[have:] * _POWERS[have]
+            have += wide
+        longer = part.copy()
+        longer[:-wide] += part[wide:] * _POWERS[wide]
+        part, wide = longer, 2 * wide
+    return done
+
+
 def character_keys(data: np.ndarray, begins: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Keys of lines by their bytes (first byte and number of bytes; the first bytes ascend, and a line ends before the next begins): pairs of minima
     over runs of GRAM bytes. Lines of fewer bytes have no run and equal keys."""
     keys = np.zeros((len(begins), CHARACTER_BANDS), np.uint64)
-    runs = np.zeros(len(data), np.uint64)
-    wide = data.astype(np.uint64) + np.uint64(1)
-    for n in range(min(GRAM, len(data))):
-        runs[: len(data) - n] += wide[n:] * _POWERS[n]
-    runs = shared.mixed(runs)
+    runs = shared.mixed(run_sums(data, GRAM))
     ends = np.repeat(begins + length, np.diff(begins, append=len(data)))
     runs[ends - np.arange(begins[0], len(data)) < GRAM] = ~np.uint64(0)  # runs over a line's end
     for b in range(CHARACTER_BANDS):
@@ -84,10 +95,11 @@ def sim_hashes(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def piece_keys(sims: np.ndarray) -> np.ndarray:
-    """The pieces of SimHashes, each a key of its own kind."""
+    """The blocks of SimHashes, each a key of its own kind: all pieces but PIECES - 2."""
     edges = [64 * i // PIECES for i in range(PIECES + 1)]
-    parts = [(sims >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
-    return np.stack([shared.mixed(p ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i, p in enumerate(parts)], 1)
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    kept = [np.uint64(x | y) for x, y in combinations(masks, 2)]
+    return np.stack([shared.mixed((sims & mask) ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i, mask in enumerate(kept)], 1)
 
 
 def line_hashes(words: np.ndarray, begins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,3 +118,13 @@ def keys_of(data: np.ndarray, bounds: np.ndarray, lines: np.ndarray, words: np.n
     short = length[lines] < GRAM
     bytewise[short] = own[short, :1]
     return np.hstack((own, bytewise, piece_keys(sim_hashes(words, begins))))
+
+
+def keys_of_forms(forms: list[str], classes: np.ndarray, wide: int) -> np.ndarray:
+    """All keys of lines given by their normal forms, each of two words or more, and as last column their SimHash."""
+    data = np.frombuffer("".join(f"{f}\n" for f in forms).encode(), np.uint8)
+    bounds = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(data == 10) + 1))
+    words, starts = shared.hashed_words(data, bounds, classes, wide)
+    count = np.bincount(shared.per_row(bounds, starts), minlength=len(forms))
+    begins = np.cumsum(count) - count
+    return np.column_stack((keys_of(data, bounds, np.arange(len(forms)), words, begins, count), sim_hashes(words, begins)))

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,11 @@ from . import line_keys, shared
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
+#: Pairs of lines of LONG characters or more are compared if their SimHashes differ in RADIUS bits at most; the edit distance of shorter ones is cheap.
+RADIUS, LONG = 20, 80
 TILE_LIMIT = 500
-#: Buckets that runs of characters are counted in, and pairs whose counts are compared at once.
-RUN_BUCKETS, PAIRS_AT_ONCE = 128, 1024
+#: Buckets that runs of characters are counted in; lines of tiles that are taken together, and pairs whose counts are compared at once.
+RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE = 128, 4096, 8192
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -144,9 +147,40 @@ def edit_distance_at_most(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Words left out on either side where two lines are brought together again, in the order of trial.
+_STEPS = ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0))
+
+
+def _replacing(a: list[str], b: list[str]) -> int:
+    """Edits that turn words a into words b: letter by letter where their numbers agree, else out and in."""
+    if len(a) != len(b):
+        return sum(len(w) + 1 for w in a) + sum(len(w) + 1 for w in b)
+    return sum(sum(map(ne, x, y)) if len(x) == len(y) else max(len(x), len(y)) for x, y in zip(a, b))
+
+
+def surely_within(a: str, b: str, most: int) -> bool:
+    """True only if an edit script of `most` edits at most is found by going along the words of both lines; cheap for lines that mostly agree."""
+    x, y, i, j, edits = a.split(" "), b.split(" "), 0, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        edits += _replacing(x[i : i + p], y[j : j + q])
+        if edits > most:
+            return False
+        i, j = i + p, j + q
+    return edits + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:]) <= most
+
+
 def similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
-    return edit_distance_at_most(a, b, int(longer * (1 - SIMILARITY) + 1e-9))
+    most = int(longer * (1 - SIMILARITY) + 1e-9)
+    return abs(len(a) - len(b)) <= most and (surely_within(a, b, most) or edit_distance_at_most(a, b, most))
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,53 +201,82 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
 
-def run_counts(form: str) -> np.ndarray:
-    """How often runs of two characters, and runs of three, fall into each of RUN_BUCKETS buckets."""
-    c = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    two = c[:-1] * 31 + c[1:]
-    three = two[:-1] * 31 + c[2:]
-    return np.concatenate([np.bincount(x % RUN_BUCKETS, minlength=RUN_BUCKETS) for x in (two, three)]).astype(np.int32)
+def run_counts(forms: list[str]) -> np.ndarray:
+    """For each line how often its runs of two characters, and those of three, fall into each of RUN_BUCKETS buckets."""
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    line = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    parts, runs = [], c
+    for size in (2, 3):
+        runs = runs[:-1] * 31 + c[size - 1 :]
+        inside = line[: len(runs)] == line[size - 1 :]
+        place = line[: len(runs)][inside] * RUN_BUCKETS + runs[inside] % RUN_BUCKETS
+        parts.append(np.bincount(place, minlength=len(forms) * RUN_BUCKETS).reshape(len(forms), RUN_BUCKETS))
+    return np.hstack(parts).astype(np.int32)
 
 
-def may_be_similar(counts: np.ndarray, i: int, others: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether line i can be within `most` edits of each of the others: an edit changes at most two runs of two characters, and three of three, so it takes
-    away and adds that many at most. Never false for a pair within `most`."""
-    apart = np.abs(counts[others] - counts[i])
+def may_be_similar(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether lines i can be within `most` edits of lines j: an edit changes at most two runs of two characters, and three of three, so it takes away
+    and adds that many at most. Never false for a pair within `most`."""
+    apart = np.abs(counts[i] - counts[j])
     return (apart[:, :RUN_BUCKETS].sum(1) <= 4 * most) & (apart[:, RUN_BUCKETS:].sum(1) <= 6 * most)
 
 
-def links(forms: list[str]) -> Iterator[tuple[int, int]]:
-    """Edges of a forest that joins all lines which a chain of similar lines connects; forms ascend by length."""
-    counts, length = np.stack([run_counts(f) for f in forms]), np.array([len(f) for f in forms])
-    group, least = np.arange(len(forms)), 0
-    for i in range(1, len(forms)):
-        most = int(length[i] * (1 - SIMILARITY) + 1e-9)
-        while length[i] - length[least] > most:
-            least += 1
-        others = np.arange(least, i)
-        for part in range(0, len(others), PAIRS_AT_ONCE):
-            near = others[part : part + PAIRS_AT_ONCE]
-            near = near[may_be_similar(counts, i, near, most)][::-1]
-            while len(near):
-                near = near[group[near] != group[i]]
-                if len(near) and similar(forms[i], forms[near[0]]):
-                    yield i, int(near[0])
-                    group[group == group[near[0]]] = group[i]
-                near = near[1:]
+def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of forests that join all lines of a run which a chain of similar lines connects. Lines follow one another by run, then length.
+
+    Lines that share several keys meet in each of their blocks, and are compared in that of the smallest key that they share. Pairs of long lines
+    must be within RADIUS bits of SimHash. Pairs of many runs are filtered together, PAIRS_AT_ONCE at a time; the forest then takes those that are left.
+    keys: those of each line, and its SimHash as last column.
+    """
+    sims, keys = np.ascontiguousarray(keys[:, -1]).view(np.uint64), keys[:, :-1]
+    counts, length = run_counts(forms), np.array([len(f) for f in forms])
+    most = (length * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    first = np.searchsorted(runs, runs, "left")
+    # the first line of the run that is long enough for this one: lengths ascend within a run
+    offset = runs.astype(np.int64) * (int(length.max()) + 1)
+    least = np.maximum(first, np.searchsorted(offset + length, offset + length - most, "left"))
+    before = np.arange(len(forms)) - least
+    forest = shared.Forest(len(forms))
+    ends = np.cumsum(before)
+    at = 0
+    while at < len(forms):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        own = np.arange(at, last)
+        i = np.repeat(own, before[own])
+        j = i - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(before[own]) - before[own], before[own]))
+        near = np.zeros(len(i), bool)
+        if len(i):
+            same = keys[i] == keys[j]
+            here = np.where(same, keys[i], np.iinfo(np.int64).max).min(1) == block[i]
+            here &= (length[j] < LONG) | (np.bitwise_count(sims[i] ^ sims[j]) <= RADIUS)
+            near[here] = may_be_similar(counts, i[here], j[here], most[i[here]])
+        for a, b in zip(i[near].tolist(), j[near].tolist()):
+            if forest.root(a) != forest.root(b) and similar(forms[a], forms[b]):
+                forest.union(a, b)
+                yield a, b
+        at = last
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest edges between the lines of a tile of candidate keys that have enough edit similarity."""
-    left, right = [], []
-    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form"]):
-        run.sort(key=lambda r: (len(r[1]), r[0]))
-        for i, j in links([r[1] for r in run]):
-            left.append(run[i][0])
-            right.append(run[j][0])
-        if len(left) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-            left, right = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    def edges(group: list[list[tuple]]) -> pa.RecordBatch:
+        rows = [r for run in group for r in sorted(run, key=lambda r: (len(r[1]), r[0]))]
+        keys = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(len(rows), -1)
+        runs = np.repeat(np.arange(len(group)), [len(run) for run in group])
+        found = list(links([r[1] for r in rows], runs, keys, np.array([r[3] for r in rows], np.int64)))
+        left, right = ([rows[x][0] for x in side] for side in (zip(*found) if found else ([], [])))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    group, size = [], 0
+    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form", "keys", "block"]):
+        group.append(run)
+        size += len(run)
+        if size >= LINES_AT_ONCE:
+            yield edges(group)
+            group, size = [], 0
+    if group:
+        yield edges(group)
 
 
 #: A line's place in the corpus, in the order that decides which line of a group stays.
@@ -225,7 +288,7 @@ def _doc_key(doc_id: str = "doc_id", text_hash=None):
 
 
 def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame:
-    """node, form: the forms of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
+    """node, form, keys: the forms and keys of candidate lines, each from the first text that has it. Texts that certainly hold none are not shuffled."""
     wanted = close.select(F.col("node").alias("ha")).distinct()
     place = F.struct(*[F.expr(p) for p in _PLACE])
     maybe = shared.may_hold(lines, F.col("ha"), shared.key_filter(wanted, "ha"), "held").where("held")
@@ -234,7 +297,7 @@ def _texts_of(texts: DataFrame, lines: DataFrame, close: DataFrame) -> DataFrame
     by_text = shared.checkpointed(by_text.select("want", _doc_key(text_hash=F.col("text_hash")).alias("key"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     held = shared.may_hold(texts.withColumn("key", _doc_key()), F.col("key"), shared.key_filter(by_text, "key"), "held").where("held")
     forms = held.join(by_text, "key").where("doc_id <=> i AND text_hash = h").select("text", "want")
-    return forms.mapInPandas(_forms, "node long, form string").groupBy("node").agg(F.min("form").alias("form"))
+    return forms.mapInPandas(_forms, "node long, form string, keys binary").groupBy("node").agg(F.min(F.struct("form", "keys")).alias("r")).select("node", "r.*")
 
 
 def _later_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -266,16 +329,21 @@ def _repeats(docs: DataFrame) -> DataFrame:
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node").repartition(n, "block", "tile")
     close = shared.checkpointed(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long"))
     ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
-    return _later_lines(lines, ready.select("block", "tile", "node", "form").mapInArrow(_linked, "a long, b long"))
+    return _later_lines(lines, ready.select("block", "tile", "node", "form", "keys").mapInArrow(_linked, "a long, b long"))
 
 
 def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
+        nodes, forms, plain = [], [], []
         for text, want in zip(frame["text"], frame["want"]):
             lines = text.split("\n")
-            out += [(w["ha"], real_form(lines[w["line"]])) for w in want]
-        yield pd.DataFrame(out, columns=["node", "form"])
+            for w in want:
+                nodes.append(w["ha"])
+                forms.append(real_form(lines[w["line"]]))
+                plain.append(lines[w["line"]])
+        if nodes:
+            keys = line_keys.keys_of_forms([normal_form(x) for x in plain], _WORDS, _WIDE).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "form": forms, "keys": [k.tobytes() for k in keys]})
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,7 @@ def test_edit_distance(a, b, most):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     assert op02_lines.edit_distance_at_most(a, b, most) == (row[-1] <= most)
+    assert row[-1] <= most or not op02_lines.surely_within(a, b, most)
 
 
 def brute_lines(docs):
@@ -128,15 +129,17 @@ def brute_lines(docs):
         for n, line in enumerate(text.split("\n")):
             real, data = op02_lines.real_form(line), np.frombuffer((op02_lines.normal_form(line) + "\n").encode(), np.uint8)
             words, _ = shared.hashed_words(data, np.array([0, len(data)]), op02_lines._WORDS, op02_lines._WIDE)
-            keys = set()
+            keys, sim = set(), 0
             if len(words) >= op02_lines.MIN_WORDS:
                 keys = set(line_keys.keys_of(data, np.array([0, len(data)]), np.array([0]), words, np.array([0]), np.array([len(words)]))[0].tolist())
+                sim = int(line_keys.sim_hashes(words, np.array([0]))[0])
             if real:
-                found.append((doc_id, n, real, keys))
+                found.append((doc_id, n, real, keys, sim))
     forest = shared.Forest(len(found))
     for i, j in itertools.combinations(range(len(found)), 2):
         a, b = found[i], found[j]
-        if a[2] == b[2] or (a[3] & b[3] and op02_lines.similar(a[2], b[2])):
+        near = min(len(a[2]), len(b[2])) < op02_lines.LONG or (a[4] ^ b[4]).bit_count() <= op02_lines.RADIUS
+        if a[2] == b[2] or (a[3] & b[3] and near and op02_lines.similar(a[2], b[2])):
             forest.union(i, j)
     order = sorted(range(len(found)), key=lambda i: found[i][:2])
     seen, gone = set(), set()
@@ -175,15 +178,15 @@ def test_the_count_filter_never_puts_a_similar_pair_aside(a, edits):
     b = a
     for at, new in edits:
         b = b[:at] + new + b[at + 1 :]
-    counts = np.stack([op02_lines.run_counts(x) for x in (a, b)])
+    counts = op02_lines.run_counts([a, "other", b])
     most = next(k for k in range(100) if op02_lines.edit_distance_at_most(a, b, k))
-    assert op02_lines.may_be_similar(counts, 0, np.array([1]), most).all()
+    assert op02_lines.may_be_similar(counts, np.array([0]), np.array([2]), np.array([most])).all()
 
 
 def test_lines_within_the_simhash_radius_share_a_piece():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
-    for bits in range(line_keys.PIECES):
+    for bits in range(line_keys.PIECES - 1):
         b = a.copy()
         for i in range(len(a)):
             for bit in rng.choice(64, bits, replace=False):
