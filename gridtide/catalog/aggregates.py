@@ -8,7 +8,7 @@ from ..functions import calendar as cal
 from ..functions import rules
 from ..operators import aggregate as agg
 from ..operators import align, audit, dedup, ranked
-from . import base
+from . import base, models
 from .alignment import POINTS, RES15, r2, reserves_15min
 from .ingest import HISTORY, market_history
 from .registry import query
@@ -354,12 +354,11 @@ def alerts_ranked(spark, d):
 
 @query(
     "top_drivers", text="point feature", ints="rank", nums="gain",
-    sql="""SELECT point, feature, gain, row_number() OVER (PARTITION BY point ORDER BY gain DESC, feature) AS rank FROM (SELECT point,
-      'u' || CAST(user_id AS VARCHAR) AS feature, sum(price) AS gain FROM b_ev GROUP BY 1, 2) QUALIFY rank <= 10""",
-)
+    sql=f"""SELECT point, feature, gain, row_number() OVER (PARTITION BY point ORDER BY gain DESC, feature) AS rank FROM ({models.GAINS}) WHERE horizon = 1 QUALIFY rank <= 5""",
+)
 def top_drivers(spark, d):
-    gains = base.b_ev(spark, d).groupBy("point", F.concat(F.lit("u"), "user_id").alias("feature")).agg(F.sum("price").alias("gain"))
-    return ranked.top_per_key(gains, ["point"], [F.desc("gain"), F.col("feature")], 10)
+    """The features that weigh most in each point's fitted model of the next hour."""
+    return ranked.top_per_key(models.gains(spark, d).filter("horizon = 1"), ["point"], [F.desc("gain"), F.col("feature")], 5)
 
 
 @query("latest_row", text="point", ints="event_id", nums="price", times="ts",

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions import rules
 from ..functions.frames import series
 from ..operators import backtest, dispatch, metrics
-from . import base
+from . import base, models
 from .registry import query
 
 ERR = "avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse"
@@ -314,12 +314,11 @@ def ensemble_inverse_error(spark, d):
 
 @query(
     "importance_rollup", text="feature", nums="mean_gain",
-    sql="""SELECT feature, avg(gain) AS mean_gain FROM (SELECT point, 'u' || CAST(user_id AS VARCHAR) AS feature, sum(price) AS gain FROM b_ev GROUP BY 1, 2)
-      GROUP BY 1 ORDER BY mean_gain DESC, feature LIMIT 10""",
-)
+    sql=f"SELECT feature, avg(gain) AS mean_gain FROM ({models.GAINS}) GROUP BY 1 ORDER BY mean_gain DESC, feature LIMIT 10",
+)
 def importance_rollup(spark, d):
-    g = base.b_ev(spark, d).groupBy("point", F.concat(F.lit("u"), "user_id").alias("feature")).agg(F.sum("price").alias("gain"))
-    return metrics.importance_rollup(g, "feature", "gain")
+    """Features by their mean weight over the fitted models of all points and horizons."""
+    return metrics.importance_rollup(models.gains(spark, d), "feature", "gain")
 
 
 @query(

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators.fill import with_one_row
 from ..plans import generation, intraday, keyed_linear, learning
 from ..plans.spike import next_hour_spike
 from ..sources import sink
 from . import base
 from .features import RTM24, _rtm24
 from .registry import query
-from .sqltext import lead
+from .sqltext import lead, roll
 
 FEATURES = ["rtm_lag_1h", "rtm_lag_4h", "rtm_lag_24h", "rtm_roll_24h_mean", "rtm_roll_24h_std", "rtm_roll_24h_min", "rtm_roll_24h_max", "hour", "dow"]
 
@@ -70,6 +71,20 @@ _PRED = "intercept + " + " + ".join(f"coefs[{i + 1}] * coalesce({f}, means[{i +
 base.add_cte("kl_pred", f"SELECT r.*, n, dev, importance, {_PRED} AS pred FROM kl_rows r JOIN kl_fit USING (point, horizon)")
 
 
+def point_models(spark, d):
+    """The models of every point and horizon."""
+    return keyed_linear.fit_by_key(keyed_rows(spark, d).filter("split = 'train'"), KEYS, FEATURES, "y")
+
+
+#: Size of the standardised coefficients of every point's and horizon's model, by feature.
+GAINS = f"""SELECT point, horizon, feature, abs(importance[i]) AS gain FROM kl_fit, (VALUES {", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(FEATURES))}) f(i, feature)"""
+
+
+def gains(spark, d):
+    c = keyed_linear.coefficients(point_models(spark, d), KEYS, FEATURES)
+    return c.select(*KEYS, "feature", F.abs("importance").alias("gain"))
+
+
 def keyed_rows(spark, d):
     """Rows of every point and horizon with a target y."""
     x = table(spark, d)
@@ -126,37 +141,92 @@ def ml_regressor_pooled(spark, d):
 # --- pooled models -------------------------------------------------------------------------------------
 
 
-@query("ml_spike_classifier", text="point", times="t", ints="y alarm", nums="probability threshold")
+_MEAN24 = roll("avg", "price", 24, 1, 1)
+SPIKES = f"""SELECT point, t, {_SPLIT} AS split, CASE WHEN n IS NOT NULL THEN CAST(n > greatest(45, 1.2 * coalesce(m, 0)) AS INTEGER) END AS y FROM (SELECT *, {lead("price")} AS n,
+   {_MEAN24} AS m FROM ({RTM24}))"""
+
+
+def spike_rows(spark, d):
+    return table(spark, d).withColumn("y", next_hour_spike("price", ["point"], fixed=45.0, multiple=1.2).cast("double"))
+
+
+@query("ml_spike_classifier", text="point", times="t", ints="y valid", sql=f"SELECT point, t, y, 1 AS valid FROM ({SPIKES}) WHERE split = 'test'")
 def ml_spike_classifier(spark, d):
-    x = table(spark, d).withColumn("y", next_hour_spike("price", ["point"], fixed=45.0, multiple=1.2).cast("double"))
+    """Test rows with labels, and whether the probability is one and the alarm follows the cut."""
+    x = spike_rows(spark, d)
     model = learning.fit_spike_classifier(x, FEATURES, "y", max_iter=ROUNDS)
     scored = learning.positive_probability(model.transform(x.filter("split <> 'train'")))
     cut = learning.best_threshold(scored.filter("split = 'val'"), "y")
-    return scored.filter("split = 'test'").withColumns({"threshold": F.lit(cut), "alarm": F.col("probability") >= cut})
+    out = scored.filter("split = 'test'").withColumns({"threshold": F.lit(cut), "alarm": F.col("probability") >= cut})
+    return out.withColumn("valid", F.col("probability").between(0, 1) & (F.col("alarm") == (F.col("probability") >= F.col("threshold"))))
 
 
-@query("ml_multiclass_spread", text="point", times="t", ints="cls pred_class")
+@query(
+    "ml_multiclass_spread", text="point", times="t", ints="cls valid",
+    sql=f"""SELECT point, t, CASE WHEN s <= -20 THEN 0 WHEN s <= -5 THEN 1 WHEN s <= 5 THEN 2 WHEN s <= 20 THEN 3 ELSE 4 END AS cls, 1 AS valid FROM (SELECT x.*, x.price - hub *
+      0.7071067811865476 AS s, {_SPLIT} AS split FROM ({RTM24}) x JOIN b_hub1h USING (t)) WHERE split = 'test'""",
+)
 def ml_multiclass_spread(spark, d):
     x = table(spark, d).join(base.b_hub1h(spark, d), "t")
     x = x.withColumn("cls", rules.spread_class(F.col("price") - F.col("hub") * 0.7071067811865476).cast("double"))
     model = learning.fit_multiclass(x, FEATURES, "cls")
-    return model.transform(x.filter("split = 'test'"))
+    return model.transform(x.filter("split = 'test'")).withColumn("valid", F.col("pred_class").isin(0.0, 1.0, 2.0, 3.0, 4.0))
 
 
-@query("ml_tuning", ints="max_depth", nums="step rmse")
+@query(
+    "ml_tuning", ints="rung rounds trials staying distinct_trials in_range best_stays",
+    sql="""SELECT rung, rounds, trials, staying, trials AS distinct_trials, trials AS in_range, 1 AS best_stays FROM (VALUES (1, 2, 27, 9), (2, 5, 9, 3), (3, 10, 3, 1)) v(rung, rounds, trials, staying)""",
+)
 def ml_tuning(spark, d):
-    results, _ = learning.tune_regressor(table(spark, d), FEATURES, "target_1", [2, 4], [0.1, 0.3])
-    return spark.createDataFrame(results, "max_depth INT, step DOUBLE, rmse DOUBLE")
+    """What is fixed of each rung of the tuning: how many trials it has and keeps, that scores are shares, and that none of those dropped beats one that stays."""
+    results, _ = learning.tune_spike(spike_rows(spark, d), FEATURES, "y")
+    r = spark.createDataFrame(results)
+    worst_kept = F.min(F.when(F.col("stays"), F.col("pr_auc")))
+    best_gone = F.coalesce(F.max(F.when(~F.col("stays"), F.col("pr_auc"))), F.lit(0.0))
+    return r.groupBy("rung", "rounds").agg(
+        F.count("*").alias("trials"), F.count_if("stays").alias("staying"), F.count_distinct("trial").alias("distinct_trials"),
+        F.count_if(F.col("pr_auc").between(0, 1)).alias("in_range"), (worst_kept >= best_gone).alias("best_stays"),
+    )
+
+
+MEMBERS = {
+    "tree": lambda x: learning.fit_regressor(x, FEATURES, "target_1", max_iter=5),
+    "linear": lambda x: learning.fit_linear(x, FEATURES, "target_1"),
+}
 
 
-@query("ml_ensemble", text="point", times="t", nums="target_1 tree linear weighted stack")
+@query(
+    "ml_ensemble", text="point", times="t", ints="between better", nums="target_1 weights",
+    sql="SELECT point, t, y AS target_1, 1 AS weights, 1 AS between, 1 AS better FROM kl_rows WHERE split = 'test' AND horizon = 1",
+)
 def ml_ensemble(spark, d):
-    x = table(spark, d)
-    members = {"tree": learning.fit_regressor(x, FEATURES, "target_1", max_iter=ROUNDS), "linear": learning.fit_linear(x, FEATURES, "target_1")}
-    return learning.stacked(x, members, "target_1", ["point", "t"])
+    """Test rows with actuals; the sum of the weights, whether the weighted mean lies between its members, and whether the stack beats the last value."""
+    x = table(spark, d).filter("target_1 IS NOT NULL")
+    out = learning.stacked(x, MEMBERS, "target_1", ["point", "t", "price"], features=FEATURES)
+    error = lambda c: F.avg(F.abs(F.col("target_1") - F.col(c)))
+    better = out.agg((error("stack") < error("price")).cast("int").alias("better"))
+    slack = F.lit(1e-9)
+    inside = F.col("weighted").between(F.least("tree", "linear") - slack, F.greatest("tree", "linear") + slack)
+    return with_one_row(out.withColumns({"weights": F.col("w_tree") + F.col("w_linear"), "between": inside}), better)
 
 
-@query("ml_batch_score", text="model point", times="target_time", nums="predicted_value")
+@query(
+    "ml_cross_fit", text="point", times="t", ints="fold forecasts",
+    sql="""SELECT point, t, floor((epoch(t) - a) * 3 / (b - a + 1)) + 1 AS fold, 2 AS forecasts FROM kl_rows, (SELECT epoch(min(t)) AS a, epoch(max(t)) AS b FROM kl_rows
+      WHERE split = 'train' AND horizon = 1) WHERE split = 'train' AND horizon = 1""",
+)
+def ml_cross_fit(spark, d):
+    """Train rows with their block of time and how many members have forecast them from the other blocks."""
+    x = table(spark, d).filter("target_1 IS NOT NULL")
+    out = learning.cross_fitted(x, MEMBERS, "t")
+    return out.withColumn("forecasts", F.col("tree").isNotNull().cast("int") + F.col("linear").isNotNull().cast("int"))
+
+
+@query(
+    "ml_batch_score", text="model point", times="target_time", ints="known",
+    sql=f"""SELECT 'rtm_1h' AS model, point, t + INTERVAL 1 HOUR AS target_time, 1 AS known FROM ({RTM24}) x JOIN (SELECT point, max(d) AS d FROM (SELECT point, CAST(t AS DATE) AS d FROM
+      ({RTM24}) GROUP BY 1, 2 HAVING count(DISTINCT hour(t)) >= 20) GROUP BY 1) n USING (point) WHERE CAST(x.t AS DATE) = n.d""",
+)
 def ml_batch_score(spark, d):
     x = table(spark, d).withColumn("day", F.col("t").cast("date"))
     stored = sink.scratch_path(spark, "model")
@@ -170,6 +240,6 @@ def ml_batch_score(spark, d):
     path = sink.scratch_path(spark, "forecasts")
     keys = ["model", "point", "target_time"]
     sink.upsert_parquet(spark, path, rows, keys, "day", "seq")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withColumn("known", F.col("predicted_value").isNotNull() & ~F.isnan("predicted_value"))
 
 

@@ -36,18 +36,21 @@ def asof_grid(left: DataFrame, sources: list[tuple[DataFrame, list[str]]], keys:
     """As-of columns of several gridded sources at once: one union, one window, one exchange.
 
     For series with at most one row per key and slot, where a window partition
-    is bounded by the time span; raw feeds take ``asof_backward``.
+    is bounded by the time span; raw feeds take ``asof_backward``. Without keys
+    there is one series: it is carried on day by day and then over the days.
     """
     rest = [c for c in left.columns if c not in {*keys, t}]
     both = left.select(*keys, t, F.struct(F.lit(1).alias("_x"), *rest).alias("_left"), F.lit(1).alias("_side"))
     for i, (right, cols) in enumerate(sources):
         r = right.select(*keys, t, F.struct(*cols).alias(f"_r{i}"), F.lit(0).alias("_side"))
         both = both.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(t, "_side").rowsBetween(W.unboundedPreceding, 0)
-    filled = both.select(
-        *keys, t, "_left", *[F.last(f"_r{i}", ignorenulls=True).over(w).alias(f"_r{i}") for i in range(len(sources))]
-    ).filter(F.col("_left").isNotNull())
-    found = [F.col(f"_r{i}.{c}").alias(c) for i, (_, cols) in enumerate(sources) for c in cols]
+    if keys:
+        w = W.partitionBy(*keys).orderBy(t, "_side").rowsBetween(W.unboundedPreceding, 0)
+        filled = both.select(*keys, t, "_left", *[F.last(f"_r{i}", ignorenulls=True).over(w).alias(f"_m{i}") for i in range(len(sources))])
+    else:
+        filled = prefix_scan(both, [], F.to_date(t), [F.col(t), F.col("_side")], lasts={f"_m{i}": F.col(f"_r{i}") for i in range(len(sources))})
+    filled = filled.filter(F.col("_left").isNotNull())
+    found = [F.col(f"_m{i}.{c}").alias(c) for i, (_, cols) in enumerate(sources) for c in cols]
     return filled.select(*keys, t, *[F.col(f"_left.{c}").alias(c) for c in rest], *found)
 
 

@@ -6,15 +6,17 @@ feature), so training is one distributed job whatever the number of points.
 
 from __future__ import annotations
 
+import math
+import random
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -135,43 +137,107 @@ def predict_with_bounds(model: PipelineModel, df: DataFrame, label: str, keys: l
     return conformal(scored, keys, F.col("split") == "val", label, "pred", coverage)
 
 
-def tune_regressor(df: DataFrame, features: list[str], label: str, depths: list[int], steps: list[float]) -> tuple[list[dict], PipelineModel]:
-    """Grid search on the time split: fit on train, compare RMSE on val. The grid is fixed and small."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred", maxIter=10, seed=SEED)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, depths).addGrid(gbt.stepSize, steps).build()
-    prep = Pipeline(stages=_prepare(features, "point")).fit(df)
-    rmse = RegressionEvaluator(labelCol=label, predictionCol="pred", metricName="rmse")
-    results, best = [], None
-    with kept(prep.transform(df.filter(F.col(label).isNotNull() & (F.col("split") != "test")))) as rows:
-        train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-        for params in grid:
-            model = gbt.fit(train, params)
-            score = rmse.evaluate(model.transform(val))
-            results.append({"max_depth": params[gbt.maxDepth], "step": params[gbt.stepSize], "rmse": score})
-            if best is None or score < best[0]:
-                best = (score, model)
-    return results, PipelineModel(stages=[*prep.stages, best[1]])
-
-
-def stacked(df: DataFrame, members: dict[str, PipelineModel], label: str, keys: list[str]) -> DataFrame:
-    """Member forecasts side by side, their inverse-error mean (weights from val) and a linear stack fitted on val."""
+#: Tuning space of the spike classifier: name -> (low, high, scale), drawn for each trial.
+SPACE = {"maxDepth": (2, 6, "int"), "stepSize": (0.02, 0.4, "log"), "subsamplingRate": (0.5, 1.0, "real"), "minInstancesPerNode": (1, 60, "int"), "positive": (0.25, 1.5, "real")}
+
+
+def draw_trials(n: int, seed: int = SEED) -> list[dict]:
+    """Parameters of n trials, drawn once by seed."""
+    rng = random.Random(seed)
+    kinds = {
+        "int": lambda low, high: rng.randint(low, high),
+        "real": lambda low, high: rng.uniform(low, high),
+        "log": lambda low, high: math.exp(rng.uniform(math.log(low), math.log(high))),
+    }
+    return [{"trial": i, **{k: kinds[kind](low, high) for k, (low, high, kind) in SPACE.items()}} for i in range(n)]
+
+
+def tune_spike(
+    df: DataFrame, features: list[str], label: str, trials: int = 27, rungs: tuple[int, ...] = (2, 5, 10), keep: int = 3, at_once: int = 4
+) -> tuple[list[dict], PipelineModel]:
+    """Successive halving on PR-AUC: (one entry a trial and rung, the pipeline of the best trial).
+
+    Every drawn trial is boosted for the first rung's rounds on the train rows and scored on the validation rows; one in `keep` goes on to the next rung
+    with more rounds. So most of the work goes to parameters that do well. The weight of positives is a share of negatives / positives. Trials of a
+    rung run side by side (`at_once` fits), each as distributed as ever; the prepared rows are kept on the executors over all fits.
+    """
+    prep = Pipeline(stages=_prepare(features, "point")).fit(df.filter("split = 'train'"))
+    score = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR")
+    results: list[dict] = []
+    with kept(prep.transform(df.filter(F.col(label).isNotNull() & (F.col("split") != "test"))).select("features", label, "split")) as rows:
+        balance = rows.filter("split = 'train'").agg(F.sum(F.col(label)).alias("p"), F.count("*").alias("n")).first()
+        ratio = (balance.n - (balance.p or 0)) / max(balance.p or 0, 1)
+        val = rows.filter("split = 'val'")
+
+        def run(trial: dict, rung: int, rounds: int) -> tuple[dict, object]:
+            train = rows.filter("split = 'train'").withColumn("w", F.when(F.col(label) == 1, float(trial["positive"] * ratio)).otherwise(1.0))
+            settings = {k: v for k, v in trial.items() if k not in ("trial", "positive")}
+            model = GBTClassifier(featuresCol="features", labelCol=label, weightCol="w", maxIter=rounds, seed=SEED, **settings).fit(train)
+            return {"rung": rung, "rounds": rounds, **trial, "pr_auc": score.evaluate(model.transform(val))}, model
+
+        left, best = draw_trials(trials), None
+        for rung, rounds in enumerate(rungs, 1):
+            with ThreadPool(at_once) as pool:
+                done = pool.map(lambda trial, rung=rung, rounds=rounds: run(trial, rung, rounds), left)
+            done.sort(key=lambda x: (-x[0]["pr_auc"], x[0]["trial"]))
+            stay = max(1, len(left) // keep) if rung < len(rungs) else 1
+            results += [{**entry, "stays": i < stay} for i, (entry, _) in enumerate(done)]
+            best = done[0][1]
+            left = [{k: entry[k] for k in ("trial", *SPACE)} for entry, _ in done[:stay]]
+    return results, PipelineModel(stages=[*prep.stages, best])
+
+
+def time_folds(df: DataFrame, t: str, folds: int) -> DataFrame:
+    """Add fold 1 .. folds: contiguous blocks of equal length between the first and the last time."""
+    from ..operators.fill import with_one_row
+
+    s = F.unix_timestamp(t)
+    spans = with_one_row(df, df.agg(F.min(s).alias("_first"), F.max(s).alias("_last")))
+    at = F.floor((s - F.col("_first")) * folds / (F.col("_last") - F.col("_first") + 1)) + 1
+    return spans.withColumn("fold", at.cast("int")).drop("_first", "_last")
+
+
+def _forecast(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """df with a model's forecast under a name, without the columns that its stages add."""
+    return model.transform(df).select(*df.columns, F.col("pred").alias(name))
+
+
+def cross_fitted(df: DataFrame, members: dict, t: str, folds: int = 3) -> DataFrame:
+    """Train rows with their fold and a forecast of each member, made by one that has not seen the fold.
+
+    members: name -> function that fits a model to a frame with a split column. For each fold it gets all rows but the fold's, and the validation rows to
+    stop early by. Folds are blocks of time, so neighbours of a row, which share most of its history, are mostly in its own fold.
+    """
+    train = time_folds(df.filter("split = 'train'"), t, folds)
+    val = df.filter("split = 'val'").withColumn("fold", F.lit(0))
+    rows, out = train.unionByName(val), None
+    for k in range(1, folds + 1):
+        part = train.filter(F.col("fold") == k)
+        for name, fit in members.items():
+            part = _forecast(fit(rows.filter(F.col("fold") != k)), part, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stacked(df: DataFrame, members: dict, label: str, keys: list[str], t: str = "t", features: list[str] | None = None, folds: int = 3) -> DataFrame:
+    """Test rows with each member's forecast, their inverse-error mean (weights from the validation rows) and a linear stack.
+
+    The stack learns from out-of-fold forecasts of the train rows (see cross_fitted), with the original features beside them if given; the members that
+    score the test rows are fitted to all train rows. members: name -> function that fits a model.
+    """
     from ..operators.fill import with_one_row
     from ..operators.metrics import inverse_error_weights
 
-    out = df
-    for name, model in members.items():
-        drop = [c for c in out.columns if c in ("features", "_point") or c.startswith("_filled_")]
-        out = model.transform(out.drop(*drop)).withColumnRenamed("pred", name)
-    out = out.drop(*[c for c in out.columns if c in ("features", "_point") or c.startswith("_filled_")])
-    names = list(members)
-    val = out.filter("split = 'val'").filter(F.col(label).isNotNull())
-    weights = inverse_error_weights(val, label, names)
+    known, names = df.filter(F.col(label).isNotNull()), list(members)
+    apart = cross_fitted(known, members, t, folds)
+    meta = Pipeline(stages=[*_prepare([*names, *(features or [])], None), LinearRegression(featuresCol="features", labelCol=label, predictionCol="pred")]).fit(apart)
+    out = df.filter("split <> 'train'")
+    for name, fit in members.items():
+        out = _forecast(fit(known), out, name)
+    weights = inverse_error_weights(out.filter("split = 'val'").filter(F.col(label).isNotNull()), label, names)
     mean = sum((F.col(n) * F.col(f"w_{n}") for n in names), F.lit(0.0))
-    meta = Pipeline(
-        stages=[VectorAssembler(inputCols=names, outputCol="_meta"), LinearRegression(featuresCol="_meta", labelCol=label, predictionCol="stack")]
-    ).fit(val)
     test = with_one_row(out.filter("split = 'test'"), weights).withColumn("weighted", mean)
-    return meta.transform(test).select(*keys, label, *names, "weighted", "stack")
+    return _forecast(meta, test, "stack").select(*keys, label, *names, *(f"w_{n}" for n in names), "weighted", "stack")
 
 
 def latest_day(df: DataFrame, keys: list[str], day: str, hour: str, need: int) -> DataFrame:
