@@ -32,6 +32,8 @@ RADIUS, LONG = 20, 80
 TILE_LIMIT = 500
 #: Buckets that runs of characters are counted in; lines of tiles that are taken together, and pairs whose counts are compared at once.
 RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE = 128, 4096, 8192
+#: Runs of more lines are taken line by line, FEW pairs at a time.
+LARGE_RUN, FEW = 64, 32
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -221,6 +223,24 @@ def may_be_similar(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.nd
     return (apart[:, :RUN_BUCKETS].sum(1) <= 4 * most) & (apart[:, RUN_BUCKETS:].sum(1) <= 6 * most)
 
 
+def _links_of_large(a: int, b: int, forms, keys, block, sims, counts, length, most, least) -> Iterator[tuple[int, int]]:
+    """The edges of one large run, lines a to b: each line takes the lines before it, nearest in length first, FEW at a time, and leaves out what it is
+    connected with by then, so in a group of like lines it is compared with few of them."""
+    group = np.arange(b - a)
+    for i in range(a + 1, b):
+        lo = int(least[i])
+        same = keys[lo:i] == keys[i]
+        here = np.where(same, keys[i], np.iinfo(np.int64).max).min(1) == block[i]
+        here &= (length[lo:i] < LONG) | (np.bitwise_count(sims[lo:i] ^ sims[i]) <= RADIUS)
+        near = (lo + np.flatnonzero(here))[::-1]
+        while len(near := near[group[near - a] != group[i - a]]):
+            part, near = near[:FEW], near[FEW:]
+            for j in part[may_be_similar(counts, np.full(len(part), i), part, most[i])].tolist():
+                if group[j - a] != group[i - a] and similar(forms[i], forms[j]):
+                    yield i, j
+                    group[group == group[j - a]] = group[i - a]
+
+
 def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges of forests that join all lines of a run which a chain of similar lines connects. Lines follow one another by run, then length.
 
@@ -235,7 +255,12 @@ def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarra
     # the first line of the run that is long enough for this one: lengths ascend within a run
     offset = runs.astype(np.int64) * (int(length.max()) + 1)
     least = np.maximum(first, np.searchsorted(offset + length, offset + length - most, "left"))
-    before = np.arange(len(forms)) - least
+    edges = np.append(np.flatnonzero(np.diff(runs, prepend=-1)), len(forms))
+    large = np.searchsorted(runs, runs, "right") - first > LARGE_RUN
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a > LARGE_RUN:
+            yield from _links_of_large(a, b, forms, keys, block, sims, counts, length, most, least)
+    before = np.where(large, 0, np.arange(len(forms)) - least)
     forest = shared.Forest(len(forms))
     ends = np.cumsum(before)
     at = 0

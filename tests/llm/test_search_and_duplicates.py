@@ -150,6 +150,29 @@ def brute_lines(docs):
     return {(d, "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in docs}, len(gone)
 
 
+@pytest.mark.parametrize("large", [1000, 3, 0])
+def test_large_and_small_runs_have_the_same_groups(large, monkeypatch):
+    monkeypatch.setattr(op02_lines, "LARGE_RUN", large)
+    monkeypatch.setattr(op02_lines, "FEW", 3)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.choice([6, 30]))) for _ in range(5)]
+    forms = sorted(({" ".join(w if rng.random() > 0.06 else rng.choice(words) for w in rng.choice(lines).split()) for _ in range(80)}), key=len)
+    table = line_keys.keys_of_forms(forms, op02_lines._WORDS, op02_lines._WIDE).view(np.int64)
+    want, got = shared.Forest(len(forms)), shared.Forest(len(forms))
+    for i, j in itertools.combinations(range(len(forms)), 2):
+        near = min(len(forms[i]), len(forms[j])) < op02_lines.LONG or (int(table[i, -1] ^ table[j, -1]) & (1 << 64) - 1).bit_count() <= op02_lines.RADIUS
+        if near and set(table[i, :-1]) & set(table[j, :-1]) and op02_lines.similar(forms[i], forms[j]):
+            want.union(i, j)
+    blocks = sorted({int(k) for k in table[:, :-1].ravel()})
+    members = [(b, i) for b in blocks for i in np.flatnonzero((table[:, :-1] == b).any(1)).tolist()]
+    runs, rows = np.array([blocks.index(b) for b, _ in members]), [i for _, i in members]
+    for x, y in op02_lines.links([forms[i] for i in rows], runs, table[rows], np.array([b for b, _ in members])):
+        assert got.union(rows[x], rows[y]) or got.root(rows[x]) == got.root(rows[y])
+    assert [got.root(i) for i in range(len(forms))] == [want.root(i) for i in range(len(forms))]
+    assert len({want.root(i) for i in range(len(forms))}) < len(forms) / 2
+
+
 @pytest.mark.parametrize("tile", [500, 12])
 def test_line_dedup_matches_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(op02_lines, "TILE_LIMIT", tile)
