@@ -8,7 +8,7 @@
 3. Only the texts that hold a first place of a candidate line are fetched. Within a tile lines are joined into a forest by edit similarity (1 -
    Levenshtein / longer length of the real forms) of at least SIMILARITY. Counts of two- and three-character runs bound the distance from below, so most
    unlike pairs are put aside by array operations, without a miss. A pair already connected is not compared again, so a group of m near copies costs
-   about m comparisons and yields m - 1 edges, not m^2.
+   few comparisons a line and yields m - 1 edges, not m^2. Distances of many pairs are computed together (edit_distance).
 4. Connected groups keep their first line; all others go from their texts.
 """
 
@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_keys, shared
+from . import edit_distance, line_keys, shared
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
 #: Pairs of lines of LONG characters or more are compared if their SimHashes differ in RADIUS bits at most; the edit distance of shorter ones is cheap.
 RADIUS, LONG = 20, 80
 TILE_LIMIT = 500
-#: Buckets that runs of characters are counted in; lines of tiles that are taken together, and pairs whose counts are compared at once.
-RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE = 128, 4096, 8192
-#: Runs of more lines are taken line by line, FEW pairs at a time.
-LARGE_RUN, FEW = 64, 32
+#: Buckets that runs of characters are counted in; lines of tiles that are taken together; pairs filtered at once, and pairs that wait for comparison.
+RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE, OPEN_PAIRS = 128, 32768, 16384, 16384
+#: Characters of such lines: fewer lines are taken together where they are long.
+CHARACTERS_AT_ONCE = 16_000_000
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -104,51 +104,6 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.
             )
 
 
-def edit_distance_at_most(a: str, b: str, most: int) -> bool:
-    """Whether the Levenshtein distance is at most `most`: common ends are cut off, bounds are tried, then Myers' bit vectors in one integer."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    lead = 0
-    limit = min(len(a), len(b))
-    while lead < limit and a[lead : lead + 32] == b[lead : lead + 32] and lead + 32 <= limit:
-        lead += 32
-    while lead < limit and a[lead] == b[lead]:
-        lead += 1
-    a, b = a[lead:], b[lead:]
-    limit, tail = min(len(a), len(b)), 0
-    while tail < limit and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if max(len(a), len(b)) <= most:
-        return True
-    if not a or not b:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for j, ch in enumerate(b):
-        eq = places.get(ch, 0)
-        vertical = eq | down
-        eq = (((eq & up) + up) ^ up) | eq
-        plus = down | (full & ~(eq | up))
-        minus = up & eq
-        if plus & high:
-            score += 1
-        elif minus & high:
-            score -= 1
-        if score - (len(b) - 1 - j) > most:
-            return False
-        plus = (plus << 1 | 1) & full
-        minus = minus << 1 & full
-        up = minus | (full & ~(vertical | plus))
-        down = plus & vertical
-    return score <= most
-
-
 #: Words left out on either side where two lines are brought together again, in the order of trial.
 _STEPS = ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0))
 
@@ -182,7 +137,7 @@ def surely_within(a: str, b: str, most: int) -> bool:
 def similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
     most = int(longer * (1 - SIMILARITY) + 1e-9)
-    return abs(len(a) - len(b)) <= most and (surely_within(a, b, most) or edit_distance_at_most(a, b, most))
+    return abs(len(a) - len(b)) <= most and (surely_within(a, b, most) or bool(edit_distance.within([(a, b, most)])[0]))
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,29 +178,49 @@ def may_be_similar(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.nd
     return (apart[:, :RUN_BUCKETS].sum(1) <= 4 * most) & (apart[:, RUN_BUCKETS:].sum(1) <= 6 * most)
 
 
-def _links_of_large(a: int, b: int, forms, keys, block, sims, counts, length, most, least) -> Iterator[tuple[int, int]]:
-    """The edges of one large run, lines a to b: each line takes the lines before it, nearest in length first, FEW at a time, and leaves out what it is
-    connected with by then, so in a group of like lines it is compared with few of them."""
-    group = np.arange(b - a)
-    for i in range(a + 1, b):
-        lo = int(least[i])
-        same = keys[lo:i] == keys[i]
-        here = np.where(same, keys[i], np.iinfo(np.int64).max).min(1) == block[i]
-        here &= (length[lo:i] < LONG) | (np.bitwise_count(sims[lo:i] ^ sims[i]) <= RADIUS)
-        near = (lo + np.flatnonzero(here))[::-1]
-        while len(near := near[group[near - a] != group[i - a]]):
-            part, near = near[:FEW], near[FEW:]
-            for j in part[may_be_similar(counts, np.full(len(part), i), part, most[i])].tolist():
-                if group[j - a] != group[i - a] and similar(forms[i], forms[j]):
-                    yield i, j
-                    group[group == group[j - a]] = group[i - a]
+def _joined(forms: list[str], counts: np.ndarray, most: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The edges that join lines i with lines j (the pairs of a line follow one another, likeliest first); group: a label of each line, kept up to date.
+
+    In rounds: each line takes its next pairs, one, then two, then four, that are not connected by then; distances of a round are computed together.
+    """
+
+    def joined(a: int, b: int) -> bool:
+        x, y = group[a], group[b]
+        if x != y:
+            group[group == x] = y
+        return x != y
+
+    take = 1
+    while len(i):
+        apart = group[i] != group[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        now = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i))) < take
+        quick = take == 1  # the likeliest pair of a line is mostly a near copy
+        a, b, i, j, take = i[now], j[now], i[~now], j[~now], 2 * take
+        may = may_be_similar(counts, a, b, most[a])
+        open_pairs = []
+        for x, y in zip(a[may].tolist(), b[may].tolist()):
+            if group[x] != group[y]:
+                if quick and surely_within(forms[x], forms[y], int(most[x])):
+                    joined(x, y)
+                    yield x, y
+                else:
+                    open_pairs.append((x, y))
+        open_pairs = [(x, y) for x, y in open_pairs if group[x] != group[y]]
+        for (x, y), near in zip(open_pairs, edit_distance.within([(forms[x], forms[y], int(most[x])) for x, y in open_pairs])):
+            if near and joined(x, y):
+                yield x, y
 
 
 def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges of forests that join all lines of a run which a chain of similar lines connects. Lines follow one another by run, then length.
 
     Lines that share several keys meet in each of their blocks, and are compared in that of the smallest key that they share. Pairs of long lines
-    must be within RADIUS bits of SimHash. Pairs of many runs are filtered together, PAIRS_AT_ONCE at a time; the forest then takes those that are left.
+    must be within RADIUS bits of SimHash. Pairs are filtered PAIRS_AT_ONCE at a time; those left, nearest SimHash first, are compared when there are
+    OPEN_PAIRS of them.
     keys: those of each line, and its SimHash as last column.
     """
     sims, keys = np.ascontiguousarray(keys[:, -1]).view(np.uint64), keys[:, :-1]
@@ -255,31 +230,26 @@ def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarra
     # the first line of the run that is long enough for this one: lengths ascend within a run
     offset = runs.astype(np.int64) * (int(length.max()) + 1)
     least = np.maximum(first, np.searchsorted(offset + length, offset + length - most, "left"))
-    edges = np.append(np.flatnonzero(np.diff(runs, prepend=-1)), len(forms))
-    large = np.searchsorted(runs, runs, "right") - first > LARGE_RUN
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a > LARGE_RUN:
-            yield from _links_of_large(a, b, forms, keys, block, sims, counts, length, most, least)
-    before = np.where(large, 0, np.arange(len(forms)) - least)
-    forest = shared.Forest(len(forms))
-    ends = np.cumsum(before)
-    at = 0
+    before = np.arange(len(forms)) - least
+    group, ends, at = np.arange(len(forms)), np.cumsum(before), 0
+    waiting, size = [], 0
     while at < len(forms):
         last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        own = np.arange(at, last)
+        own, at = np.arange(at, last), last
         i = np.repeat(own, before[own])
         j = i - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(before[own]) - before[own], before[own]))
-        near = np.zeros(len(i), bool)
+        bits = np.bitwise_count(sims[i] ^ sims[j])
+        open_pair = (group[i] != group[j]) & ((length[j] < LONG) | (bits <= RADIUS))
+        i, j, bits = i[open_pair], j[open_pair], bits[open_pair]
         if len(i):
-            same = keys[i] == keys[j]
-            here = np.where(same, keys[i], np.iinfo(np.int64).max).min(1) == block[i]
-            here &= (length[j] < LONG) | (np.bitwise_count(sims[i] ^ sims[j]) <= RADIUS)
-            near[here] = may_be_similar(counts, i[here], j[here], most[i[here]])
-        for a, b in zip(i[near].tolist(), j[near].tolist()):
-            if forest.root(a) != forest.root(b) and similar(forms[a], forms[b]):
-                forest.union(a, b)
-                yield a, b
-        at = last
+            here = np.where(keys[i] == keys[j], keys[i], np.iinfo(np.int64).max).min(1) == block[i]
+            waiting.append((i[here], j[here], bits[here]))
+            size += int(here.sum())
+        if size >= OPEN_PAIRS or (at == len(forms) and size):
+            i, j, bits = (np.concatenate(x) for x in zip(*waiting))
+            order = np.lexsort((bits, i))
+            yield from _joined(forms, counts, most, group, i[order], j[order])
+            waiting, size = [], 0
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +263,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ([rows[x][0] for x in side] for side in (zip(*found) if found else ([], [])))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    group, size = [], 0
+    group, size, wide = [], 0, 0
     for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form", "keys", "block"]):
         group.append(run)
         size += len(run)
-        if size >= LINES_AT_ONCE:
+        wide += sum(len(r[1]) for r in run)
+        if size >= LINES_AT_ONCE or wide >= CHARACTERS_AT_ONCE:
             yield edges(group)
-            group, size = [], 0
+            group, size, wide = [], 0, 0
     if group:
         yield edges(group)
 

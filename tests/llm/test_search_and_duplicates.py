@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridtide.llm import line_keys, op01_topk, op02_lines, op03_simhash, shared
+from gridtide.llm import edit_distance, line_keys, op01_topk, op02_lines, op03_simhash, shared
 
 
 def brute_top(vectors, queries, k):
@@ -118,10 +118,35 @@ def test_edit_distance(a, b, most):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    assert op02_lines.edit_distance_at_most(a, b, most) == (row[-1] <= most)
+    assert edit_distance.within([(a, b, most)]).tolist() == [row[-1] <= most]
     assert row[-1] <= most or not op02_lines.surely_within(a, b, most)
 
 
+def test_edit_distances_of_many_pairs_at_once(monkeypatch):
+    """Patterns of one word and of several, at their borders, of scripts of several bytes; against one integer a pair and plain distances."""
+    rng = random.Random(11)
+    pairs, want = [], []
+    for n in [1, 2, 31, 63, 64, 65, 100, 127, 128, 129, 150] * 8:
+        letters = rng.choice(["ab", "abcdefgh ", "äöüabc漢字😀"])
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = "".join(rng.choice(["", c, c, c, c, c, c, rng.choice(letters), c + rng.choice(letters)]) for c in rng.choice([a, a[n // 6 :] + a[: n // 9]]))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        for most in (row[-1] - 1, row[-1], n // 5):
+            pairs.append((a, b, most))
+            want.append(row[-1] <= most)
+    assert edit_distance.within(pairs).tolist() == want
+    monkeypatch.setattr(edit_distance, "FEWEST", 10**6)
+    assert edit_distance.within(pairs).tolist() == want
+    monkeypatch.setattr(edit_distance, "FEWEST", 1)
+    monkeypatch.setattr(edit_distance, "TABLE_WORDS", 100)
+    assert edit_distance.within(pairs).tolist() == want
+    assert edit_distance.within([]).tolist() == []
+
+
 def brute_lines(docs):
     """(doc_id, text without repeats): of all pairs of lines those that share a key and are similar are linked, each group keeps its first line."""
     found = []
@@ -150,10 +175,11 @@ def brute_lines(docs):
     return {(d, "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in docs}, len(gone)
 
 
-@pytest.mark.parametrize("large", [1000, 3, 0])
-def test_large_and_small_runs_have_the_same_groups(large, monkeypatch):
-    monkeypatch.setattr(op02_lines, "LARGE_RUN", large)
-    monkeypatch.setattr(op02_lines, "FEW", 3)
+@pytest.mark.parametrize("at_once", [16384, 40, 1])
+def test_runs_have_the_groups_of_all_pairs(at_once, monkeypatch):
+    monkeypatch.setattr(op02_lines, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(op02_lines, "OPEN_PAIRS", at_once)
+    monkeypatch.setattr(edit_distance, "FEWEST", 2)
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
     lines = [" ".join(rng.choice(words) for _ in range(rng.choice([6, 30]))) for _ in range(5)]
@@ -202,7 +228,7 @@ def test_the_count_filter_never_puts_a_similar_pair_aside(a, edits):
     for at, new in edits:
         b = b[:at] + new + b[at + 1 :]
     counts = op02_lines.run_counts([a, "other", b])
-    most = next(k for k in range(100) if op02_lines.edit_distance_at_most(a, b, k))
+    most = next(k for k in range(100) if edit_distance.within([(a, b, k)])[0])
     assert op02_lines.may_be_similar(counts, np.array([0]), np.array([2]), np.array([most])).all()
 
 
