@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pairs of one step, words of its table of characters (32 MB), and the longest shorter side that words are used for; longer ones go one by one.
-PAIRS, TABLE_WORDS, LONGEST = 1024, 1 << 22, 2048
+#: Pairs of one step, words of its table of characters (16 MB), and the longest shorter side that words are used for; longer ones go one by one.
+PAIRS, TABLE_WORDS, LONGEST = 512, 1 << 21, 2048
 #: Below this many pairs one integer a pair is quicker.
 FEWEST = 12
 #: Pairs of one step have second texts of at least this part of the longest.

@@ -31,9 +31,9 @@ SIMILARITY = 0.8
 RADIUS, LONG = 20, 80
 TILE_LIMIT = 500
 #: Buckets that runs of characters are counted in; lines of tiles that are taken together; pairs filtered at once, and pairs that wait for comparison.
-RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE, OPEN_PAIRS = 128, 32768, 16384, 16384
-#: Characters of such lines: fewer lines are taken together where they are long.
-CHARACTERS_AT_ONCE = 16_000_000
+RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE, OPEN_PAIRS = 128, 8192, 8192, 8192
+#: Characters of such lines (fewer lines are taken together where they are long), and of those whose runs are counted at once.
+CHARACTERS_AT_ONCE, COUNTED_AT_ONCE = 4_000_000, 500_000
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -160,6 +160,16 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def run_counts(forms: list[str]) -> np.ndarray:
     """For each line how often its runs of two characters, and those of three, fall into each of RUN_BUCKETS buckets."""
+    parts, at = [], 0
+    ends = np.cumsum([len(f) for f in forms])
+    while at < len(forms):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED_AT_ONCE, "right")))
+        parts.append(_run_counts(forms[at:last]))
+        at = last
+    return np.concatenate(parts)
+
+
+def _run_counts(forms: list[str]) -> np.ndarray:
     c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     line = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
     parts, runs = [], c
