@@ -1,13 +1,13 @@
 """Secrets: fixed rules give the base spans; a linear-chain conditional random field over tokens adds spans.
 
-Tokens are runs of ASCII letters and digits, runs of other letters, and single marks. Each is tagged outside, begin or inside of a secret by its shape,
-the words around it and features of the whole text, and decoded by Viterbi. The field is written and trained in numpy: its labelled spans are the base
-spans of a bounded sample of documents, the same with wording and value rewritten so that the rules miss them, and harmless look-alikes (file names,
-dates, versions, identifiers, paths) as outside.
-
-A secret lies within one chunk, a run of value characters of CHUNK_CHARS or more with a letter and a digit. All other tokens are outside by rule, which
-cuts the chain: what stands left and right of an outside token is decoded alike whether together or apart. So only chunks are decoded, with the words
-around them as features, and no span is lost by that. Chunks are of any length.
+Tokens are runs of ASCII letters and digits, runs of other characters beyond ASCII, and single marks. All tokens of a whole text are one chain: each is
+tagged outside, begin or inside of a secret by its shape, the words around it and features of the whole text, and decoded by Viterbi. An inside token
+follows its neighbour without white space. The field is written and trained in numpy: its labelled spans are the base spans of a bounded sample of
+documents, the same with wording and value rewritten so that the rules miss them, and harmless look-alikes (file names, dates, versions, identifiers,
+paths) and plain words as outside.
+
+Features are array operations over many texts at once, and a step of the decoding takes the next token of many texts; no token is passed over. The
+probabilities of the tags are needed only where the best tags hold a secret.
 """
 
 from __future__ import annotations
@@ -30,21 +30,19 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
-
-CHUNK_CHARS = 8
-_CHUNK = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CHUNK_CHARS)
-_TOKEN = re.compile(r"[A-Za-z0-9]+|[^\x00-\x7f]+|[^\sA-Za-z0-9]")
-#: Characters beside a chunk that are looked at for words.
-AROUND = 48
+_VALUE, _DIGIT, _LETTER = re.compile("[A-Za-z0-9+/_.=-]+"), re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Documents with base spans, and without, that the field is trained on at most.
 SAMPLE_DOCS = 1500
-#: Chunks of one training text, and tokens of one training chunk, at most (drawn at random; only of the sample).
-TRAIN_CHUNKS, TRAIN_TOKENS = 60, 48
+#: Units of one training text that are trained on for a letter and a digit, and tokens of one of them, at most; tokens beside each, and tokens of the
+#: stretch of plain words that each training text adds (drawn at random; only of the sample).
+TRAIN_CHUNKS, TRAIN_TOKENS, TRAIN_BESIDE, TRAIN_PLAIN = 60, 48, 1, 8
 BITS, STEPS, RATE, DECAY = 15, 100, 0.15, 1e-4
 #: Least probability of each token of an added span.
 CONFIDENCE = 0.8
-#: Chunks decoded at once.
-DECODED_AT_ONCE = 2048
+#: Characters whose features are made at once (longer texts go in pieces that end at white space), and tokens decoded at once.
+PIECE_CHARS, DECODED_AT_ONCE = 1_000_000, 1_000_000
+#: Below this many chains one by one is quicker.
+FEWEST = 12
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -59,7 +57,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def secret_values(text: str) -> list[tuple[int, int]]:
     """Where the values of the base spans stand: the right side of an assignment, the whole of the others; disjoint, by start."""
     spans = [m.span(2) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_VALUE]
-    spans += [(a, b) for k, a, b in base_spans(text) if k != "assign"]
+    return joined_spans(spans + [(a, b) for k, a, b in base_spans(text) if k != "assign"])
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one; disjoint, by start."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a < out[-1][1]:
@@ -69,16 +71,6 @@ def secret_values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the runs of value characters that may hold a secret."""
-    out = []
-    for m in _CHUNK.finditer(text):
-        s = m.group()
-        if not s.isalpha() and not s.isdigit() and re.search("[0-9]", s) and re.search("[A-Za-z]", s):
-            out.append(m.span())
-    return out
-
-
 def kind_of(value: str) -> str:
     """The kind that an added span is told as."""
     if re.fullmatch("[0-9a-fA-F]+", value):
@@ -88,76 +80,165 @@ def kind_of(value: str) -> str:
 
 # ---------------------------------------------------------------- features
 
-_SLOTS: dict[str, int] = {}
-
+SPACE, ALNUM, LINK, BEYOND, MARK = range(5)
+#: Kind of each ASCII character and, last, of those beyond. Letters and digits, and characters beyond ASCII, make runs; others are tokens alone.
+_KIND = np.array([SPACE if c in b"\t\n\v\f\r " else ALNUM if chr(c).isalnum() else LINK if c in b"+/_.=-" else MARK for c in range(128)] + [BEYOND], np.uint8)
+#: Units: runs of value characters, runs of characters beyond ASCII, other marks alone.
+_UNIT = np.array([SPACE, ALNUM, ALNUM, BEYOND, MARK], np.uint8)
+_PARTS = np.array([sum(1 << i for i, s in enumerate(("ghijklmnopqrstuvwxyz", "abcdef", "GHIJKLMNOPQRSTUVWXYZ", "ABCDEF", "0123456789")) if chr(c) in s) for c in range(128)] + [0], np.uint8)
+_CASE = np.array([1 if 48 <= c < 58 else 2 if 97 <= c < 123 else 3 if 65 <= c < 91 else 0 for c in range(129)], np.uint8)
+_BIT_LENGTH = np.array([min(n, 48).bit_length() for n in range(49)])
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(16)], np.uint64)
+_COLUMN = 0xD6E8FEB86659FD93
+#: Features of a token: fixed number, so that tokens are rows of one array. Those of a whole text are WHOLE of them.
+WIDTH, WHOLE = 22, 4
+_ACCESS_WORDS = ("passw", "secret", "token", "credential", "auth")
+_WORD, _API_KEY = re.compile(r"\S+", re.ASCII), re.compile("api.?key")
 
-def _slot(name: str) -> int:
-    found = _SLOTS.get(name)
-    if found is None:
-        if len(_SLOTS) > 200_000:
-            _SLOTS.clear()
-        found = _SLOTS[name] = zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-    return found
 
+def _slots(column: int, values: np.ndarray) -> np.ndarray:
+    return (shared.mixed(values.astype(np.uint64) + np.uint64((column + 1) * _COLUMN % (1 << 64))) & np.uint64((1 << BITS) - 1)).astype(np.int32)
 
-def _shape(token: str) -> str:
-    """Kinds of characters, and how many of them, roughly."""
-    if not token[0].isascii():
-        return "other"
-    if not token.isalnum():
-        return token
-    kinds = ("a" if re.search("[g-z]", token) else "f" if re.search("[a-f]", token) else "") + ("A" if re.search("[G-Z]", token) else "F" if re.search("[A-F]", token) else "")
-    return f"{kinds}{'9' if re.search('[0-9]', token) else ''}{min(len(token), 48).bit_length()}"
 
-
-def _turns(s: str) -> int:
-    """How often the kind of character changes: much in random strings, little in names."""
-    kinds = ["9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "-" for c in s]
-    return sum(a != b for a, b in zip(kinds, kinds[1:]))
-
-
-def text_features(text: str) -> list[str]:
+def text_features(text: str) -> list[int]:
     """Of the whole text: marks and digits among its characters, line length, and whether words of access are in it."""
-    n = max(1, len(text))
-    marks = sum(text.count(c) for c in "{}[]()<>;=\"'`")
-    digits = len(re.findall("[0-9]", text))
-    return [
-        f"marks{min(5, int(60 * marks / n))}",
-        f"digits{min(5, int(60 * digits / n))}",
-        f"lines{min(8, int(n / (1 + text.count(chr(10)))).bit_length() // 2)}",
-        f"access{bool(re.search('(?ai)passw|secret|token|api.?key|credential|auth', text))}",
-    ]
-
-
-#: Features of a token: fixed number, so that tokens are rows of one array.
-WIDTH = 22
-
-
-def chunk_features(text: str, start: int, end: int, whole: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Tokens (start, end) of the chunk and their feature slots (tokens, WIDTH)."""
-    tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
-    before = [t.lower() for t in _TOKEN.findall(text[max(0, start - AROUND) : start])][-4:]
-    before = ["^"] * (4 - len(before)) + before
-    after = ([t.lower() for t in _TOKEN.findall(text[end : end + AROUND])][:1] or ["$"])[0]
-    words = [w for w in before if w[0].isalnum()][-2:]
-    words = ["^"] * (2 - len(words)) + words
-    value = text[start:end]
-    turns = _turns(value)
-    common = [
-        *(f"b{i}={w[:16]}" for i, w in enumerate(before[1:])),
-        f"w1={words[1][:16]}", f"w1p={words[1][:4]}", f"w2={words[0][:16]}", f"w1s={words[1][-3:]}", f"n={after[:16]}",
-        f"len={min(len(value), 64) // 4}", f"turns={min(turns, 24) // 2}", f"rate={min(9, 10 * turns // len(value))}",
-        f"kinds={len(set(value)) * 8 // min(len(value), 64)}", f"form={_shape(re.sub('[^A-Za-z0-9]', '', value) or '-')}",
-        *whole,
+    n, low = max(1, len(text)), text.lower()
+    marks, digits = (sum(text.count(c) for c in kind) for kind in ("{}[]()<>;=\"'`", "0123456789"))
+    access = any(w in low for w in _ACCESS_WORDS) or "api" in low and bool(_API_KEY.search(low))
+    return [min(5, 60 * marks // n), min(5, 60 * digits // n), min(8, (n // (1 + text.count("\n"))).bit_length() // 2), int(access)]
+
+
+def token_features(parts: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of the parts of texts, in order: its part, start, end (in the part), whether it is joined to the token before it, and its feature
+    slots (tokens, WIDTH). whole: text_features of each part's text."""
+    codes = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    small = np.minimum(codes, 128)
+    kind = _KIND[small]
+    unit = _UNIT[kind]
+    before, unit_before = (np.concatenate((np.zeros(1, np.uint8), k[:-1])) for k in (kind, unit))
+    begins = (kind != SPACE) & ((kind == LINK) | (kind == MARK) | (kind != before))
+    begins_unit = (kind != SPACE) & ((kind == MARK) | (unit != unit_before))
+    at = np.flatnonzero(kind)  # all that is not white space; tokens and units follow one another there
+    token = np.flatnonzero(begins[at])
+    start = at[token]
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(bool), np.zeros((0, WIDTH), np.int32)
+    size = np.diff(token, append=len(at))
+    first = np.flatnonzero(begins_unit[start])  # the first token of each unit
+    tokens = np.diff(first, append=len(start))
+    unit_of = np.repeat(np.arange(len(first)), tokens)
+    unit_at, unit_size = token[first], np.diff(token[first], append=len(at))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    part = np.searchsorted(ends, start, "right")
+
+    codes, small, kind = codes[at].astype(np.uint64), small[at], kind[at]
+    letters = _PARTS[small]
+    low = codes + np.uint64(1) + np.uint64(32) * ((letters & 12) > 0)
+    place = np.arange(len(at)) - np.repeat(token, size)
+    word = np.add.reduceat(np.where(place < 16, low * _POWERS[np.minimum(place, 15)], np.uint64(0)), token)
+    head = sum(np.where(size > i, low[np.minimum(token + i, len(at) - 1)] * _POWERS[i], np.uint64(0)) for i in range(4))
+    tail = sum(np.where(size > i, low[np.maximum(token + size - 1 - i, 0)] * _POWERS[i], np.uint64(0)) for i in range(3))
+    shape = np.where(kind[token] == ALNUM, 256 + 8 * np.bitwise_or.reduceat(letters, token).astype(np.int64) + _BIT_LENGTH[np.minimum(size, 48)], small[token])
+    case = _CASE[small]
+    turned = np.concatenate(([False], case[1:] != case[:-1]))
+    turned[unit_at] = False
+    turns = np.add.reduceat(turned.astype(np.int64), unit_at)
+    distinct = np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (codes & np.uint64(63)), unit_at)).astype(np.int64)
+    alnum = np.add.reduceat((kind == ALNUM).astype(np.int64), unit_at)
+    form = 8 * np.bitwise_or.reduceat(letters, unit_at).astype(np.int64) + _BIT_LENGTH[np.minimum(alnum, 48)]
+
+    def beside(values: np.ndarray, i: np.ndarray, none: int, reach: int = 0) -> np.ndarray:
+        """The values of tokens i; `none` where they are of another part, or more than `reach` tokens before the unit."""
+        near = np.clip(i, 0, len(start) - 1)
+        known = (i == near) & (part[near] == part[first])
+        return np.where(known & (i >= first - reach) if reach else known, values[near], np.uint64(none))
+
+    words = np.flatnonzero((kind[token] == ALNUM) | (kind[token] == BEYOND))
+    words_before = np.searchsorted(words, first)
+    words = words if len(words) else np.zeros(1, np.int64)
+    last, last_but_one = (np.where(words_before >= k, words[np.maximum(words_before - k, 0)], -1) for k in (1, 2))
+    of_units = [
+        *(beside(word, first - k, 1) for k in (1, 2, 3)),
+        *(beside(v, i, 1, 4) for v, i in ((word, last), (head, last), (word, last_but_one), (tail, last))), beside(word, first + tokens, 2),
+        np.minimum(unit_size, 64) // 4, np.minimum(turns, 24) // 2, np.minimum(9, 10 * turns // unit_size), distinct * 8 // np.minimum(unit_size, 64), form,
+        *whole[part[first]].T,
     ]
-    common = [_slot(c) for c in common]
-    shapes = ["^", *(_shape(text[a:b]) for a, b in tokens), "$"]
-    rows = np.empty((len(tokens), WIDTH), np.int64)
-    rows[:, : len(common)] = common
-    for i in range(len(tokens)):
-        s = shapes[i + 1]
-        rows[i, len(common) :] = (_slot(f"s={s}"), _slot(f"p={shapes[i]}|{s}"), _slot(f"q={s}|{shapes[i + 2]}"), _slot(f"at={min(i, 3)}|{min(len(tokens) - i, 3)}"), _slot("1"))
-    return tokens, rows
+    rank, edge = np.arange(len(start)) - first[unit_of], np.ones(len(first), bool)
+    left, right = np.concatenate(([0], shape[:-1])), np.concatenate((shape[1:], [0]))
+    left[first], right[first + tokens - 1] = 1023, 1023
+    behind = np.minimum(tokens[unit_of] - rank, 3)
+    of_tokens = [shape, left << 10 | shape, shape << 10 | right, np.minimum(rank, 3) * 4 + behind, np.zeros(len(start), np.int64)]
+    rows = np.empty((len(start), WIDTH), np.int32)
+    for i, values in enumerate(of_units):
+        rows[:, i] = _slots(i, values)[unit_of]
+    for i, values in enumerate(of_tokens, len(of_units)):
+        rows[:, i] = _slots(i, values)
+    offset = (ends - [len(p) + 1 for p in parts])[part]
+    return part, start - offset, at[token + size - 1] + 1 - offset, np.concatenate((before, [0]))[start] != SPACE, rows
+
+
+def pieces(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(from, start, end, to): the text in pieces start:end that end at white space, and from:to, which also holds the tokens that their features look at."""
+    start = 0
+    while start < len(text):
+        space = re.compile(r"\s", re.ASCII).search(text, start + PIECE_CHARS - 1)
+        end = space.end() if space else len(text)
+        width = 256
+        while width < start and len(_WORD.findall(text, max(0, start - width), start)) <= 5:
+            width *= 4
+        after = _WORD.search(text, end)
+        yield max(0, start - width), start, end, min(after.start() + 32, len(text)) if after else end
+        start = end
+
+
+def _laid(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions of chains one after the other (tags, tokens), and the length and first place of each."""
+    n = np.array([len(e) for e in chains])
+    return np.ascontiguousarray(np.concatenate(chains).T), n, np.cumsum(n) - n
+
+
+def _best_of_one(score: list[float], emissions: list[list[float]], trans: list[list[float]]) -> list[int]:
+    """Best tags of the last token scored and of those after it."""
+    (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = trans
+    o, b, i = score
+    backs = []
+    for x, y, z in emissions:
+        back = []
+        tags = []
+        for p, q, r, own in ((o + oo, b + bo, i + io, x), (o + ob, b + bb, i + ib, y), (o + oi, b + bi, i + ii, z)):
+            k, s = (1, q) if q > p else (0, p)
+            if r > s:
+                k, s = 2, r
+            back.append(k)
+            tags.append(s + own)
+        o, b, i = tags
+        backs.append(back)
+    out = [max(range(3), key=(o, b, i).__getitem__)]
+    for back in reversed(backs):
+        out.append(back[out[-1]])
+    return out[::-1]
+
+
+def _sure_of_one(ahead: list[float], emissions: list[list[float]], trans: list[list[float]]) -> tuple[list[float], list[float]]:
+    """The probability that a token is not outside, of the tokens after the one that the forward sums are of, and the backward sums of that one."""
+    (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = trans
+    o, b, i = ahead
+    sums = []
+    for x, y, z in emissions:
+        o, b, i = (o * oo + b * bo + i * io) * x, (o * ob + b * bb + i * ib) * y, (o * oi + b * bi + i * ii) * z
+        total = o + b + i
+        o, b, i = o / total, b / total, i / total
+        sums.append((o, b, i))
+    o = b = i = 1.0
+    out = []
+    for (p, q, r), (x, y, z) in zip(reversed(sums), reversed(emissions)):
+        out.append((q * b + r * i) / (p * o + q * b + r * i))
+        x, y, z = x * o, y * b, z * i
+        o, b, i = oo * x + ob * y + oi * z, bo * x + bb * y + bi * z, io * x + ib * y + ii * z
+        total = o + b + i
+        o, b, i = o / total, b / total, i / total
+    return out[::-1], [o, b, i]
 
 
 # ---------------------------------------------------------------- the field
@@ -192,9 +273,17 @@ class Field:
             beta[:, t - 1] = np.where(mask[:, t, None], step, beta[:, t])
         return alpha, beta, _logsum(alpha[:, -1], 1), trans
 
-    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def emissions(self, x: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        """The score of each tag for slots x (tokens, WIDTH); none is inside unless it is joined to the token before it."""
+        e = np.zeros((len(x), 3))
+        for slots in x.T:
+            e += self.w[slots]
+        e[~joint, INSIDE] = -1e9
+        return e
+
+    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, joint: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """Negative log likelihood of tags y (batch, length) for slots x (batch, length, WIDTH), and its gradients; sums over the batch."""
-        e = self.w[x].sum(2)
+        e = self.emissions(x.reshape(-1, WIDTH), np.ones(mask.size, bool) if joint is None else joint.ravel()).reshape(*mask.shape, 3)
         alpha, beta, log_z, trans = self._sums(e, mask)
         p = np.exp(alpha + beta - log_z[:, None, None]) * mask[:, :, None]
         own = np.eye(3)[y] * mask[:, :, None]
@@ -206,18 +295,19 @@ class Field:
         g = np.stack([np.bincount(x.ravel(), np.repeat(apart[:, :, k].ravel(), WIDTH), 1 << BITS) for k in range(3)], 1)
         return float(loss), g, (pairs - seen).sum((0, 1))
 
-    def train(self, xs: list[np.ndarray], ys: list[np.ndarray], steps: int = STEPS) -> list[float]:
-        """Adam with a small decay of the weights over all chunks (feature rows and tags of each); the mean loss of each step.
+    def train(self, xs: list[np.ndarray], joints: list[np.ndarray], ys: list[np.ndarray], steps: int = STEPS) -> list[float]:
+        """Adam with a small decay of the weights over all stretches (feature rows, whether joined, and tags of each); the mean loss of each step.
 
-        Chunks of like length make one array, so that padding stays small.
+        Stretches of like length make one array, so that padding stays small.
         """
         groups = []
-        for bit in sorted({len(y).bit_length() for y in ys}):
-            own = [i for i, y in enumerate(ys) if len(y).bit_length() == bit]
+        sizes = [len(y) if len(y) <= 12 else 12 + len(y).bit_length() for y in ys]
+        for size in sorted(set(sizes)):
+            own = [i for i, s in enumerate(sizes) if s == size]
             x, mask = padded([xs[i] for i in own])
-            y = np.zeros(mask.shape, np.int64)
-            y[mask] = np.concatenate([ys[i] for i in own])
-            groups.append((x, mask, y))
+            y, joint = np.zeros(mask.shape, np.int64), np.zeros(mask.shape, bool)
+            y[mask], joint[mask] = np.concatenate([ys[i] for i in own]), np.concatenate([joints[i] for i in own])
+            groups.append((x, mask, y, joint))
         state = [(np.zeros_like(a), np.zeros_like(a)) for a in (self.w, self.trans)]
         losses = []
         for step in range(1, steps + 1):
@@ -230,25 +320,82 @@ class Field:
             losses.append(loss)
         return losses
 
-    def decode(self, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Best tags by Viterbi, and the probability that a token is not outside, of each chunk's feature rows."""
-        x, mask = padded(rows)
-        e = np.zeros((*mask.shape, 3))
-        e[mask] = self.w[x[mask]].sum(1)
+    def decode(self, rows: list[np.ndarray], joints: list[np.ndarray] | None = None, all_sure: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Best tags by Viterbi, and the probability that a token is not outside, of each chain's feature rows."""
+        joints = joints or [np.ones(len(r), bool) for r in rows]
+        return self.read([self.emissions(r, j) for r, j in zip(rows, joints)], all_sure)
+
+    def read(self, chains: list[np.ndarray], all_sure: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tags and probabilities, as decode, of chains of tokens given by their emissions; probabilities are 0 where a chain has no secret, unless all
+        are asked for."""
+        by_length = sorted((i for i, e in enumerate(chains) if len(e)), key=lambda i: -len(chains[i]))
+        out = [(np.zeros(len(e), np.int8), np.zeros(len(e))) for e in chains]
+        for i, tags in zip(by_length, self._best([chains[i] for i in by_length])):
+            out[i][0][:] = tags
+        told = [i for i in by_length if all_sure or out[i][0].any()]
+        for i, sure in zip(told, self._sure([chains[i] for i in told])):
+            out[i][1][:] = sure
+        return out
+
+    def _best(self, chains: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tags of chains, the longest first: a step takes the next token of all; what a few long chains have left goes one by one."""
+        if not chains:
+            return []
+        first, trans = self._steps()
+        e, n, at = _laid(chains)
+        score, backs, t = e[:, at] + first[:, None], [], 1
+        last = np.zeros(len(n), np.int8)
+        while True:
+            k = int(np.searchsorted(-n, -t, "left"))
+            last[k:score.shape[1]] = score[:, k:].argmax(0)
+            score = score[:, :k]
+            if k < FEWEST:
+                break
+            options = score[:, None, :] + trans[:, :, None]
+            best = np.maximum(options[0], options[1])
+            backs.append(np.where(options[2] > best, np.int8(2), (options[1] > options[0]).astype(np.int8)))
+            score = np.maximum(best, options[2]) + e[:, at[:k] + t]
+            t += 1
+        tags = np.empty(e.shape[1], np.int8)
+        for i in range(k):
+            rest = _best_of_one(score[:, i].tolist(), e[:, at[i] + t : at[i] + n[i]].T.tolist(), trans.tolist())
+            last[i], tags[at[i] + t : at[i] + n[i]] = rest[0], rest[1:]
+        for back in reversed(backs):
+            t -= 1
+            k = back.shape[1]
+            tags[at[:k] + t] = last[:k]
+            last[:k] = back[last[:k], np.arange(k)]
+        tags[at] = last
+        return np.split(tags, at[1:])
+
+    def _sure(self, chains: list[np.ndarray]) -> list[np.ndarray]:
+        """The probability that a token is not outside: forward and backward sums, each brought to one a token; longest chains first."""
+        if not chains:
+            return []
         first, trans = self._steps()
-        score, back = e[:, 0] + first, np.zeros((*mask.shape, 3), np.int8)
-        for t in range(1, mask.shape[1]):
-            options = score[:, :, None] + trans
-            best = np.where(mask[:, t, None], options.argmax(1), np.arange(3))
-            back[:, t] = best
-            score = np.where(mask[:, t, None], options.max(1) + e[:, t], score)
-        tags = np.empty(mask.shape, np.int64)
-        tags[:, -1] = score.argmax(1)
-        for t in range(mask.shape[1] - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(len(x)), t, tags[:, t]]
-        alpha, beta, log_z, _ = self._sums(e, mask)
-        sure = 1 - np.exp(alpha[:, :, OUTSIDE] + beta[:, :, OUTSIDE] - log_z[:, None])
-        return [(tags[i, : len(r)], sure[i, : len(r)]) for i, r in enumerate(rows)]
+        e, n, at = _laid(chains)
+        trans = np.exp(trans)
+        e[:, at] += first[:, None]
+        e = np.exp(e - e.max(0))
+        ahead, behind = np.empty_like(e), np.ones((3, len(n)))
+        sums, t = e[:, at], 1
+        ahead[:, at] = sums
+        while (k := int(np.searchsorted(-n, -t, "left"))) >= FEWEST:
+            sums = (trans.T @ sums[:, :k]) * e[:, at[:k] + t]
+            sums /= sums.sum(0)
+            ahead[:, at[:k] + t] = sums
+            t += 1
+        sure = np.empty(e.shape[1])
+        for i in range(k):
+            rest = slice(at[i] + t, at[i] + n[i])
+            sure[rest], behind[:, i] = _sure_of_one(ahead[:, at[i] + t - 1].tolist(), e[:, rest].T.tolist(), trans.tolist())
+        for t in range(t - 1, -1, -1):
+            k = int(np.searchsorted(-n, -t, "left"))
+            both = ahead[:, at[:k] + t] * behind[:, :k]
+            sure[at[:k] + t] = (both[1] + both[2]) / both.sum(0)
+            sums = trans @ (behind[:, :k] * e[:, at[:k] + t])
+            behind[:, :k] = sums / sums.sum(0)
+        return np.split(sure, at[1:])
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -264,7 +411,7 @@ class Field:
 
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of chunks as one array (chunks, longest, WIDTH), and which places are tokens."""
+    """Feature rows of stretches as one array (stretches, longest, WIDTH), and which places are tokens."""
     length = np.array([len(r) for r in rows])
     mask = np.arange(length.max()) < length[:, None]
     x = np.zeros((*mask.shape, WIDTH), np.int64)
@@ -342,35 +489,46 @@ def training_texts(texts: list[str], seed: int = 5) -> list[tuple[str, list[tupl
     return out
 
 
-def training_rows(texts: list[tuple[str, list[tuple[int, int]]]], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Feature rows and tags of the chunks of labelled texts."""
+def training_rows(texts: list[tuple[str, list[tuple[int, int]]]], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Feature rows, whether joined, and tags of stretches of labelled texts: units with a letter and a digit, or of a labelled value, with the tokens
+    beside them, and a stretch drawn from anywhere."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
+    xs, joints, ys = [], [], []
     for text, values in texts:
-        whole, found = text_features(text), chunks(text)
-        if len(found) > TRAIN_CHUNKS:
-            found = [found[i] for i in rng.permutation(len(found))[:TRAIN_CHUNKS]]
-        for start, end in found:
-            tokens, rows = chunk_features(text, start, end, whole)
-            if len(tokens) > TRAIN_TOKENS:
+        for low, start, end, high in pieces(text):
+            _, first, last, joint, rows = token_features([text[low:high]], np.array([text_features(text)]))
+            own = (first + low >= start) & (first + low < end)
+            first, last, joint, rows = first[own] + low, last[own] + low, joint[own], rows[own]
+            if not len(first):
                 continue
-            tags = np.zeros(len(tokens), np.int64)
+            tags = np.zeros(len(first), np.int64)
             for a, b in values:
-                inside = [i for i, (p, q) in enumerate(tokens) if p >= a and q <= b]
+                inside = np.flatnonzero((first >= a) & (last <= b))
                 tags[inside] = INSIDE
                 tags[inside[:1]] = BEGIN
-            xs.append(rows)
-            ys.append(tags)
-    return xs, ys
+            units = [m.span() for m in _VALUE.finditer(text, start, end) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
+            units += [(a, b) for a, b in values if start <= a < end]
+            found = sorted({tuple(np.searchsorted(first, u).tolist()) for u in units})
+            if len(found) > TRAIN_CHUNKS:
+                found = [found[i] for i in rng.permutation(len(found))[:TRAIN_CHUNKS]]
+            found = [(max(0, a - TRAIN_BESIDE), b + TRAIN_BESIDE) for a, b in found if b - a <= TRAIN_TOKENS]
+            plain = int(rng.integers(0, max(1, len(first) - TRAIN_PLAIN)))
+            for a, b in [*found, (plain, plain + TRAIN_PLAIN)]:
+                while a and tags[a] == INSIDE:  # not from the middle of a value
+                    a -= 1
+                xs.append(rows[a:b])
+                joints.append(joint[a:b])
+                ys.append(tags[a:b])
+    return xs, joints, ys
 
 
 def trained(texts: list[str]) -> Field | None:
-    """The field of the texts; None where they hold no chunk."""
-    xs, ys = training_rows(training_texts(texts))
+    """The field of the texts; None where they hold no token."""
+    xs, joints, ys = training_rows(training_texts(texts))
     if not xs:
         return None
     field = Field()
-    field.train(xs, ys)
+    field.train(xs, joints, ys)
     return field
 
 
@@ -394,49 +552,67 @@ def fit(docs: DataFrame) -> bytes:
 
 
 def added_spans(texts: dict[int, str], field: Field) -> dict[int, list[tuple[int, int]]]:
-    """(start, end) of the secrets that the field tags in each text with enough confidence, clear of the base spans; chunks of several texts together."""
+    """(start, end) of the secrets that the field tags in each text with enough confidence, clear of the base spans; all tokens of several texts together."""
     out: dict[int, list[tuple[int, int]]] = {i: [] for i in texts}
-    waiting: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
-
-    def flush() -> None:
-        waiting.sort(key=lambda w: len(w[2]))
-        at = 0
-        while at < len(waiting):  # chunks of like length together, so that padding stays small
-            last = at + 1
-            while last < len(waiting) and len(waiting[last][2]) <= 2 * len(waiting[at][2]):
-                last += 1
-            part = waiting[at:last]
-            for (i, tokens, _), (tags, sure) in zip(part, field.decode([w[2] for w in part])):
-                for b in np.flatnonzero(tags == BEGIN).tolist():
-                    e = b + 1
-                    while e < len(tags) and tags[e] == INSIDE:
-                        e += 1
-                    if sure[b:e].min() >= CONFIDENCE:
-                        out[i].append((tokens[b][0], tokens[e - 1][1]))
-            at = last
+    chains: dict[int, list[np.ndarray]] = {}
+    waiting: list[tuple[int, int, int, int, int]] = []
+    wide = tokens = 0
+
+    def score() -> None:
+        """The emissions of the tokens of the waiting pieces."""
+        whole = np.array([known[i] for i, *_ in waiting])
+        part, first, last, joint, rows = token_features([texts[i][low:high] for i, low, _, _, high in waiting], whole)
+        low, start, end = (np.array([w[k] for w in waiting])[part] for k in (1, 2, 3))
+        first, last = first + low, last + low
+        own = (first >= start) & (first < end)
+        e = field.emissions(rows[own], joint[own])
+        edges = np.searchsorted(part[own], np.arange(1, len(waiting)))
+        for (i, *_), *arrays in zip(waiting, *(np.split(a, edges) for a in (e, first[own], last[own]))):
+            chains.setdefault(i, []).append(arrays)
         waiting.clear()
 
+    def read() -> None:
+        done = {i: [np.concatenate(a) for a in zip(*found)] for i, found in chains.items()}
+        for (i, (_, first, last)), (tags, sure) in zip(done.items(), field.read([e for e, *_ in done.values()])):
+            begins = np.flatnonzero(tags == BEGIN).tolist()
+            base = _union(joined_spans([(a, e) for _, a, e in base_spans(texts[i])])) if begins else None
+            for b in begins:
+                e = b + 1
+                while e < len(tags) and tags[e] == INSIDE:
+                    e += 1
+                span = int(first[b]), int(last[e - 1])
+                if sure[b:e].min() >= CONFIDENCE and plausible(texts[i][slice(*span)]) and not _touches(base, *span):
+                    out[i].append(span)
+        chains.clear()
+
+    known = {}
     for i, text in texts.items():
-        found = chunks(text)
-        if found:
-            covered = _union(secret_values(text))
-            whole = text_features(text)
-            for start, end in found:
-                if not _touches(covered, start, end):
-                    waiting.append((i, *chunk_features(text, start, end, whole)))
-            if len(waiting) >= DECODED_AT_ONCE:
-                flush()
+        known[i] = text_features(text)
+        for piece in pieces(text):
+            waiting.append((i, *piece))
+            wide += piece[3] - piece[0]
+            tokens += piece[3] - piece[0]
+            if wide >= PIECE_CHARS:
+                score()
+                wide = 0
+        if tokens >= 4 * DECODED_AT_ONCE:  # a token has four characters or so
+            if waiting:
+                score()
+            read()
+            wide = tokens = 0
     if waiting:
-        flush()
-    return {i: sorted(s for s in spans if plausible(texts[i][s[0] : s[1]])) for i, spans in out.items()}
+        score()
+    read()
+    return out
 
 
 def plausible(value: str) -> bool:
-    """What an added span must satisfy."""
-    return len(value) >= CHUNK_CHARS and bool(re.search("[0-9]", value)) and bool(re.search("[A-Za-z]", value))
+    """What an added span must satisfy: the least length of a value."""
+    return len(value) >= LEAST_VALUE
 
 
 def _union(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of disjoint spans."""
     return np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64)
 
 
@@ -449,7 +625,7 @@ def _touches(spans: tuple[np.ndarray, np.ndarray], start: int, end: int) -> bool
 def find(docs: DataFrame, model: bytes, carried: list[str], name: str = "spans") -> DataFrame:
     """The carried columns and, under the given name, spans (array of kind, start, end, base) of each row by start, then kind.
 
-    Base spans stay; the model adds spans in chunks that no base value touches. NULL and empty texts have no spans. Repeated rows stay. An empty model
+    Base spans stay; the model tags all tokens of each text, and adds the spans that no base span touches. NULL and empty texts have no spans. Repeated rows stay. An empty model
     adds nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

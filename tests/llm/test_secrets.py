@@ -116,3 +116,43 @@ def test_empty_tables_and_clashing_names(spark, docs, no_docs):
     assert op13_secrets.fit(no_docs) == b"" and op13_secrets.find(no_docs, b"", ["doc_id"]).count() == 0
     out = op13_secrets.find(docs, b"", ["doc_id", "score", "_id"], "found")
     assert out.columns == ["doc_id", "score", "_id", "found"] and out.count() == docs.count()
+
+
+WIDE_OPEN = "plain wonderful words 12345678 x1y2z3 pass:word! (hunter-two) password=abcdef1, mail@example.org 漢字漢字漢字漢字\n\tlast words\x1cjoined tiny"
+
+
+def test_every_token_of_a_text_is_decoded():
+    """A field that takes every token for a secret finds every run without white space, whatever its characters, that is long enough and clear of the base."""
+    field = op13_secrets.Field()
+    field.w[:, 1:], field.trans[:, 1] = 1, -10
+    texts = {i: t for i, t in enumerate([*TRICKY, WIDE_OPEN, "", " \n", (WIDE_OPEN + " ") * 40, "z" * 3000])}
+    for i, found in op13_secrets.added_spans(texts, field).items():
+        base = plain_base(texts[i])
+        runs = [m.span() for m in re.finditer(r"[^ \t-\r]+", texts[i])]
+        assert found == [(a, b) for a, b in runs if b - a >= 6 and all(b <= p or a >= q for _, p, q in base)]
+
+
+def test_pieces_and_batches_change_no_span(field, monkeypatch):
+    held = {i: t for i, (t, _) in enumerate(op13_secrets.training_texts([*all_texts()[1:80:2], WIDE_OPEN * 9], seed=12))}
+    whole = op13_secrets.added_spans(held, field)
+    monkeypatch.setattr(op13_secrets, "PIECE_CHARS", 90)
+    for i in list(held)[:20]:
+        row = np.array([op13_secrets.text_features(held[i])])
+        _, first, _, joint, rows = op13_secrets.token_features([held[i]], row)
+        at = 0
+        for low, start, end, high in op13_secrets.pieces(held[i]):
+            _, a, _, j, r = op13_secrets.token_features([held[i][low:high]], row)
+            own = (a + low >= start) & (a + low < end)
+            n = int(own.sum())
+            assert (first[at : at + n] == a[own] + low).all() and (joint[at : at + n] == j[own]).all() and (rows[at : at + n] == r[own]).all()
+            at += n
+        assert at == len(first)
+    monkeypatch.setattr(op13_secrets, "DECODED_AT_ONCE", 3000)
+    assert op13_secrets.added_spans(held, field) == whole and sum(map(len, whole.values())) > 20
+    chains = [np.random.default_rng(i).standard_normal((n, 3)) for i, n in enumerate([1, 9, 400, 0, 30, 30, 7] * 3)]
+    results = []
+    for fewest in (10**6, 1):
+        monkeypatch.setattr(op13_secrets, "FEWEST", fewest)
+        results.append(field.read(chains, True))
+    for (tags, sure), (same, near) in zip(*results):
+        assert (tags == same).all() and np.allclose(sure, near)
