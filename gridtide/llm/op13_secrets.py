@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import io
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,47 +198,52 @@ def _laid(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.ascontiguousarray(np.concatenate(chains).T), n, np.cumsum(n) - n
 
 
-def _best_of_one(score: list[float], emissions: list[list[float]], trans: list[list[float]]) -> list[int]:
-    """Best tags of the last token scored and of those after it."""
+def _by_token(e: np.ndarray) -> Iterator[list[float]]:
+    """The three numbers of each token as plain floats, some thousand tokens at a time."""
+    for at in range(0, e.shape[1], 1 << 14):
+        yield from e[:, at : at + (1 << 14)].T.tolist()
+
+
+def _best_of_one(score: list[float], e: np.ndarray, trans: list[list[float]]) -> np.ndarray:
+    """Best tags of the last token scored and of those after it, whose emissions are e."""
     (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = trans
     o, b, i = score
-    backs = []
-    for x, y, z in emissions:
-        back = []
+    backs = bytearray()
+    for x, y, z in _by_token(e):
         tags = []
         for p, q, r, own in ((o + oo, b + bo, i + io, x), (o + ob, b + bb, i + ib, y), (o + oi, b + bi, i + ii, z)):
             k, s = (1, q) if q > p else (0, p)
             if r > s:
                 k, s = 2, r
-            back.append(k)
+            backs.append(k)
             tags.append(s + own)
         o, b, i = tags
-        backs.append(back)
-    out = [max(range(3), key=(o, b, i).__getitem__)]
-    for back in reversed(backs):
-        out.append(back[out[-1]])
-    return out[::-1]
+    tag = max(range(3), key=(o, b, i).__getitem__)
+    out = bytearray([tag])
+    for t in range(len(backs) - 3, -1, -3):
+        tag = backs[t + tag]
+        out.append(tag)
+    return np.frombuffer(out, np.int8)[::-1]
 
 
-def _sure_of_one(ahead: list[float], emissions: list[list[float]], trans: list[list[float]]) -> tuple[list[float], list[float]]:
+def _sure_of_one(ahead: list[float], e: np.ndarray, trans: list[list[float]]) -> tuple[np.ndarray, list[float]]:
     """The probability that a token is not outside, of the tokens after the one that the forward sums are of, and the backward sums of that one."""
     (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = trans
     o, b, i = ahead
-    sums = []
-    for x, y, z in emissions:
+    sums, out = array("d"), array("d")
+    for x, y, z in _by_token(e):
         o, b, i = (o * oo + b * bo + i * io) * x, (o * ob + b * bb + i * ib) * y, (o * oi + b * bi + i * ii) * z
         total = o + b + i
         o, b, i = o / total, b / total, i / total
-        sums.append((o, b, i))
+        sums.extend((o, b, i))
     o = b = i = 1.0
-    out = []
-    for (p, q, r), (x, y, z) in zip(reversed(sums), reversed(emissions)):
+    for (p, q, r), (x, y, z) in zip(_by_token(np.frombuffer(sums).reshape(-1, 3)[::-1].T), _by_token(e[:, ::-1])):
         out.append((q * b + r * i) / (p * o + q * b + r * i))
         x, y, z = x * o, y * b, z * i
         o, b, i = oo * x + ob * y + oi * z, bo * x + bb * y + bi * z, io * x + ib * y + ii * z
         total = o + b + i
         o, b, i = o / total, b / total, i / total
-    return out[::-1], [o, b, i]
+    return np.frombuffer(out)[::-1], [o, b, i]
 
 
 # ---------------------------------------------------------------- the field
@@ -358,7 +363,7 @@ class Field:
             t += 1
         tags = np.empty(e.shape[1], np.int8)
         for i in range(k):
-            rest = _best_of_one(score[:, i].tolist(), e[:, at[i] + t : at[i] + n[i]].T.tolist(), trans.tolist())
+            rest = _best_of_one(score[:, i].tolist(), e[:, at[i] + t : at[i] + n[i]], trans.tolist())
             last[i], tags[at[i] + t : at[i] + n[i]] = rest[0], rest[1:]
         for back in reversed(backs):
             t -= 1
@@ -388,7 +393,7 @@ class Field:
         sure = np.empty(e.shape[1])
         for i in range(k):
             rest = slice(at[i] + t, at[i] + n[i])
-            sure[rest], behind[:, i] = _sure_of_one(ahead[:, at[i] + t - 1].tolist(), e[:, rest].T.tolist(), trans.tolist())
+            sure[rest], behind[:, i] = _sure_of_one(ahead[:, at[i] + t - 1].tolist(), e[:, rest], trans.tolist())
         for t in range(t - 1, -1, -1):
             k = int(np.searchsorted(-n, -t, "left"))
             both = ahead[:, at[:k] + t] * behind[:, :k]
