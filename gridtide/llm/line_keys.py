@@ -73,9 +73,16 @@ def character_keys(data: np.ndarray, begins: np.ndarray, length: np.ndarray) ->
     keys = np.zeros((len(begins), CHARACTER_BANDS), np.uint64)
     runs = shared.mixed(run_sums(data, GRAM))
     ends = np.repeat(begins + length, np.diff(begins, append=len(data)))
-    runs[ends - np.arange(begins[0], len(data)) < GRAM] = ~np.uint64(0)  # runs over a line's end
+    over = np.flatnonzero(ends - np.arange(begins[0], len(data)) < GRAM)  # runs over a line's end
+    spread = np.empty_like(runs)
+
+    def least(odd: np.uint64) -> np.ndarray:
+        np.multiply(runs, odd, out=spread)
+        spread[over] = ~np.uint64(0)
+        return np.minimum.reduceat(spread, begins)
+
     for b in range(CHARACTER_BANDS):
-        one, two = (np.minimum.reduceat(np.where(runs == ~np.uint64(0), runs, runs * odd), begins) for odd in _ODD[2 * b : 2 * b + 2])
+        one, two = (least(odd) for odd in _ODD[2 * b : 2 * b + 2])
         keys[:, b] = shared.mixed(shared.mixed(one) + two * _A + np.uint64(b))
     return keys
 

@@ -20,6 +20,7 @@ from operator import ne
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ SIMILARITY = 0.8
 RADIUS, LONG = 20, 80
 TILE_LIMIT = 500
 #: Buckets that runs of characters are counted in; lines of tiles that are taken together; pairs filtered at once, and pairs that wait for comparison.
-RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE, OPEN_PAIRS = 128, 8192, 8192, 8192
+RUN_BUCKETS, LINES_AT_ONCE, PAIRS_AT_ONCE, OPEN_PAIRS = 128, 24576, 8192, 16384
 #: Characters of such lines (fewer lines are taken together where they are long), and of those whose runs are counted at once.
-CHARACTERS_AT_ONCE, COUNTED_AT_ONCE = 4_000_000, 500_000
+CHARACTERS_AT_ONCE, COUNTED_AT_ONCE = 12_000_000, 250_000
+#: Bytes of text whose lines are hashed at once: a number for each byte stays in the cache.
+HASHED_AT_ONCE = 250_000
 
 _WORDS = shared.byte_classes(symbols=False)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,7 +75,7 @@ def _hashed_lines(batches: Iterator[pa.RecordBatch], keys: bool) -> Iterator[pa.
     """128-bit hash of the real form of lines: with doc_id, text_hash and line number of each line that is not blank, or with the candidate keys of the
     normal form of each line with MIN_WORDS words or more."""
     for batch in batches:
-        for first, rows, data, offsets in shared.text_slices(batch.column(2)):
+        for first, rows, data, offsets in shared.text_slices(batch.column(2), HASHED_AT_ONCE):
             if not len(data):
                 continue
             real, data = _LOWER[data], _FOLD[data]
@@ -158,6 +161,14 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
 
+def _once(close: DataFrame) -> DataFrame:
+    """Of tiles (block, tile, node) that hold the same lines one stays, with the blocks of all of them: block, tile, blocks, node. A tile's list is bounded
+    as the tile is, and a line has no more blocks than keys."""
+    met = close.groupBy("block", "tile").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    once = met.groupBy("nodes").agg(F.min(F.struct("block", "tile")).alias("at"), F.collect_set("block").alias("blocks"))
+    return once.select("at.block", "at.tile", "blocks", F.explode("nodes").alias("node"))
+
+
 def run_counts(forms: list[str]) -> np.ndarray:
     """For each line how often its runs of two characters, and those of three, fall into each of RUN_BUCKETS buckets."""
     parts, at = [], 0
@@ -188,11 +199,14 @@ def may_be_similar(counts: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.nd
     return (apart[:, :RUN_BUCKETS].sum(1) <= 4 * most) & (apart[:, RUN_BUCKETS:].sum(1) <= 6 * most)
 
 
-def _joined(forms: list[str], counts: np.ndarray, most: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+def _joined(forms: list[str], most: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
     """The edges that join lines i with lines j (the pairs of a line follow one another, likeliest first); group: a label of each line, kept up to date.
 
     In rounds: each line takes its next pairs, one, then two, then four, that are not connected by then; distances of a round are computed together.
     """
+    row, paired = np.zeros(len(forms), np.int64), np.union1d(i, j)
+    row[paired] = np.arange(len(paired))
+    counts = run_counts([forms[x] for x in paired.tolist()])
 
     def joined(a: int, b: int) -> bool:
         x, y = group[a], group[b]
@@ -210,7 +224,8 @@ def _joined(forms: list[str], counts: np.ndarray, most: np.ndarray, group: np.nd
         now = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i))) < take
         quick = take == 1  # the likeliest pair of a line is mostly a near copy
         a, b, i, j, take = i[now], j[now], i[~now], j[~now], 2 * take
-        may = may_be_similar(counts, a, b, most[a])
+        parts = (slice(x, x + PAIRS_AT_ONCE) for x in range(0, len(a), PAIRS_AT_ONCE))
+        may = np.concatenate([may_be_similar(counts, row[a[p]], row[b[p]], most[a[p]]) for p in parts])
         open_pairs = []
         for x, y in zip(a[may].tolist(), b[may].tolist()):
             if group[x] != group[y]:
@@ -231,10 +246,11 @@ def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarra
     Lines that share several keys meet in each of their blocks, and are compared in that of the smallest key that they share. Pairs of long lines
     must be within RADIUS bits of SimHash. Pairs are filtered PAIRS_AT_ONCE at a time; those left, nearest SimHash first, are compared when there are
     OPEN_PAIRS of them.
-    keys: those of each line, and its SimHash as last column.
+    keys: those of each line, and its SimHash as last column. block: the block of each line's run, or a row of blocks where several hold the same lines.
     """
+    block = block.reshape(len(forms), -1)
     sims, keys = np.ascontiguousarray(keys[:, -1]).view(np.uint64), keys[:, :-1]
-    counts, length = run_counts(forms), np.array([len(f) for f in forms])
+    length = np.array([len(f) for f in forms])
     most = (length * (1 - SIMILARITY) + 1e-9).astype(np.int64)
     first = np.searchsorted(runs, runs, "left")
     # the first line of the run that is long enough for this one: lengths ascend within a run
@@ -252,13 +268,13 @@ def links(forms: list[str], runs: np.ndarray, keys: np.ndarray, block: np.ndarra
         open_pair = (group[i] != group[j]) & ((length[j] < LONG) | (bits <= RADIUS))
         i, j, bits = i[open_pair], j[open_pair], bits[open_pair]
         if len(i):
-            here = np.where(keys[i] == keys[j], keys[i], np.iinfo(np.int64).max).min(1) == block[i]
+            here = (np.where(keys[i] == keys[j], keys[i], np.iinfo(np.int64).max).min(1)[:, None] == block[i]).any(1)
             waiting.append((i[here], j[here], bits[here]))
             size += int(here.sum())
         if size >= OPEN_PAIRS or (at == len(forms) and size):
             i, j, bits = (np.concatenate(x) for x in zip(*waiting))
             order = np.lexsort((bits, i))
-            yield from _joined(forms, counts, most, group, i[order], j[order])
+            yield from _joined(forms, most, group, i[order], j[order])
             waiting, size = [], 0
 
 
@@ -269,12 +285,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for run in group for r in sorted(run, key=lambda r: (len(r[1]), r[0]))]
         keys = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(len(rows), -1)
         runs = np.repeat(np.arange(len(group)), [len(run) for run in group])
-        found = list(links([r[1] for r in rows], runs, keys, np.array([r[3] for r in rows], np.int64)))
+        most = max(len(r[3]) for r in rows)
+        blocks = np.array([r[3] + r[3][:1] * (most - len(r[3])) for r in rows], np.int64)
+        found = list(links([r[1] for r in rows], runs, keys, blocks))
         left, right = ([rows[x][0] for x in side] for side in (zip(*found) if found else ([], [])))
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     group, size, wide = [], 0, 0
-    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form", "keys", "block"]):
+    for run in shared.grouped_runs(batches, ["block", "tile"], ["node", "form", "keys", "blocks"]):
         group.append(run)
         size += len(run)
         wide += sum(len(r[1]) for r in run)
@@ -333,9 +351,9 @@ def _repeats(docs: DataFrame) -> DataFrame:
     nodes = shared.checkpointed(keys.groupBy("node").agg(*[F.min(k).alias(k) for k in line_keys.NAMES]))
     keyed = nodes.select(F.explode(F.array_distinct(F.array(*line_keys.NAMES))).alias("block"), "node")
     tiles = shared.tiled(keyed, "block", "node", TILE_LIMIT).select("block", "tile", "node").repartition(n, "block", "tile")
-    close = shared.checkpointed(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long"))
+    close = shared.checkpointed(_once(tiles.sortWithinPartitions("block", "tile").mapInArrow(_several, "block long, tile int, node long")))
     ready = close.join(_texts_of(texts, lines, close), "node").repartition(n, "block", "tile").sortWithinPartitions("block", "tile")
-    return _later_lines(lines, ready.select("block", "tile", "node", "form", "keys").mapInArrow(_linked, "a long, b long"))
+    return _later_lines(lines, ready.select("block", "tile", "blocks", "node", "form", "keys").mapInArrow(_linked, "a long, b long"))
 
 
 def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,22 +365,27 @@ def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 nodes.append(w["ha"])
                 forms.append(real_form(lines[w["line"]]))
                 plain.append(lines[w["line"]])
-        if nodes:
-            keys = line_keys.keys_of_forms([normal_form(x) for x in plain], _WORDS, _WIDE).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "form": forms, "keys": [k.tobytes() for k in keys]})
+        ends, at = np.cumsum([len(x) for x in plain]), 0
+        while at < len(nodes):
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASHED_AT_ONCE // 2, "right")))
+            keys = line_keys.keys_of_forms([normal_form(x) for x in plain[at:last]], _WORDS, _WIDE).view(np.int64)
+            yield pd.DataFrame({"node": nodes[at:last], "form": forms[at:last], "keys": [k.tobytes() for k in keys]})
+            at = last
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns are the text and the numbers of the lines to take out; they become text, lines before and lines taken out."""
     for batch in batches:
-        texts, before, gone = [], [], []
-        for text, drop in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-            text, drop = text.as_py(), set(drop.as_py() or ())
-            lines = text.split("\n") if text is not None else []
-            before.append(len(lines))
-            gone.append(len(drop))
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-        arrays = [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(before, pa.int32()), pa.array(gone, pa.int32())]
+        texts, drops = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        before = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int32())
+        gone = pc.fill_null(pc.list_value_length(drops), 0).cast(pa.int32())
+        loses, left = pc.greater(gone, 0), []
+        for text, drop in zip(texts.filter(loses).to_pylist(), drops.filter(loses).to_pylist()):
+            drop = set(drop)
+            left.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+        if left:
+            texts = pc.replace_with_mask(texts, loses, pa.array(left, texts.type))
+        arrays = [*batch.columns[:-2], texts, before, gone]
         yield pa.RecordBatch.from_arrays(arrays, names=[str(i) for i in range(len(arrays))])
 
 

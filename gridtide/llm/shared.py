@@ -190,6 +190,9 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _BASE, np.uint64))
+#: Powers of the base by place in a slice of up to so many bytes, and of its inverse.
+_AHEAD = np.cumprod(np.full(1 << 18, _BASE, np.uint64))
+_BACK = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full((1 << 18) - 1, pow(int(_BASE), -1, 1 << 64), np.uint64))))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -226,11 +229,17 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, alo
         begins |= data >= alone
     runs = np.flatnonzero(begins)
     length = np.diff(runs, append=len(data))
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(runs, length)
-    value = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
-    sums = np.add.reduceat(value, runs)
     word = kind[runs] > 0
-    return mixed(sums[word]), runs[word]
+    value = data.astype(np.uint64)
+    value += np.uint64(1)
+    if len(data) <= len(_AHEAD) and length.max() <= len(_POWERS):  # the same sums, with powers by place in the slice taken back to the run's start
+        value *= _AHEAD[: len(data)]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+        starts = runs[word]
+        return mixed((total[starts + length[word]] - total[starts]) * _BACK[starts]), starts
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(runs, length)
+    value *= _POWERS[place & 4095]
+    return mixed(np.add.reduceat(value, runs)[word]), runs[word]
 
 
 def per_row(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -147,6 +148,56 @@ def test_edit_distances_of_many_pairs_at_once(monkeypatch):
     assert edit_distance.within([]).tolist() == []
 
 
+def test_edit_distance_lanes_begin_and_end_with_the_bound_of_the_diagonal(monkeypatch):
+    """Lines of many words whose common passage stands at other places, bounds from narrow to wide, all in one block; against one integer a pair."""
+    rng = random.Random(12)
+    pairs = []
+    for n in (70, 200, 513, 900, 1500) * 12:
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        lead, tail = ("".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(n // 4))) for _ in range(2))
+        a, b = f"x{lead}{passage}y", f"z{passage}{tail}w"
+        pairs += [(a, b, most) for most in (n // 20, n // 5, n // 3) if abs(len(a) - len(b)) <= most]
+    want = [edit_distance.one_within(*edit_distance.trimmed(a, b), most) for a, b, most in pairs]
+    monkeypatch.setattr(edit_distance, "FEWEST", 1)
+    monkeypatch.setattr(edit_distance, "ALIKE", 0)
+    assert edit_distance.within(pairs).tolist() == want and 20 < sum(want) < len(want) - 20
+    monkeypatch.setattr(edit_distance, "LANES", 1)
+    assert edit_distance.within(pairs[:40]).tolist() == want[:40]
+
+
+def test_tiles_of_the_same_lines_are_one_with_all_their_blocks(spark):
+    rows = [(5, 0, 1), (5, 0, 2), (3, 1, 2), (3, 1, 1), (3, 2, 1), (3, 2, 2), (4, 0, 1), (4, 0, 2), (4, 0, 3)]
+    got = op02_lines._once(spark.createDataFrame(rows, "block long, tile int, node long")).collect()
+    assert sorted((r["block"], r["tile"], sorted(r["blocks"]), r["node"]) for r in got) == [(3, 1, [3, 5], 1), (3, 1, [3, 5], 2), (4, 0, [4], 1), (4, 0, [4], 2), (4, 0, [4], 3)]
+
+
+def test_links_are_found_in_a_run_that_stands_for_several_blocks():
+    forms = ["one two three four five six seven eight", "one two three four five six seven eight nine"]
+    keys = np.array([[9, 4, 7, 0], [9, 4, 8, 0]])  # the smallest shared key is 4
+    runs = np.zeros(2, np.int64)
+    assert list(op02_lines.links(forms, runs, keys, np.array([[9, 4], [9, 4]]))) == [(1, 0)]
+    assert list(op02_lines.links(forms, runs, keys, np.array([[9, 9], [9, 9]]))) == []
+
+
+def test_words_have_the_same_hashes_in_a_short_slice_and_in_a_long_one():
+    """Powers are taken by place in the slice where it is short, by place in the word where it or a word is long."""
+    rng = np.random.default_rng(6)
+    data = rng.choice(np.frombuffer(b"abcXYZ09 .,\xc3\xa9\xe4\xb8\xad", np.uint8), 3000)
+    offsets = np.array([0, 0, 7, 1500, 3000])
+    for alone in (256, 0xE0):
+        words, starts = shared.hashed_words(data, offsets, op02_lines._WORDS, alone)
+        for more in (np.full(5000, 97, np.uint8), np.full(1 << 18, 32, np.uint8)):
+            again, places = shared.hashed_words(np.concatenate((data, more)), np.append(offsets, 3000 + len(more)), op02_lines._WORDS, alone)
+            assert (again[: len(words)] == words).all() and (places[: len(words)] == starts).all()
+
+
+def test_texts_that_lose_lines_are_rebuilt_and_all_lines_counted():
+    texts, drops = ["a\nb\nc", None, "", "x\n", "same\nlines"], [[0, 2], None, None, [1], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array(drops, pa.list_(pa.int32()))], names=["id", "text", "drop"])
+    (got,) = op02_lines._without([batch.slice(0, 5)])
+    assert [c.to_pylist() for c in got.columns] == [[0, 1, 2, 3, 4], ["b", None, "", "x", "same\nlines"], [3, 0, 1, 2, 2], [2, 0, 0, 1, 0]]
+
+
 def brute_lines(docs):
     """(doc_id, text without repeats): of all pairs of lines those that share a key and are similar are linked, each group keeps its first line."""
     found = []
